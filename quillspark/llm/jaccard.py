@@ -27,6 +27,8 @@ from quillspark.llm.shared import components, content_keys, small, stash
 PERCENT = 80
 #: Groups that shingles are hashed into; children of an R-tree node.
 GROUPS, FAN = 64, 32
+#: Rows of a bucket up to which all pairs' bounds are cheaper than a tree.
+FEW = 32
 #: Cells of the frequency sketch; a shingle is frequent if its cell counts this many times the mean.
 CELLS, FREQUENT = 1 << 18, 4
 #: Documents of a candidate cluster that one task verifies; larger clusters fall into blocks of this many.
@@ -112,25 +114,31 @@ def reachable(tree: RTree) -> np.ndarray:
     return label
 
 
-def linked(sets: list[np.ndarray], tree: RTree, across: np.ndarray | None = None) -> np.ndarray:
-    """Components of verified links; pairs that are connected already are not verified. ``across``: only pairs of different sides."""
-    parent = np.arange(len(sets))
+def few(points: np.ndarray) -> np.ndarray:
+    """The same for so few rows that a tree would be one box."""
+    sizes = points.sum(axis=1)
+    near = np.minimum(points[:, None], points[None]).sum(axis=2) >= needed(sizes[:, None], sizes[None])
+    label = np.arange(len(points))
+    while True:
+        least = np.where(near, label[None], len(points)).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
+def linked(sets: list[np.ndarray], tree: RTree, across: np.ndarray | None = None) -> np.ndarray:
+    """Components of verified links; pairs that are connected already are not verified. ``across``: only pairs of different sides."""
+    part = np.arange(len(sets))  # each row's component so far
     sizes = np.array([len(s) for s in sets])
     later = np.ones(len(sets), bool)
     for i in range(len(sets)):
         later[i] = False
-        own = root(i)
-        rows = tree.reach(i, later)
+        wanted = later & (part != part[i])
         if across is not None:
-            rows = rows[across[rows] != across[i]]
-        rows = np.array([r for r in rows if root(r) != own], dtype=int)
+            wanted &= across != across[i]
+        if not wanted.any():
+            continue
+        rows = tree.reach(i, wanted)
         if not len(rows):
             continue
         joined = np.concatenate([sets[r] for r in rows])
@@ -138,10 +146,11 @@ def linked(sets: list[np.ndarray], tree: RTree, across: np.ndarray | None = None
         same = sets[i][np.minimum(at, len(sets[i]) - 1)] == joined
         starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
         overlap = np.add.reduceat(same.astype(np.int64), starts)
-        for r in rows[overlap >= needed(sizes[rows], sizes[i])]:
-            a, b = root(i), root(r)
-            parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(sets))])
+        met = np.unique(part[rows[overlap >= needed(sizes[rows], sizes[i])]])
+        if len(met):
+            met = np.append(met, part[i])
+            part[np.isin(part, met)] = met.min()
+    return part
 
 
 # ---------------------------------------------------------------- stages
@@ -230,7 +239,7 @@ def _clusters(profiles: DataFrame) -> DataFrame:
                         a.append(node[lo])
                         b.append(node[lo + 1])
                     continue
-                label = reachable(RTree(points, points.sum(axis=1)))
+                label = few(points) if hi - lo <= FEW else reachable(RTree(points, points.sum(axis=1)))
                 rest = np.flatnonzero(label != np.arange(hi - lo))
                 a += node[lo + rest].tolist()
                 b += node[lo + label[rest]].tolist()
