@@ -27,6 +27,8 @@ from quillspark.llm.shared import components, content_keys, small, stash
 PERCENT = 80
 #: Groups that shingles are hashed into; children of an R-tree node.
 GROUPS, FAN = 64, 32
+#: Shingles a group holds on average at most.
+LOAD = 8
 #: Rows of a bucket up to which all pairs' bounds are cheaper than a tree.
 FEW = 32
 #: Cells of the frequency sketch; a shingle is frequent if its cell counts this many times the mean.
@@ -46,14 +48,37 @@ def prefix_length(n: int) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
+    """Counts of shingles by group, as bytes: GROUPS groups, doubled until a group holds few, so the bound stays sharp for long texts."""
+    group = (shingles >> np.uint64(20)).astype(np.int64)
+    n = GROUPS
+    while len(shingles) > LOAD * n:
+        n *= 2
+    while True:
+        counts = np.bincount(group & (n - 1), minlength=n)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        n *= 2
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The counts for fewer groups."""
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 class RTree:
     """A packed R-tree over count vectors: rows sorted by size and then by their largest spread, FAN rows to a box."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        self.points, self.sizes = points, sizes
+    def __init__(self, vectors: list[np.ndarray]) -> None:
+        self.vectors = vectors
+        self.points = points = np.stack([folded(v, GROUPS) for v in vectors])
+        self.sizes = sizes = points.sum(axis=1)
+        self.groups = np.array([len(v) for v in vectors])
+        self.finer: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.order = self._packed(np.arange(len(points)))
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         upper, least, most = points[self.order], sizes[self.order], sizes[self.order]
@@ -94,7 +119,23 @@ class RTree:
             nodes = nodes[nodes < below]
         rows = self.order[nodes]
         rows = rows[wanted[rows]]
-        return rows[np.minimum(self.points[rows], q).sum(axis=1) >= needed(self.sizes[rows], n)]
+        rows = rows[np.minimum(self.points[rows], q).sum(axis=1) >= needed(self.sizes[rows], n)]
+        if self.groups[i] == GROUPS or not len(rows):
+            return rows
+        common = np.minimum(self.groups[rows], self.groups[i])
+        return np.concatenate([rows[common == g][self._overlaps(i, rows[common == g], g) >= needed(self.sizes[rows[common == g]], n)] for g in np.unique(common)])
+
+    def _overlaps(self, i: int, rows: np.ndarray, groups: int) -> np.ndarray:
+        """Bounds on row i's overlaps from vectors of so many groups, which are folded once for all rows that have them."""
+        if groups == GROUPS:
+            return np.minimum(self.points[rows], self.points[i]).sum(axis=1)
+        if groups not in self.finer:
+            have = np.flatnonzero(self.groups >= groups)
+            place = np.full(len(self.groups), -1)
+            place[have] = np.arange(len(have))
+            self.finer[groups] = place, np.stack([folded(self.vectors[r], groups) for r in have]).astype(np.int16 if LOAD * 16 * self.groups.max() / groups < 30_000 else np.int32)
+        place, matrix = self.finer[groups]
+        return np.minimum(matrix[place[rows]], matrix[place[i]]).sum(axis=1, dtype=np.int64)
 
 
 def reachable(tree: RTree) -> np.ndarray:
@@ -114,10 +155,15 @@ def reachable(tree: RTree) -> np.ndarray:
     return label
 
 
-def few(points: np.ndarray) -> np.ndarray:
+def few(vectors: list[np.ndarray]) -> np.ndarray:
     """The same for so few rows that a tree would be one box."""
+    points = np.stack([folded(v, GROUPS) for v in vectors])
     sizes = points.sum(axis=1)
     near = np.minimum(points[:, None], points[None]).sum(axis=2) >= needed(sizes[:, None], sizes[None])
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        if min(len(vectors[i]), len(vectors[j])) > GROUPS:
+            near[i, j] = near[j, i] = overlap_bound(vectors[i], vectors[j]) >= needed(sizes[i], sizes[j])
+    np.fill_diagonal(near, True)
     label = np.arange(len(points))
     while True:
         least = np.where(near, label[None], len(points)).min(axis=1)
@@ -232,14 +278,8 @@ def _clusters(profiles: DataFrame) -> DataFrame:
             for lo, hi in _runs(token[:end]) if end else ():
                 if hi - lo < 2:
                     continue
-                points = np.frombuffer(b"".join(raw[lo:hi]), np.int32).reshape(hi - lo, GROUPS)
-                if hi - lo == 2:
-                    size = points.sum(axis=1)
-                    if np.minimum(*points).sum() >= needed(size[:1], size[1])[0]:
-                        a.append(node[lo])
-                        b.append(node[lo + 1])
-                    continue
-                label = few(points) if hi - lo <= FEW else reachable(RTree(points, points.sum(axis=1)))
+                vectors = [np.frombuffer(v, np.uint8) for v in raw[lo:hi]]
+                label = few(vectors) if hi - lo <= FEW else reachable(RTree(vectors))
                 rest = np.flatnonzero(label != np.arange(hi - lo))
                 a += node[lo + rest].tolist()
                 b += node[lo + label[rest]].tolist()
@@ -250,7 +290,7 @@ def _clusters(profiles: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 100_000:
+            if size >= 50_000:
                 out, rest = flush(pa.Table.from_batches(held), False)
                 if out is not None:
                     yield out
@@ -289,9 +329,8 @@ def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> Data
     def verify(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node")
         found = [np.frombuffer(g, np.uint64) for g in f["grams"]]
-        points = np.stack([count_vector(s) for s in found])
         across = f["mine"].to_numpy() if key[1] != key[2] else None
-        label = linked(found, RTree(points, np.array([len(s) for s in found])), across)
+        label = linked(found, RTree([count_vector(s) for s in found]), across)
         nodes = f["node"].to_numpy()
         rest = label != np.arange(len(label))
         return pd.DataFrame({"a": nodes[rest], "b": nodes[label[rest]]})
