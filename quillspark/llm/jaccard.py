@@ -366,13 +366,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     kept = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     least = kept.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
-    least = stash(least.select(F.col("doc_id").alias("q_d"), F.col("k.k1").alias("q_1"), F.col("k.k2").alias("q_2"), "n"), "kept")
+    least = stash(least.select(F.col("doc_id").alias("q_d"), F.col("k.k1").alias("q_1"), F.col("k.k2").alias("q_2"), F.col("n").alias("q_n")), "kept")
     rows = docs.withColumn("q_k1", k1).withColumn("q_k2", k2).withColumn("q_id", F.col("doc_id").cast("long"))
     words = F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
     empty = rows.where(~words)
     full = rows.where(words).join(small(least, 2_000_000), F.col("q_id").eqNullSafe(F.col("q_d")) & (F.col("q_k1") == F.col("q_1")) & (F.col("q_k2") == F.col("q_2")))
-    single = full.where("n = 1").select(*docs.columns)
-    several = full.where("n > 1").dropDuplicates(["q_id", "q_k1", "q_k2"]).select(*docs.columns)
+    single = full.where("q_n = 1").select(*docs.columns)
+    several = full.where("q_n > 1").dropDuplicates(["q_id", "q_k1", "q_k2"]).select(*docs.columns)
     return single.unionByName(several).unionByName(empty.select(*docs.columns))
 
 
