@@ -339,7 +339,7 @@ def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> Data
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row, and its content keys ``k1, k2``.
+    """``doc_id, n_shingles, component_id`` for each row, its content keys ``k1, k2`` and a name ``root`` of its component.
 
     Documents with equal sets are one node from the start, whatever their number. Null and empty texts, and texts
     without a word, have an empty set and stand alone; so does a row without doc_id only if nothing links it (its
@@ -352,9 +352,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
     named = nodes.join(found, F.col("f1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f1"))
     lowest = stash(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-    table = stash(named.join(lowest, "root").select("f1", "f2", "component_id"), "named")
-    rest = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2")
-    return profiles.where("n > 0").join(table, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2").unionByName(rest)
+    table = stash(named.join(lowest, "root").select("f1", "f2", "component_id", "root"), "named")
+    rest = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("long").alias("root"))
+    return profiles.where("n > 0").join(table, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2", "root").unionByName(rest)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     k1, k2 = content_keys()
     found = near_duplicates(docs)
     kept = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = kept.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
+    least = kept.where("n_shingles > 0").groupBy("doc_id", "root").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
     least = stash(least.select(F.col("doc_id").alias("q_d"), F.col("k.k1").alias("q_1"), F.col("k.k2").alias("q_2"), F.col("n").alias("q_n")), "kept")
     rows = docs.withColumn("q_k1", k1).withColumn("q_k2", k2).withColumn("q_id", F.col("doc_id").cast("long"))
     words = F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
