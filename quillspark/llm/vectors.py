@@ -16,8 +16,8 @@ from quillspark.llm.shared import stash
 
 #: Vectors the tree is fitted on; vectors a leaf should hold; leaves at most; children of a node.
 SAMPLE, LEAF, MOST_LEAVES, BRANCH = 40_000, 400, 2048, 8
-#: Rows of a block, the unit of search: a leaf with more rows has several.
-BLOCK = 2048
+#: Rows of a block, the unit of search: small leaves share one, a leaf with more rows has several.
+BLOCK = 4096
 #: Queries that one task answers for a block: a block that more queries visit is copied for each lot of them.
 LOT = 8192
 #: Queries that calibrate the number of leaves to visit, and the recall they must reach.
@@ -113,19 +113,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The k best rows of one block for each query: largest product first, ties to the smaller id, never the query's own id."""
-    for at in range(0, len(q), 512):
-        scores = q[at : at + 512] @ x.T
-        scores[q_ids[at : at + 512, None] == ids[None, :]] = -np.inf
-        parts = []
-        for i, row in enumerate(scores):
-            some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-            some = some[np.isfinite(row[some])]
-            best = some[np.lexsort((ids[some], -row[some]))][:k]
-            parts.append(pd.DataFrame({"query_id": q_ids[at + i], "vec_id": ids[best], "score": row[best]}))
-        if parts:
-            yield pd.concat(parts)
+def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None, leaf: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """The k best rows for each query: largest product first, ties to the smaller id, never the query's own id.
+
+    ``allowed`` (queries by leaves) says which rows count for a query by the number of their ``leaf``.
+    """
+    for at in range(0, len(q), 256):
+        scores = q[at : at + 256] @ x.T
+        scores[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        if allowed is not None:
+            scores[~allowed[at : at + 256][:, leaf]] = -np.inf
+        least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        found = scores[row, col]
+        order = np.lexsort((ids[col], -found, row))
+        row, col, found = row[order], col[order], found[order]
+        first = np.searchsorted(row, row)
+        best = np.arange(len(row)) - first < k
+        yield pd.DataFrame({"query_id": q_ids[at + row[best]], "vec_id": ids[col[best]], "score": found[best]})
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -139,8 +144,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     The tree is fitted on a bounded sample (the rows with the smallest id hashes), every row is indexed. The number of
     leaves to visit is calibrated: probe queries are compared with all rows, and leaves are added, best bin first,
     until the wanted share of their true neighbours lies in them. A query also goes on until its leaves hold k rows
-    besides its own. Leaves with many rows (a vector that many rows repeat) fall into blocks by id hash; every block
-    of a visited leaf is searched and gives its k best, so no task holds a whole hot leaf and nothing is capped.
+    besides its own. Leaves with many rows (a vector that many rows repeat) fall into blocks by id hash, small leaves share a
+    block; each block gives a query the k best of its visited leaves, so no task holds a whole hot leaf and nothing is capped.
     Scores are float64 products of the stored vectors. Ids are distinct rows' names: of rows repeating an id with
     another vector each is a candidate of its own, and equal (id, score) pairs count once. Vectors of another length
     than the commonest take no part. An empty table gives an empty result.
@@ -165,7 +170,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
 
     indexed = stash(rows.mapInPandas(index, "vec_id long, v array<double>, leaf long"), "ann")
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # at most MOST_LEAVES rows
-    blocks = {leaf: -(-n // BLOCK) for leaf, n in sizes.items()}
+    # Neighbouring small leaves share a block, a leaf with more rows than a block has several.
+    bundles, held_rows, number = {}, 0, 0
+    for leaf in range(tree.leaves):
+        n = sizes.get(leaf, 0)
+        if held_rows and held_rows + n > BLOCK:
+            number, held_rows = number + 1, 0
+        bundles[leaf] = number
+        held_rows += n
     queries = indexed.where(F.col("vec_id") % every == 0)
 
     # Probes against all rows, in blocks, and the rank of each true neighbour's leaf in best-bin-first order.
@@ -183,33 +195,41 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     order = {int(i): {leaf: n for n, leaf in enumerate(tree.best_first(v))} for i, v in zip(probes["vec_id"], _matrix(probes["v"]), strict=True)}
     ranks = sorted(order[r["query_id"]][r["leaf"]] for r in truth)
     visits = ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1 if ranks else 1
-    plan = spark.sparkContext.broadcast((sizes, blocks))
+    plan = spark.sparkContext.broadcast((sizes, bundles))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes, _ = plan.value
+        sizes, bundles = plan.value
         for f in frames:
             out = []
             for i, v in zip(f["vec_id"], f["v"], strict=True):
                 seen = 0
+                mine: dict[int, list[int]] = {}
                 for n, leaf in enumerate(shared.value.best_first(np.asarray(v, np.float64))):
                     if n >= visits and seen > k:
                         break
                     seen += sizes.get(leaf, 0)
-                    out.append((i, v, leaf))
-            yield pd.DataFrame(out, columns=["query_id", "q", "leaf"])
-
-    visited = stash(queries.mapInPandas(visit, "query_id long, q array<double>, leaf long"), "ann")
-    calls = {r["leaf"]: r["count"] for r in visited.groupBy("leaf").count().collect()}  # at most MOST_LEAVES rows
-    table = [(int(leaf), int(n), int(-(-calls.get(leaf, 0) // LOT))) for leaf, n in blocks.items() if calls.get(leaf)]
-    deal = F.broadcast(spark.createDataFrame(table, "leaf long, n_blocks long, n_lots long"))  # at most MOST_LEAVES rows
+                    mine.setdefault(bundles[leaf], []).append(leaf)
+                out += [(i, v, bundle, leaves) for bundle, leaves in mine.items()]
+            yield pd.DataFrame(out, columns=["query_id", "q", "bundle", "leaves"])
+
+    visited = stash(queries.mapInPandas(visit, "query_id long, q array<double>, bundle long, leaves array<long>"), "ann")
+    calls = {r["bundle"]: r["count"] for r in visited.groupBy("bundle").count().collect()}  # at most MOST_LEAVES rows
+    rows_of: dict[int, int] = {}
+    for leaf, bundle in bundles.items():
+        rows_of[bundle] = rows_of.get(bundle, 0) + sizes.get(leaf, 0)
+    table = [(leaf, bundle, max(1, -(-rows_of[bundle] // BLOCK)), -(-calls[bundle] // LOT)) for leaf, bundle in bundles.items() if bundle in calls]
+    by_leaf = F.broadcast(spark.createDataFrame(table, "leaf long, bundle long, n_blocks long, n_lots long"))  # at most MOST_LEAVES rows
+    by_bundle = F.broadcast(spark.createDataFrame(sorted({t[1:] for t in table}), "bundle long, n_blocks long, n_lots long"))
     whole = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    probing = visited.join(deal, "leaf").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("n_lots"))).withColumn("block", whole("n_blocks")).select("leaf", "block", "lot", "query_id", "q")
-    held = indexed.join(deal, "leaf").withColumn("block", F.pmod(by_hash, F.col("n_blocks"))).withColumn("lot", whole("n_lots")).select("leaf", "block", "lot", "vec_id", "v")
+    probing = visited.join(by_bundle, "bundle").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("n_lots"))).withColumn("block", whole("n_blocks")).select("bundle", "block", "lot", "query_id", "q", "leaves")
+    held = indexed.join(by_leaf, "leaf").withColumn("block", F.pmod(by_hash, F.col("n_blocks"))).withColumn("lot", whole("n_lots")).select("bundle", "block", "lot", "leaf", "vec_id", "v")
 
     def one_block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.concat(_nearest(left["query_id"].to_numpy(), _matrix(left["q"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k))
+        names, leaf = np.unique(right["leaf"], return_inverse=True)
+        allowed = np.stack([np.isin(names, some) for some in left["leaves"]])
+        return pd.concat(_nearest(left["query_id"].to_numpy(), _matrix(left["q"]), right["vec_id"].to_numpy(), _matrix(right["v"]), k, allowed, leaf))
 
-    found = probing.groupBy("leaf", "block", "lot").cogroup(held.groupBy("leaf", "block", "lot")).applyInPandas(one_block, FOUND)
+    found = probing.groupBy("bundle", "block", "lot").cogroup(held.groupBy("bundle", "block", "lot")).applyInPandas(one_block, FOUND)
     return _top(found.distinct(), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
