@@ -242,7 +242,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                         rank = (s >> np.uint64(1)) | (late[(s >> np.uint64(40)).astype(np.int64) & (CELLS - 1)].astype(np.uint64) << np.uint64(63))
                         k = prefix_length(len(s))
                         first = s if k >= len(s) else s[np.argpartition(rank, k - 1)[:k]]
-                        tokens.append((first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                        tokens.append(np.unique((first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                         vector.append(count_vector(s).tobytes())
                     else:
                         tokens.append(np.zeros(0, np.int32))
@@ -263,7 +263,9 @@ def _clusters(profiles: DataFrame) -> DataFrame:
     sets = profiles.where("n > 0").groupBy("f1").agg(F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
     sets = stash(sets, "sets")
     pairs = sets.select(F.explode("tokens").alias("token"), "f1")
-    shared = pairs.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    # Buckets of the same members give the same pairs: of those the one with the smallest token is searched.
+    buckets = pairs.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("f1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "f1")).alias("x2")).where("c > 1")
+    shared = buckets.groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token")
     members = pairs.join(shared, "token").join(sets.select("f1", "vector"), "f1").select("token", "f1", "vector")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
