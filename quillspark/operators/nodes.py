@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import settled
+
 # A context c and a candidate x of one document meet on equal keys where there are any; the interval is a residual.
 _AXES = {
     "child": "x.parent_id = c.node_id",
@@ -51,11 +53,20 @@ def encode(edges: DataFrame) -> DataFrame:
 
 
 def outline_numbers(nodes: DataFrame) -> DataFrame:
-    """Dotted numbers ``1.2.3``: each node's ordinal among its siblings behind those of its ancestors."""
+    """Dotted numbers ``1.2.3``: each node's ordinal among its siblings behind those of its ancestors.
+
+    A round numbers the children of the nodes numbered last by an equi-join on document and parent, so each node meets
+    its parent only; numbering begins at nodes whose parent is not among ``nodes``. Each round is checkpointed.
+    """
     w = Window.partitionBy("doc_id", "parent_id").orderBy("node_id")
-    own = nodes.withColumn("n", F.row_number().over(w))
-    above = axis(own.select("doc_id", "node_id", "end_id", "parent_id"), own.select("doc_id", "node_id", "end_id", "parent_id", "depth", "n"), "ancestor-or-self")
-    return above.groupBy("doc_id", "context_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "n"))), lambda s: s["n"].cast("string")), ".").alias("outline"))
+    own = settled(nodes.select("doc_id", "node_id", "parent_id").withColumn("n", F.row_number().over(w).cast("string")))
+    ids = own.select("doc_id", F.col("node_id").alias("parent_id"))
+    level = out = settled(own.join(ids, ["doc_id", "parent_id"], "left_anti").select("doc_id", F.col("node_id").alias("context_id"), F.col("n").alias("outline")))
+    while not level.isEmpty():
+        above = level.select("doc_id", F.col("context_id").alias("parent_id"), F.col("outline").alias("up"))
+        level = settled(own.join(above, ["doc_id", "parent_id"]).select("doc_id", F.col("node_id").alias("context_id"), F.concat_ws(".", "up", "n").alias("outline")))
+        out = out.unionByName(level)
+    return out
 
 
 def depth_chunks(nodes: DataFrame, most: int) -> DataFrame:
