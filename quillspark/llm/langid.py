@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import small, stash
+
 #: Cells of an n-gram vector, centroids of a language, labelled documents per language and in all that a fit may use.
 CELLS, CENTROIDS, PER_LANGUAGE, IN_ALL = 4096, 3, 400, 6000
 UNKNOWN = "und"
@@ -102,17 +105,33 @@ def _clusters(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, centroids: int = CENTROIDS) -> Model:
-    """Fit on at most ``per_language`` texts of each language and ``in_all`` in all, chosen by a hash of the text.
+def _has_letter() -> Column:
+    """Whether ``text`` has a letter, by the classes that ``vectors`` uses; only texts without a plain one go to Python."""
+
+    @F.pandas_udf("boolean")
+    def other(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
 
-    ``labelled`` has ``text`` and a non-null ``lang``. The choice keeps the texts with the smallest hashes per
-    language (a window with a row-number limit, which Spark cuts per task before it shuffles, so a language with most
-    of the rows makes no large group). Only count vectors of the chosen texts reach the driver. A language's
-    rejection distance is half the least cosine of its own training texts.
+    plain = F.col("text").rlike("[A-Za-z]")
+    return plain | other(F.when(~plain, F.col("text")))
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, centroids: int = CENTROIDS) -> Model:
+    """Fit on at most ``per_language`` different texts of each language and ``in_all`` in all, chosen by a hash of the text.
+
+    ``labelled`` has ``text`` and a non-null ``lang``. The choice keeps the different texts with a letter that have the
+    smallest hashes per language: first the hashes alone are made distinct and ranked, then the texts up to the last
+    hash needed are made distinct and ranked, so copies take one place and few texts are shuffled (row-number limits
+    are cut per task before they shuffle, so a language with most of the rows makes no large group). Only count vectors
+    of the chosen texts reach the driver. A language's rejection distance is half the least cosine of its own training
+    texts.
     """
-    usable = labelled.where("text is not null and lang is not null").select("text", "lang")
+    hashed = labelled.where("text is not null and lang is not null").where(_has_letter()).select("text", "lang").withColumn("h", F.xxhash64("text"))
+    some = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
+    last = stash(some.groupBy("lang").agg(F.max("h").alias("last")), "langid")
+    usable = hashed.join(small(last), "lang").where("h <= last").select("text", "lang", "h").distinct()
     order = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = usable.withColumn("h", F.xxhash64("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).orderBy("k", "h", "lang").limit(in_all)
+    chosen = usable.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).orderBy("k", "h", "lang").limit(in_all)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
