@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,28 @@ def _keys() -> list[Column]:
     return [F.concat(F.lit("2|"), part("lang"), F.lit("|"), part("source")), F.concat(F.lit("1|"), part("lang")), F.lit("0|")]
 
 
+def _chi_square(x: float, degrees: int) -> float:
+    """Share of the chi-square distribution up to ``x``, by the series of the incomplete gamma function."""
+    a, x = degrees / 2, x / 2
+    term = total = math.exp(a * math.log(x) - x - math.lgamma(a + 1)) if x > 0 else 0.0
+    while term > 1e-17 * total:
+        a += 1
+        term *= x / a
+        total += term
+    return total
+
+
+def consistency(keep: float, degrees: int = len(STATS)) -> float:
+    """The factor that makes the scatter of the nearest ``keep`` of normal data that of all."""
+    if keep >= 1:
+        return 1.0
+    low, high = 0.0, 400.0
+    for _ in range(80):
+        edge = (low + high) / 2
+        low, high = (edge, high) if _chi_square(edge, degrees) < keep else (low, edge)
+    return keep / _chi_square(edge, degrees + 2)
+
+
 def _invert(moments: DataFrame) -> DataFrame:
     """Location and inverse scatter of each group from its sums; the scatter is floored along each statistic."""
 
@@ -142,8 +165,7 @@ def fit(stats: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
     deviation = [F.greatest(1.4826 * F.col(f"s{i}"), F.lit(float(FLOORS[i]))) for i in range(5)]
     zero = F.lit(0.0)
     now = stash(spread.select("key", F.col("size").alias("n"), F.array(*[F.col(f"m{i}") for i in range(5)]).alias("loc"), F.array(*[1 / (deviation[i] * deviation[i]) if i == j else zero for i in range(5) for j in range(5)]).alias("inv")), "mcd")
-    # Makes the kept share's scatter that of all, for normal data (5 degrees of freedom, keep 0.75).
-    scale = 1.64
+    scale = consistency(keep)
     for _ in range(steps):
         binned = points.join(small(now), "key").select("key", "x", F.floor(F.log(squared_distance() + 1e-9) * BINS).cast("int").alias("bin"))
         counts = binned.groupBy("key", "bin").agg(F.count("*").alias("c"))
