@@ -92,7 +92,6 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.chars = byte_characters()
         self.table = {c: b for b, c in enumerate(self.chars)}
-        self.tokens = {r: t for t, r in ranks.items()}
         self.kept: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
 
@@ -117,9 +116,8 @@ class ByteBpe:
         """Encode and decode distinct pre-tokens, once each; of the kept ones the less recent half goes when full."""
         if len(self.kept) > KEPT_PIECES:
             self.older, self.kept = self.kept, {}
-        tokens = self.tokens
         for p, ids in zip(pretokens, self.ids(pretokens), strict=True):
-            self.kept[p] = (" ".join(map(str, ids)), b"".join([tokens[i] for i in ids]))
+            self.kept[p] = (" ".join(map(str, ids)), self.decode(ids))
 
     def coded(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text: decimal ids joined by spaces, their number, and what they decode to."""
