@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from quillspark.session import settled
 
 
-def closure(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``src, dst`` of all nodes reachable in one step or more; cycles end, since known pairs are not followed again.
 
-    A round joins only the pairs found last; each round is checkpointed in the session's shared folder.
+    A round joins the pairs found last to all known ones, so path lengths double and any chain settles after as many
+    rounds as its length has binary digits; each round is checkpointed in the session's shared folder.
     """
-    edges = settled(edges.select("src", "dst").distinct())
-    seen = new = edges
-    for _ in range(rounds):
-        step = new.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
+    seen = new = settled(edges.select("src", "dst").distinct())
+    while True:
+        step = new.select("src", F.col("dst").alias("via")).join(seen.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         new = settled(step.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return seen
         seen = settled(seen.unionByName(new))
-    raise RuntimeError("the closure did not settle")
 
 
 def may_contain(content: DataFrame, members: DataFrame) -> DataFrame:
