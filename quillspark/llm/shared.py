@@ -13,9 +13,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves a local session only:
+    executors of a cluster would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quill-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,9 +35,39 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that one call needs on its way; ``clear`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        context = self.spark.sparkContext
+        for path in self.paths:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
+def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` (already materialised) has at most so many rows; with rows of fixed size, a bound on its bytes."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` (already materialised) for broadcast if it has at most ``rows`` rows, else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Mark ``df`` (already materialised, rows of fixed size) for broadcast if it has at most ``rows`` rows, else leave the join to AQE."""
+    return F.broadcast(df) if at_most(df, rows) else df
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row``, beside columns computed from them: no name can clash."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
 def content_keys(text: str = "text") -> tuple[Column, Column]:

@@ -6,6 +6,10 @@ bytes are a context. Only contexts of anchors that occur again are kept, equal c
 number, and contexts of one anchor meet in one block. A block's repeats come from a Burrows-Wheeler transform: breadth
 first, backward extension by one byte turns the boundaries between suffixes with common prefixes of length l into
 those of length l + 1, until 400; what is then undivided repeats.
+
+Contexts of an anchor that occurs too often for one block are divided across tasks: by how far their windows start
+before the anchor, and then by the bytes that all these windows share. Equal windows stay together, and groups that are
+still too large are divided again, down to single windows, which are all equal. So a group always fits in a block.
 """
 
 from __future__ import annotations
@@ -22,12 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernels
-from quillspark.llm.shared import content_keys, small, stash
+from quillspark.llm.shared import Scratch, at_most, content_keys, packed, small, stash
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 400, 32
 #: Bytes of a block, and the most that one transform takes (positions have 20 bits).
 BLOCK, MOST = 1 << 19, (1 << 20) - 2
+#: Ways in which a group that is too large for a block is divided by the distance of its windows from the anchor.
+WAYS = 8
+#: Bytes of cuts that are broadcast at most.
+CUT_BYTES = 24 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -80,10 +88,11 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
-def repeated(data: np.ndarray, valid: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated(data: np.ndarray, valid: np.ndarray, weight: np.ndarray, length: int = LENGTH, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """For each byte of a block, whether the string of ``length`` bytes from it starts at least twice by weight.
 
-    ``valid`` marks bytes that start such a string of their own text; ``weight`` is how often their text counts.
+    ``valid`` marks bytes that start such a string of their own text; ``weight`` is how often their text counts. With
+    ``rank``, the bytes' order, the second result marks those of them that come after an equal string.
     """
     text = np.concatenate([data.astype(np.int64) + 1, [0]])
     n = len(text)
@@ -111,13 +120,16 @@ def repeated(data: np.ndarray, valid: np.ndarray, weight: np.ndarray, length: in
         reached = to[at]
         frontier = np.sort(reached[~boundary[reached]])
         boundary[frontier] = True
-    group = np.cumsum(boundary[:n]) - 1
-    counts = np.zeros(n, np.int64)
-    counts[:-1] = np.where(valid, weight, 0)
-    total = np.bincount(group, weights=counts[order].astype(np.float64))
-    out = np.zeros(n, bool)
-    out[order] = total[group] >= 2
-    return out[:-1] & valid
+    group = np.empty(n, np.int64)
+    group[order] = np.cumsum(boundary[:n]) - 1
+    group = group[:-1]
+    total = np.bincount(group, weights=np.where(valid, weight, 0).astype(np.float64))
+    again = (total[group] >= 2) & valid
+    if rank is None:
+        return again, None
+    least = np.full(len(total), np.iinfo(np.int64).max)
+    np.minimum.at(least, group[again], rank[again])
+    return again, again & (rank > least[group])
 
 
 def ranges(mask: np.ndarray) -> list[int]:
@@ -128,34 +140,28 @@ def ranges(mask: np.ndarray) -> list[int]:
 
 
 class Blocks:
-    """Collects contexts of anchors and finds the starts in them that repeat.
+    """Collects groups of contexts and finds the starts in them that repeat.
 
-    A piece is ``(ids, context, first, last, distance)``: context bytes, the starts of it that are asked for, the anchor's
-    distance from the context's first byte, and ids of the contexts it stands for with their weights.
+    A context is ``(name, bytes, weight, lead)``: ``lead`` is its first place as ``(id, k1, k2, start)``. ``found`` gets
+    for each name the runs of starts that repeat, and those runs without the first place of each string.
     """
 
-    def __init__(self, length: int = LENGTH) -> None:
-        self.length, self.open, self.size = length, [], 0
-        self.found: dict[int, list[int]] = defaultdict(list)
-
-    def add(self, rows: list[tuple[int, bytes, int, int]]) -> None:
-        """Contexts of one anchor, all different: ``(id, context, distance, weight)``."""
-        if sum(len(r[1]) for r in rows) <= MOST:
-            self._put([([(i, 0, w)], c, len(c) - self.length + 1, d) for i, c, d, w in rows])
-        else:
-            self._halve([([(i, 0, w)], c, len(c) - self.length + 1, d) for i, c, d, w in rows], 0, self.length)
-
-    def _put(self, pieces: list) -> None:
-        if len(pieces) == 1:
-            ids, _, starts, _ = pieces[0]
-            if sum(w for _, _, w in ids) >= 2:
-                for i, shift, _ in ids:
-                    self.found[i] += [shift, shift + starts - 1]
+    def __init__(self, length: int = LENGTH, first: bool = False) -> None:
+        self.length, self.first, self.open, self.size = length, first, [], 0
+        self.found: list[tuple] = []
+
+    def add(self, group: list[tuple]) -> None:
+        """All distinct contexts of one group; a single one that counts once has no repeats across groups or inside."""
+        if len(group) == 1 and not self.first and group[0][2] >= 2:
+            runs = [0, len(group[0][1]) - self.length]
+            self.found.append((group[0][0], runs, runs))
             return
-        size = sum(len(p[1]) for p in pieces)
+        if len(group) == 1 and group[0][2] < 2:
+            return
+        size = sum(len(c[1]) for c in group)
         if self.size + size > BLOCK and self.open:
             self.close()
-        self.open += pieces
+        self.open += group
         self.size += size
         if self.size > BLOCK:
             self.close()
@@ -163,177 +169,298 @@ class Blocks:
     def close(self) -> None:
         if not self.open:
             return
-        data = np.frombuffer(b"".join(p[1] for p in self.open), np.uint8)
-        sizes = np.array([len(p[1]) for p in self.open])
+        data = np.frombuffer(b"".join(c[1] for c in self.open), np.uint8)
+        sizes = np.array([len(c[1]) for c in self.open])
         at = np.concatenate([[0], np.cumsum(sizes)])
-        starts = np.array([p[2] for p in self.open])
-        valid = np.arange(len(data)) - np.repeat(at[:-1], sizes) < np.repeat(starts, sizes)
-        weight = np.repeat(np.array([sum(w for _, _, w in p[0]) for p in self.open]), sizes)
-        mask = repeated(data, valid, weight, self.length)
-        for p, lo, n in zip(self.open, at, starts, strict=False):
+        starts = sizes - self.length + 1
+        inside = np.arange(len(data)) - np.repeat(at[:-1], sizes)
+        valid = inside < np.repeat(starts, sizes)
+        weight = np.repeat(np.array([c[2] for c in self.open]), sizes)
+        rank = None
+        if self.first:
+            texts = {t: k for k, t in enumerate(sorted({c[3][:3] for c in self.open}))}
+            rank = np.repeat(np.array([(texts[c[3][:3]] << 36) + c[3][3] for c in self.open]), sizes) + inside
+        mask, later = repeated(data, valid, weight, self.length, rank)
+        for c, lo, n in zip(self.open, at, starts, strict=False):
             runs = ranges(mask[lo : lo + n])
             if runs:
-                for i, shift, _ in p[0]:
-                    self.found[i] += [r + shift for r in runs]
+                self.found.append((c[0], runs, ranges(later[lo : lo + n]) if self.first else runs))
         self.open, self.size = [], 0
 
-    def _halve(self, pieces: list, low: int, high: int) -> None:
-        """Divide an anchor's pieces by how far their starts are from the anchor, then by the bytes all those windows share."""
-        middle = (low + high) // 2
-        for a, b in ((low, middle), (middle + 1, high)):
-            if a > b:
-                continue
-            groups: dict[bytes, dict[bytes, list]] = defaultdict(dict)
-            for ids, context, starts, distance in pieces:
-                lo, hi = max(0, distance - b), min(starts - 1, distance - a)
-                if lo > hi:
-                    continue
-                core = context[distance - a : distance - b + self.length]
-                part = context[lo : hi + self.length]
-                key = (distance - lo).to_bytes(4, "big") + part
-                held = groups[core].setdefault(key, [[], part, hi - lo + 1, distance - lo])
-                held[0] += [(i, shift + lo, w) for i, shift, w in ids]
-            for some in groups.values():
-                members = [tuple(x) for x in some.values()]
-                if len(members) == 1 or a == b or sum(len(m[1]) for m in members) <= MOST:
-                    self._put(members)
-                else:
-                    self._halve(members, a, b)
-
 
 # ---------------------------------------------------------------- stages
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    """The distinct anchors of each text and how often each occurs in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in kernels.texts(batch.column("text")):
                 owner, _, _, _, h = anchors(data, offsets, length)
-                cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("k1").slice(lo, hi - lo), batch.column("k2").slice(lo, hi - lo), lists], names=["k1", "k2", "anchors"])
+                order = np.lexsort((h, owner))
+                owner, h = owner[order], h[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
+                times = np.diff(np.concatenate([new, [len(h)]]))
+                cuts = pa.array(np.searchsorted(owner[new], np.arange(hi - lo + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h[new].view(np.int64), times)]
+                yield pa.RecordBatch.from_arrays([batch.column("k1").slice(lo, hi - lo), batch.column("k2").slice(lo, hi - lo), *lists], names=["k1", "k2", "anchors", "times"])
+
+    return texts.mapInArrow(run, "k1 long, k2 long, anchors array<long>, times array<long>")
+
+
+_PIECE = [("k1", "long"), ("k2", "long"), ("id", "long"), ("copies", "long"), ("g1", "long"), ("g2", "long"), ("c1", "long"), ("c2", "long"), ("start", "long"), ("distance", "long"), ("low", "int"), ("high", "int"), ("context", "binary")]
+_PIECES = ", ".join(" ".join(p) for p in _PIECE)
+_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in _PIECE])
+
+
+def _names(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs for each of some byte strings."""
+    named = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return named[:, 0], named[:, 1]
+
+
+class _Pieces:
+    """Rows of the pieces table, built in lists and given out as batches."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.rows, self.keys, self.whole = length, [], [], []
 
-    return texts.mapInArrow(run, "k1 long, k2 long, anchors array<long>")
+    def whole_context(self, text: tuple, anchor: int, start: int, distance: int, context: bytes) -> None:
+        """All windows of an anchor at one place; their group is the anchor."""
+        self._add(text, anchor.to_bytes(8, "big", signed=True), start, distance, 0, self.length, context)
+
+    def divided(self, text: tuple, anchor: bytes, start: int, distance: int, low: int, high: int, context: bytes) -> None:
+        """The windows that start between ``low`` and ``high`` bytes before the anchor, dealt out by distance and shared bytes."""
+        step = -(-(high - low + 1) // WAYS)
+        starts = len(context) - self.length + 1
+        for a in range(low, high + 1, step):
+            b = min(high, a + step - 1)
+            lo, hi = max(0, distance - b), min(starts - 1, distance - a)
+            if lo <= hi:
+                core = context[distance - a : distance - b + self.length]
+                self._add(text, anchor + a.to_bytes(4, "big") + b.to_bytes(4, "big") + core, start + lo, distance - lo, a, b, context[lo : hi + self.length])
+
+    def _add(self, text: tuple, key: bytes, start: int, distance: int, low: int, high: int, context: bytes) -> None:
+        self.rows.append((*text, start, distance, low, high, context))
+        self.keys.append(key)
+        self.whole.append(distance.to_bytes(4, "big") + context)
+
+    def batch(self) -> pa.RecordBatch:
+        k1, k2, id_, copies, start, distance, low, high, context = zip(*self.rows, strict=True)
+        arrays = [k1, k2, id_, copies, *_names(self.keys), *_names(self.whole), start, distance, low, high, context]
+        self.rows, self.keys, self.whole = [], [], []
+        return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, _ARROW, strict=True)], schema=_ARROW)
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
-    """Contexts of the anchors in ``wanted`` of each text."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int64()), ("distance", pa.int64()), ("context", pa.binary())])
+    """Pieces of the texts (``k1, k2, id, copies, text, wanted, hot``): contexts of wanted anchors, those of hot ones divided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            wanted = batch.column("wanted")
+            named = list(zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "id", "copies")], strict=True))
+            out = _Pieces(length)
             for lo, hi, data, offsets in kernels.texts(batch.column("text")):
                 owner, first, last, place, h = anchors(data, offsets, length)
-                part = wanted.slice(lo, hi - lo)
-                values = part.flatten().to_numpy()
-                of = np.repeat(np.arange(hi - lo), pc.list_value_length(part).to_numpy())
-                pairs = kernels.mix(values.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                mine = np.flatnonzero(np.isin(kernels.mix(h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), pairs))
                 raw = data.tobytes()
-                for k in range(0, len(mine), 2000):
-                    some = mine[k : k + 2000]
-                    contexts = [raw[a : b + length] for a, b in zip(first[some], last[some], strict=True)]
-                    names = np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in contexts]), np.int64).reshape(-1, 2)
-                    doc = owner[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(h[some].view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(first[some] - offsets[doc]), pa.array(place[some] - first[some]), pa.array(contexts, pa.binary())], schema=schema)
+                at = np.searchsorted(owner, np.arange(hi - lo + 1))
+                for k in range(hi - lo):
+                    mine = slice(at[k], at[k + 1])
+                    wanted, hot = (set(batch.column(c)[lo + k].as_py()) for c in ("wanted", "hot"))
+                    for a, b, p, anchor in zip(first[mine].tolist(), last[mine].tolist(), place[mine].tolist(), h[mine].view(np.int64).tolist(), strict=True):
+                        if anchor in hot:
+                            out.divided(named[lo + k], anchor.to_bytes(8, "big", signed=True), a - int(offsets[k]), p - a, 0, length - ANCHOR, raw[a : b + length])
+                        elif anchor in wanted:
+                            out.whole_context(named[lo + k], anchor, a - int(offsets[k]), p - a, raw[a : b + length])
+                        if len(out.rows) >= 4000:
+                            yield out.batch()
+            if out.rows:
+                yield out.batch()
+
+    return texts.mapInArrow(run, _PIECES)
+
+
+def _divided(pieces: DataFrame, length: int) -> DataFrame:
+    """Pieces of groups that are too large, divided further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Pieces(length)
+            columns = [batch.column(c).to_pylist() for c in ("k1", "k2", "id", "copies", "g1", "g2", "start", "distance", "low", "high", "context")]
+            for k1, k2, id_, copies, g1, g2, start, distance, low, high, context in zip(*columns, strict=True):
+                out.divided((k1, k2, id_, copies), g1.to_bytes(8, "big", signed=True) + g2.to_bytes(8, "big", signed=True), start, distance, low, high, context)
+                if len(out.rows) >= 4000:
+                    yield out.batch()
+            if out.rows:
+                yield out.batch()
 
-    return texts.mapInArrow(run, "k1 long, k2 long, anchor long, c1 long, c2 long, start long, distance long, context binary")
+    return pieces.mapInArrow(run, _PIECES)
 
 
-def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """``anchor, c1, c2, runs`` of distinct contexts with starts that repeat: flat first and last start of each run."""
+def _repeats(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """``g1, g2, c1, c2, runs, later, lead`` of distinct contexts with starts that repeat: flat first and last start of each run."""
+    schema = "g1 long, g2 long, c1 long, c2 long, runs array<long>, later array<long>, lead struct<id: long, k1: long, k2: long, start: long>"
+    lead_type = pa.struct([(n, pa.int64()) for n in ("id", "k1", "k2", "start")])
+    arrow = pa.schema([(n, pa.int64()) for n in ("g1", "g2", "c1", "c2")] + [(n, pa.list_(pa.int64())) for n in ("runs", "later")] + [("lead", lead_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(length)
-        names: list[tuple[int, int, int]] = []
-        group: list[tuple[int, bytes, int, int]] = []
+        blocks = Blocks(length, keep_first)
+        group: list[tuple] = []
 
         def out() -> pa.RecordBatch | None:
-            blocks.close()
-            rows = [(*names[i], runs) for i, runs in blocks.found.items()]
+            rows = [(*name, runs, later, dict(zip(("id", "k1", "k2", "start"), lead, strict=True))) for (name, lead), runs, later in blocks.found]
             blocks.found.clear()
-            names.clear()
-            if not rows:
-                return None
-            a, b, c, d = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.int64()))], names=["anchor", "c1", "c2", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow) if rows else None
 
+        last = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "context", "distance", "copies")]
-            for anchor, c1, c2, context, distance, copies in zip(*columns, strict=True):
-                if group and names[group[-1][0]][0] != anchor:
+            columns = [batch.column(c).to_pylist() for c in ("g1", "g2", "c1", "c2", "context", "copies", "lead")]
+            for g1, g2, c1, c2, context, copies, lead in zip(*columns, strict=True):
+                if group and last != (g1, g2):
                     blocks.add(group)
                     group = []
-                    if len(names) > 4000 and (made := out()) is not None:
+                    if len(blocks.found) > 2000 and (made := out()) is not None:
                         yield made
-                names.append((anchor, c1, c2))
-                group.append((len(names) - 1, context, distance, copies))
+                last, lead = (g1, g2), tuple(lead.values())
+                group.append((((g1, g2, c1, c2), lead), context, copies, lead))
         if group:
             blocks.add(group)
+        blocks.close()
         if (made := out()) is not None:
             yield made
 
-    distinct = contexts.groupBy("anchor", "c1", "c2").agg(F.first("context").alias("context"), F.first("distance").alias("distance"), F.count("*").alias("copies"))
-    return distinct.repartition("anchor").sortWithinPartitions("anchor", "c1", "c2").mapInArrow(run, "anchor long, c1 long, c2 long, runs array<long>")
+    distinct = pieces.groupBy("g1", "g2", "c1", "c2").agg(F.first("context").alias("context"), F.sum("copies").alias("copies"), F.min(F.struct("id", "k1", "k2", "start")).alias("lead"))
+    return distinct.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "c1", "c2").mapInArrow(run, schema)
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``k1, k2, cuts``: for each text with something to remove, flat first and last starts of windows that repeat."""
-    k1, k2 = content_keys()
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    found = stash(_anchor_rows(texts, length), "anchors")
-    each = found.select("k1", "k2", F.explode("anchors").alias("anchor"))
-    again = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    wanted = stash(each.join(again, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("wanted")), "wanted")
-    contexts = stash(_contexts(texts.join(small(wanted, 300_000), ["k1", "k2"]), length), "contexts")
-    repeats = stash(_repeats(contexts, length), "repeats")
-    places = contexts.select("k1", "k2", "anchor", "c1", "c2", "start").distinct()
-    shifted = places.join(repeats, ["anchor", "c1", "c2"]).select("k1", "k2", F.transform("runs", lambda r: r + F.col("start")).alias("runs"))
-    return stash(shifted.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("cuts")), "cuts")
+def _merged(runs: DataFrame, length: int) -> DataFrame:
+    """``k1, k2, cuts, later``: for each text, flat starts and ends of the maximal byte runs that its windows cover."""
+    arrow = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("cuts", pa.list_(pa.int64())), ("later", pa.list_(pa.int64()))])
+
+    def united(column: pa.Array, text: np.ndarray, n: int) -> pa.Array:
+        pairs = column.flatten().to_numpy().reshape(-1, 2)
+        of = np.repeat(text, pc.list_value_length(column).to_numpy() // 2) << 36
+        a, b = of + pairs[:, 0], of + pairs[:, 1] + length
+        order = np.argsort(a, kind="stable")
+        a, reach = a[order], np.maximum.accumulate(b[order])
+        new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]])) if len(a) else np.zeros(0, np.int64)
+        flat = np.stack([a[new], reach[np.concatenate([new[1:], [len(a)]]) - 1]], axis=1) if len(a) else np.zeros((0, 2), np.int64)
+        at = np.searchsorted(flat[:, 0] >> 36, np.arange(n + 1)) * 2
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((flat & ((1 << 36) - 1)).ravel()))
 
+    def made(table: pa.Table) -> pa.RecordBatch:
+        k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
+        new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+        text, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        lists = [united(table.column(c).combine_chunks(), text, len(at)) for c in ("runs", "later")]
+        return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), *lists], schema=arrow)
 
-def cut(docs: DataFrame, length: int = LENGTH, text: bool = False) -> DataFrame:
-    """``docs`` with ``q_bytes, q_removed, q_spans, q_sha256`` and, if asked for, ``q_text``, the text that is left.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if len(held) >= 20_000:
+                k1, k2 = (held.column(c).to_numpy() for c in ("k1", "k2"))
+                end = int(np.flatnonzero((k1 != k1[-1]) | (k2 != k2[-1]))[-1]) + 1 if ((k1 != k1[-1]) | (k2 != k2[-1])).any() else 0
+                if end:
+                    yield made(held.slice(0, end))
+                    held = held.slice(end)
+        if held is not None and len(held):
+            yield made(held)
+
+    dealt = runs.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    return dealt.mapInArrow(run, "k1 long, k2 long, cuts array<long>, later array<long>")
+
+
+def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, members: int | None = None) -> DataFrame:
+    """``k1, k2, least, cuts, later`` for each text with something to remove: flat starts and ends of byte runs.
+
+    ``cuts`` are all bytes of strings that start more than once; ``later`` leaves out the first place of each string,
+    in order of id, text and position, and is what the row with the text's ``least`` id loses if that place stays.
+    ``members`` is the number of contexts that a block takes.
+    """
+    members = members or MOST // (2 * length)
+    early, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    k1, k2 = content_keys()
+    id_ = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1)) if keep_first else F.lit(0).cast("long")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), id_.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    found = early.put(_anchor_rows(texts.select("k1", "k2", "text"), length).groupBy("k1", "k2").agg(F.first("anchors").alias("anchors"), F.first("times").alias("times"), F.count("*").alias("copies")), "anchors")
+    each = found.select("k1", "k2", "copies", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("k1", "k2", F.col("a.anchors").alias("anchor"), (F.col("a.times") * F.col("copies")).alias("n"))
+    again = early.put(each.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > members).alias("hot")), "again")
+    # Both sides are read from tables, so that the join is free to divide an anchor that many texts have.
+    wanted = each.select("k1", "k2", "anchor").join(again, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = scratch.put(wanted, "wanted")
+    # Keys are two longs, so a bound on rows is one on bytes; beyond it all texts are dealt out by their keys.
+    early.clear()
+    keys = wanted.select("k1", "k2")
+    some = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi") if at_most(keys, 300_000) else texts
+    once = some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    pieces = scratch.put(_contexts(once.join(wanted, ["k1", "k2"]), length), "pieces")
+    parts = [pieces]
+    while True:  # each round divides the distances of a large group by WAYS, so rounds are few
+        counts = parts[-1].where(F.col("high") - F.col("low") < length - ANCHOR).select("g1", "g2", "c1", "c2").distinct().groupBy("g1", "g2").agg(F.count("*").alias("n"))
+        large = scratch.put(counts.where(F.col("n") > members).select("g1", "g2"), "large")
+        if large.isEmpty():
+            break
+        large, whole = small(large, 300_000), parts.pop()
+        parts += [whole.join(large, ["g1", "g2"], "left_anti"), scratch.put(_divided(whole.join(large, ["g1", "g2"], "left_semi"), length), "pieces")]
+    pieces = parts[0]
+    for p in parts[1:]:
+        pieces = pieces.unionByName(p)
+    repeats = scratch.put(_repeats(pieces, length, keep_first), "repeats")
+    places = pieces.select("k1", "k2", "g1", "g2", "c1", "c2", "start")
+    met = places.join(repeats, ["g1", "g2", "c1", "c2"])
+    moved = lambda c: F.transform(c, lambda r: r + F.col("start"))
+    leads = (F.col("lead.k1") == F.col("k1")) & (F.col("lead.k2") == F.col("k2")) & (F.col("lead.start") == F.col("start"))
+    shifted = met.select("k1", "k2", moved("runs").alias("runs"), (F.when(leads, moved("later")).otherwise(moved("runs")) if keep_first else F.array().cast("array<long>")).alias("later"))
+    merged = _merged(shifted, length)
+    if keep_first:
+        cuts = stash(merged.join(texts.groupBy("k1", "k2").agg(F.min("id").alias("least")), ["k1", "k2"]), "cuts")
+    else:
+        cuts = stash(merged.withColumn("least", F.lit(None).cast("long")), "cuts")
+    scratch.clear()
+    return cuts
+
+
+def cut(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, members: int | None = None) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``), ``n_bytes, n_removed, n_spans, kept_sha256, kept_text`` for each row.
 
     A text is its UTF-8 bytes, null is empty. Removed are all bytes of all occurrences of strings of ``length``
     bytes that start more than once anywhere, also in one text and in equal texts; overlaps count, and strings are
-    judged on the input. Where removal splits a character its rest is dropped from ``q_text`` (not from the digest).
-    Repeated rows are copies. An empty table gives an empty result; other columns pass unchanged.
+    judged on the input. With ``keep_first`` the first occurrence of each string stays, in order of doc_id (null last),
+    text and position. Where removal splits a character its rest is dropped from ``kept_text`` (not from the digest);
+    ``kept_text`` of a null text is null. Repeated rows are copies (with ``keep_first``, rows that repeat an id with its
+    text lose the same). An empty table gives an empty result. Other columns pass unchanged, whatever their names.
     """
     k1, k2 = content_keys()
-    cuts = removals(docs, length).select(F.col("k1").alias("q_k1"), F.col("k2").alias("q_k2"), F.col("cuts").alias("q_cuts"))
-    one, two = F.col("q_one"), F.col("q_two")
-    rows = docs.withColumn("q_one", k1).withColumn("q_two", k2).join(small(cuts, 300_000), (one == F.col("q_k1")) & (two == F.col("q_k2")), "left").drop("q_one", "q_two", "q_k1", "q_k2")
-    added = [T.StructField("q_bytes", T.LongType()), T.StructField("q_removed", T.LongType()), T.StructField("q_spans", T.LongType()), T.StructField("q_sha256", T.StringType())] + [T.StructField("q_text", T.StringType())] * text
+    cuts = removals(docs, length, keep_first, members)
+    size = cuts.agg(F.sum(32 + 8 * (F.size("cuts") + F.size("later")))).first()[0] or 0
+    cuts = F.broadcast(cuts) if size <= CUT_BYTES else cuts
+    id_ = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1)) if keep_first else F.lit(0).cast("long")
+    rows = packed(docs, k1=k1, k2=k2, id=id_, text=F.col("text").cast("string")).join(cuts, ["k1", "k2"], "left")
+    rows = rows.select("row", "text", (F.when(F.col("id") == F.col("least"), F.col("later")).otherwise(F.col("cuts")) if keep_first else F.col("cuts")).alias("cuts"))
+    added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digests, left = [], [], [], [], []
-            for t, c in zip(batch.column("text"), batch.column("q_cuts"), strict=True):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                kept, k = raw, 0
-                if c.is_valid:
-                    edge = np.zeros(len(raw) + 1, np.int64)
-                    pair = np.asarray(c.as_py(), np.int64).reshape(-1, 2)
-                    np.add.at(edge, pair[:, 0], 1)
-                    np.add.at(edge, pair[:, 1] + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    k = len(ranges(gone)) // 2
+            for t, c in zip(batch.column("text"), batch.column("cuts"), strict=True):
+                value = t.as_py()
+                raw = (value or "").encode("utf-8", "surrogatepass")
+                gone = c.as_py() if c.is_valid else []
+                kept = b"".join([raw[a:b] for a, b in zip([0, *gone[1::2]], [*gone[::2], len(raw)], strict=True)]) if gone else raw
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(kept))
-                spans.append(k)
+                spans.append(len(gone) // 2)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                if text:
-                    left.append(kept.decode("utf-8", "ignore"))
-            columns = [batch.column(n) for n in batch.schema.names if n != "q_cuts"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), *[pa.array(left, pa.string())] * text], names=[*[n for n in batch.schema.names if n != "q_cuts"], *[f.name for f in added]])
+                left.append(kept.decode("utf-8", "ignore") if gone else value)
+            columns = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", *[f.name for f in added]])
 
-    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema.fields if f.name != "q_cuts"], *added]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *added]))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``text``, what is left of the text, for each row."""
     out = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")), length)
-    return out.select("doc_id", F.col("q_bytes").alias("n_bytes"), F.col("q_removed").alias("n_removed"), F.col("q_spans").alias("n_spans"), F.col("q_sha256").alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))

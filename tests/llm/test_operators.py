@@ -182,7 +182,7 @@ def test_repeated_bytes():
         valid = np.concatenate([np.arange(len(t)) <= len(t) - length for t in texts])
         counts = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         want = [i + length <= len(t) and counts[t[i : i + length]] > 1 for t in texts for i in range(len(t))]
-        assert suffixes.repeated(data, valid, np.ones(len(data), int), length).tolist() == want
+        assert suffixes.repeated(data, valid, np.ones(len(data), int), length)[0].tolist() == want
 
 
 def test_suffix_dedup(docs, rows, empty):
