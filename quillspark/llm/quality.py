@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernels
-from quillspark.llm.shared import small, stash
+from quillspark.llm.shared import Scratch, packed, small, stash
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Share of a group's documents that the estimate keeps; concentration steps; documents a group needs for its own estimate.
-KEEP, STEPS, LEAST = 0.75, 4, 100
+#: Share of a group's documents that the estimate keeps; documents a group needs for an estimate of its own.
+KEEP, LEAST = 0.75, 100
+#: Concentration steps of all starts, and of the best one at most; it ends when no group's log determinant falls by more.
+FIRST_STEPS, LAST_STEPS, SETTLED = 2, 6, 0.01
 #: Squared distance beyond which a document is an outlier: the chi-square quantile of 5 degrees of freedom at 1 - 1e-6.
 CUT = 35.9
 #: Least standard deviation of each transformed statistic, so that statistics that hardly vary reject nothing by noise.
 FLOORS = np.array([1.0, 0.12, 0.35, 0.5, 0.6])
-#: Histogram bins for each unit of the log of the squared distance.
-BINS = 24
+#: Histogram bins for each unit of the log of the squared distance, and of a transformed statistic.
+BINS, FINE = 24, 64
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True  # fixed values of the contract
 
@@ -69,29 +71,28 @@ def text_stats(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
 
-def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the statistics as columns ``q_n_words, ...``: a map over rows, other columns unchanged."""
-    fields = [T.StructField(f"q_{c}", T.LongType()) for c in STATS]
-    docs = docs.drop(*[f.name for f in fields])
+def with_stats(rows: DataFrame) -> DataFrame:
+    """``rows`` with the statistics of ``text`` in its place: a map over rows, other columns unchanged."""
+    fields = [T.StructField(c, T.LongType()) for c in STATS]
+    others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = text_stats(batch.column(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[:, k]) for k in range(5)]], names=[*batch.schema.names, *[f.name for f in fields]])
+            found = text_stats(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(found[:, k]) for k in range(5)]], names=[*others, *STATS])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in others], *fields]))
 
 
-def base_failed(prefix: str = "q_") -> Column:
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return (n < 10) | (100 * r > 20 * n)
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def transformed(prefix: str = "q_") -> list[Column]:
+def transformed() -> list[Column]:
     """The statistics on scales where clean texts are close to elliptical: logs of size, word length and rates."""
-    n = F.greatest(F.col(f"{prefix}n_words"), F.lit(1)).cast("double")
-    rate = lambda c: F.log1p(100.0 * F.col(f"{prefix}{c}") / n)
-    return [F.log(n), F.log(F.greatest(F.col(f"{prefix}word_chars"), F.lit(1)).cast("double") / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    rate = lambda c: F.log1p(100.0 * F.col(c) / n)
+    return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)).cast("double") / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
 
 
 def _keys() -> list[Column]:
@@ -121,76 +122,116 @@ def consistency(keep: float, degrees: int = len(STATS)) -> float:
     return keep / _chi_square(edge, degrees + 2)
 
 
-def _invert(moments: DataFrame) -> DataFrame:
-    """Location and inverse scatter of each group from its sums; the scatter is floored along each statistic."""
+def _invert(moments: DataFrame, scale: float) -> DataFrame:
+    """Location, inverse scatter and the scatter's log determinant from sums; the scatter is floored along each statistic."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for key, n, total, squares, scale in zip(f["key"], f["n"], f["sums"], f["squares"], f["scale"], strict=True):
+            for key, start, n, total, squares in zip(f["key"], f["start"], f["n"], f["sums"], f["squares"], strict=True):
                 mean = np.asarray(total, float) / n
                 cov = np.asarray(squares, float).reshape(5, 5) / n - np.outer(mean, mean)
                 cov = (cov + cov.T) / 2 * scale
-                floor = np.maximum(FLOORS**2 - np.diag(cov), 0) + 1e-9
-                rows.append((key, int(n), mean.tolist(), np.linalg.inv(cov + np.diag(floor)).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["key", "n", "loc", "inv"])
+                cov += np.diag(np.maximum(FLOORS**2 - np.diag(cov), 0) + 1e-9)
+                rows.append((key, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(rows, columns=["key", "start", "loc", "inv", "det"])
 
-    return moments.mapInPandas(run, "key string, n long, loc array<double>, inv array<double>")
+    return moments.mapInPandas(run, "key string, start int, loc array<double>, inv array<double>, det double")
 
 
-def squared_distance(x: str = "x", loc: str = "loc", inv: str = "inv") -> Column:
-    d = [F.col(x)[i] - F.col(loc)[i] for i in range(5)]
+def squared_distance(x: Column, loc: Column, inv: Column) -> Column:
+    """Null where there is no estimate."""
+    d = [x[i] - loc[i] for i in range(5)]
     total = None
     for i in range(5):
         for j in range(i, 5):
-            term = d[i] * d[j] * F.col(inv)[5 * i + j] * (1.0 if i == j else 2.0)
+            term = d[i] * d[j] * inv[5 * i + j] * (1.0 if i == j else 2.0)
             total = term if total is None else total + term
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total < 0, 0.0).otherwise(total)
 
 
-def fit(stats: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
+def _medians(values: DataFrame) -> DataFrame:
+    """``key, m``: medians along each statistic of ``key, x``, to the width of a bin. Counts by bin are combined before the
+    shuffle and dealt out by bin too, so the size of a group does not matter."""
+    binned = values.select("key", F.posexplode(F.transform("x", lambda v: F.floor(v * FINE).cast("int"))).alias("axis", "bin"))
+    counts = binned.groupBy("key", "axis", "bin").agg(F.count("*").alias("c"))
+    group = Window.partitionBy("key", "axis")
+    running = counts.withColumn("run", F.sum("c").over(group.orderBy("bin"))).withColumn("all", F.sum("c").over(group))
+    middle = running.where(F.col("run") >= 0.5 * F.col("all")).groupBy("key", "axis").agg(((F.min("bin") + 0.5) / FINE).alias("v"))
+    return middle.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "v"))), lambda s: s["v"]).alias("m"))  # five values
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    x = [F.col("x")[i] for i in range(5)]
+    return rows.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sums"), F.array(*[F.sum(a * b) for a in x for b in x]).alias("squares"))
+
+
+def _concentrated(points: DataFrame, now: DataFrame, keep: float, scratch: Scratch) -> DataFrame:
+    """One concentration step: the ``keep`` share of each group's documents that is nearest under each estimate gives the
+    next. The share's edge is found by a histogram of log distances, so no group is ever gathered."""
+    at = F.floor(F.log(squared_distance(F.col("x"), F.col("loc"), F.col("inv")) + 1e-9) * BINS).cast("int")
+    binned = points.join(small(now), "key").select("key", "start", "x", at.alias("bin"))
+    counts = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("c"))
+    group = Window.partitionBy("key", "start")
+    running = counts.withColumn("run", F.sum("c").over(group.orderBy("bin"))).withColumn("all", F.sum("c").over(group))
+    edge = scratch.put(running.where(F.col("run") >= keep * F.col("all")).groupBy("key", "start").agg(F.min("bin").alias("edge")), "mcd")
+    inner = binned.join(small(edge), ["key", "start"]).where("bin <= edge")
+    return scratch.put(_invert(_moments(inner), consistency(keep)), "mcd")
+
+
+def fit(stats: DataFrame, keep: float = KEEP) -> DataFrame:
     """Estimates ``key, n, loc, inv`` for each language and source, each language, and all documents together.
 
-    ``stats`` (materialised) has ``lang, source`` and ``q_`` statistics. The start is the coordinate-wise median with
-    the median absolute deviation; a concentration step keeps the ``keep`` share of each group's documents that is
-    nearest under the last estimate and re-estimates from these. The share's edge is found by a histogram of
-    log distances, so a step is two map-side combined aggregations over all documents and no group is ever gathered;
-    estimates are written to the shared folder after each step.
+    ``stats`` (materialised) has ``lang, source`` and the statistics. Four starts for each group: the medians with the
+    median absolute deviations, the moments of all its documents, and those of its shorter and of its longer half. Each is
+    concentrated FIRST_STEPS times, the one with the smallest determinant until it falls no more. A step is two
+    map-side combined aggregations over all documents; estimates are written to the shared folder after each step.
     """
+    scratch = Scratch(stats.sparkSession)
     points = stats.where(~base_failed()).select(F.explode(F.array(*_keys())).alias("key"), F.array(*transformed()).alias("x"))
-    axes = [F.col("x")[i] for i in range(5)]
-    medians = points.groupBy("key").agg(F.count("*").alias("size"), *[F.percentile_approx(a, F.lit(0.5), F.lit(2000)).alias(f"m{i}") for i, a in enumerate(axes)])
-    medians = stash(medians, "mcd")
-    spread = points.join(small(medians), "key").groupBy("key").agg(F.first("size").alias("size"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(5)], *[F.percentile_approx(F.abs(a - F.col(f"m{i}")), F.lit(0.5), F.lit(2000)).alias(f"s{i}") for i, a in enumerate(axes)])
-    deviation = [F.greatest(1.4826 * F.col(f"s{i}"), F.lit(float(FLOORS[i]))) for i in range(5)]
-    zero = F.lit(0.0)
-    now = stash(spread.select("key", F.col("size").alias("n"), F.array(*[F.col(f"m{i}") for i in range(5)]).alias("loc"), F.array(*[1 / (deviation[i] * deviation[i]) if i == j else zero for i in range(5) for j in range(5)]).alias("inv")), "mcd")
-    scale = consistency(keep)
-    for _ in range(steps):
-        binned = points.join(small(now), "key").select("key", "x", F.floor(F.log(squared_distance() + 1e-9) * BINS).cast("int").alias("bin"))
-        counts = binned.groupBy("key", "bin").agg(F.count("*").alias("c"))
-        running = counts.withColumn("run", F.sum("c").over(Window.partitionBy("key").orderBy("bin"))).withColumn("all", F.sum("c").over(Window.partitionBy("key")))
-        edge = stash(running.where(F.col("run") >= keep * F.col("all")).groupBy("key").agg(F.min("bin").alias("edge")), "mcd")
-        inner = binned.join(small(edge), "key").where("bin <= edge")
-        sums = inner.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.sum(a) for a in axes]).alias("sums"), F.array(*[F.sum(axes[i] * axes[j]) for i in range(5) for j in range(5)]).alias("squares"))
-        now = stash(_invert(sums.withColumn("scale", F.lit(scale))).drop("n").join(small(medians.select("key", F.col("size").alias("n"))), "key").select("key", "n", "loc", "inv"), "mcd")
-    return now
+    middle = scratch.put(_medians(points), "mcd")
+    centred = points.join(small(middle), "key")
+    spread = scratch.put(_medians(centred.select("key", F.zip_with("x", "m", lambda x, m: F.abs(x - m)).alias("x"))).withColumnRenamed("m", "s").join(small(middle), "key"), "mcd")
+    deviation = [F.greatest(1.4826 * F.col("s")[i], F.lit(float(FLOORS[i]))) for i in range(5)]
+    plain = spread.select("key", F.lit(0).alias("start"), F.col("m").alias("loc"), F.array(*[1 / (deviation[i] * deviation[i]) if i == j else F.lit(0.0) for i in range(5) for j in range(5)]).alias("inv"))
+    parts = centred.select("key", "x", F.explode(F.array(F.lit(1), F.when(F.col("x")[0] <= F.col("m")[0], 2).otherwise(3))).alias("start"))
+    now = scratch.put(_invert(_moments(parts), 1.0).drop("det").unionByName(plain), "mcd")
+    for _ in range(FIRST_STEPS):
+        now = _concentrated(points, now, keep, scratch)
+    best = now = scratch.put(now.groupBy("key").agg(F.min(F.struct("det", "start", "loc", "inv")).alias("b")).select("key", "b.*"), "mcd")
+    for _ in range(LAST_STEPS):
+        now = _concentrated(points, now, keep, scratch)
+        met = best.alias("old").join(now.alias("new"), "key")
+        fall = met.agg(F.max(F.col("old.det") - F.col("new.det"))).first()[0]
+        best = scratch.put(met.select("key", F.least(*[F.struct(*[F.col(f"{t}.{c}") for c in ("det", "start", "loc", "inv")]) for t in ("old", "new")]).alias("b")).select("key", "b.*"), "mcd")
+        if fall is None or fall < SETTLED:
+            break
+    sizes = points.groupBy("key").agg(F.count("*").alias("n"))
+    found = stash(best.join(sizes, "key").select("key", "n", "loc", "inv"), "estimates")
+    scratch.clear()
+    return found
 
 
 def judged(rows: DataFrame, estimates: DataFrame, cut: float = CUT) -> DataFrame:
-    """``rows`` (with ``q_`` statistics) and ``q_base_failed``, ``q_distance`` and ``q_kept``.
+    """``rows`` (with the statistics) and ``base_failed``, ``distance`` and ``kept``.
 
-    The finest group with enough documents decides; a document whose groups are all too small, or whose language
-    and source have no estimate, passes on the base rules alone.
+    The finest group with an estimate of its own (LEAST documents) decides: language and source, then language, then all
+    documents together, whatever their number. Where no document at all passes the base rules, these alone decide.
     """
-    tables = []
-    out = rows.withColumn("q_x", F.array(*transformed()))
-    for level, key in enumerate(_keys()):
-        tables.append(estimates.where(F.col("key").startswith(f"{2 - level}|") & (F.col("n") >= LEAST)).select(F.col("key").alias(f"q_k{level}"), F.col("loc").alias(f"q_l{level}"), F.col("inv").alias(f"q_i{level}")))
-        out = out.withColumn("q_key", key).join(small(tables[-1]), F.col("q_key") == F.col(f"q_k{level}"), "left").drop("q_key", f"q_k{level}")
-    distance = F.coalesce(*[squared_distance("q_x", f"q_l{i}", f"q_i{i}") for i in range(3)], F.lit(0.0))
-    out = out.withColumn("q_distance", distance).drop("q_x", *[f"q_{c}{i}" for i in range(3) for c in "li"])
-    return out.withColumn("q_base_failed", base_failed()).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_distance") <= cut))
+    out, distances = rows, []
+    x = F.array(*transformed())
+    for level, key in enumerate(_keys()[:2]):
+        table = estimates.where(F.col("key").startswith(f"{2 - level}|") & (F.col("n") >= LEAST)).select(F.col("key").alias("key_"), F.col("loc").alias(f"loc{level}"), F.col("inv").alias(f"inv{level}"))
+        out = out.withColumn("key", key).join(small(table), F.col("key") == F.col("key_"), "left").drop("key", "key_")
+        distances.append(squared_distance(x, F.col(f"loc{level}"), F.col(f"inv{level}")))
+    if overall := estimates.where("key = '0|'").select("loc", "inv").first():
+        distances.append(squared_distance(x, F.array(*map(F.lit, overall["loc"])), F.array(*map(F.lit, overall["inv"]))))
+    out = out.withColumn("distance", F.coalesce(*distances, F.lit(0.0))).drop(*[f"{c}{i}" for i in range(2) for c in ("loc", "inv")])
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return packed(docs, text=F.col("text").cast("string"), lang=F.col("lang").cast("string"), source=F.col("source").cast("string"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -199,12 +240,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
     Texts are read whole; null texts have no words and fail. Null languages and sources are groups of their own.
     Repeated rows count as often as they occur. An empty table gives an empty result. Other columns are ignored.
     """
-    stats = stash(with_stats(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source")).drop("text"), "stats")
-    out = judged(stats, fit(stats))
-    return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_distance").alias("distance"))
+    stats = stash(with_stats(_rows(docs.select("doc_id", "text", "lang", "source")).withColumn("row", F.struct("row.doc_id"))), "stats")
+    return judged(stats, fit(stats)).select("row.doc_id", *STATS, "base_failed", "kept", "distance")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged."""
-    stats = stash(with_stats(docs.select("text", "lang", "source")).drop("text"), "stats")
-    return judged(with_stats(docs), fit(stats)).where("q_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, columns unchanged whatever their names."""
+    stats = stash(with_stats(_rows(docs).drop("row")), "stats")
+    return judged(with_stats(_rows(docs)), fit(stats)).where("kept").select("row.*")

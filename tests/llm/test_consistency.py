@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality
+from quillspark.llm import quality, shared
 
 
 def test_scatter_of_normal_data(spark):
@@ -12,8 +12,8 @@ def test_scatter_of_normal_data(spark):
     x = x[(x[:, 4] > 0) & (x[:, 4] < 3.04)]
     n = np.exp(x[:, 0]).round()
     counts = np.stack([n, n * np.exp(x[:, 1]), *[n * np.expm1(x[:, k]) / 100 for k in (2, 3, 4)]], axis=1).round().astype(int)
-    rows = spark.createDataFrame([("en", "a", *map(int, r)) for r in counts], "lang string, source string, " + ", ".join(f"q_{c} long" for c in quality.STATS))
-    inv = quality.fit(rows.localCheckpoint()).where(F.col("key") == "0|").first().inv
+    rows = spark.createDataFrame([("en", "a", *map(int, r)) for r in counts], "lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS))
+    inv = quality.fit(shared.stash(rows, "rows")).where(F.col("key") == "0|").first().inv
     found = np.diag(np.linalg.inv(np.array(inv).reshape(5, 5)))
     assert found[:4] == pytest.approx(sd[:4] ** 2, rel=0.07)
 
@@ -23,3 +23,75 @@ def test_consistency(keep):
     x = np.random.default_rng(5).standard_normal((400_000, 5))
     d = (x**2).sum(axis=1)
     assert quality.consistency(keep) * (x[d <= np.quantile(d, keep)] ** 2).mean() == pytest.approx(1, abs=0.01)
+
+
+# ------------------------------------------------------------ verdicts against a model of the method on whole groups
+
+def moments(x, scale):
+    mean, cov = x.mean(axis=0), np.cov(x.T, bias=True) * scale
+    return mean, cov + np.diag(np.maximum(quality.FLOORS**2 - np.diag(cov), 0) + 1e-9)
+
+
+def distances(x, loc, cov):
+    d = x - loc
+    return (d @ np.linalg.inv(cov) * d).sum(axis=1)
+
+
+def estimate(x, keep=quality.KEEP):
+    def concentrated(loc, cov):
+        d = distances(x, loc, cov)
+        return moments(x[d <= np.sort(d)[int(np.ceil(keep * len(x))) - 1]], quality.consistency(keep))
+
+    middle = np.median(x, axis=0)
+    spread = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), quality.FLOORS)
+    short = x[:, 0] <= middle[0]
+    starts = [(middle, np.diag(spread**2)), moments(x, 1.0), *[moments(x[m], 1.0) for m in (short, ~short) if m.any()]]
+    found = [concentrated(*concentrated(*s)) for s in starts]
+    best = min(found, key=lambda f: np.linalg.slogdet(f[1])[1])
+    for _ in range(quality.LAST_STEPS):
+        best = min(best, concentrated(*best), key=lambda f: np.linalg.slogdet(f[1])[1])
+    return best
+
+
+def test_verdicts_of_small_groups(spark):
+    rng = np.random.default_rng(11)
+    rows, sizes = [], {("en", "five"): 5, ("en", "below"): 99, ("en", "enough"): 100, ("en", "many"): 400, ("fr", "few"): 30, (None, None): 40, ("de", "own"): 150}
+    for (lang, source), n in sizes.items():
+        longer = {"en": 0.0, "fr": 0.4, "de": 0.6, None: 0.2}[lang]
+        for k in range(n):
+            words = int(np.exp(4.6 + rng.normal() * 0.5)) + 12
+            junk = k % 25 == 7
+            rows.append((len(rows), lang, source, words, int(words * np.exp(1.5 + longer + 0.05 * rng.normal())), int(words * (0.9 if junk else 0.01 * rng.random())), int(rng.random() < 0.05), 0, junk))
+    rows.append((len(rows), "en", "many", 4, 10, 0, 0, 0, False))
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS) + ", junk boolean"
+    stats = shared.stash(spark.createDataFrame(rows, schema), "rows")
+    got = {r.doc_id: r for r in quality.judged(stats, quality.fit(stats)).collect()}
+    n = np.array([r[3] for r in rows], float)
+    counts = np.array([r[4:8] for r in rows], float)
+    x = np.stack([np.log(n), np.log(counts[:, 0] / n), *[np.log1p(100 * counts[:, k] / n) for k in (1, 2, 3)]], axis=1)
+    passes = n >= 10
+    group = [np.array([f(r) for r in rows], object) for f in (lambda r: f"{r[1]}|{r[2]}", lambda r: str(r[1]), lambda r: "")]
+    for r in rows:
+        for level in range(3):
+            mine = (group[level] == group[level][r[0]]) & passes
+            if level == 2 or mine.sum() >= quality.LEAST:
+                want = distances(x[r[0] : r[0] + 1], *estimate(x[mine]))[0]
+                break
+        assert got[r[0]].base_failed == (r[3] < 10)
+        assert abs(np.log(got[r[0]].distance + 1) - np.log(want + 1)) < 0.35, (r, got[r[0]].distance, want)
+        if abs(want - quality.CUT) > 12:
+            assert got[r[0]].kept == (r[3] >= 10 and want <= quality.CUT)
+        assert got[r[0]].kept == (not r[8] and r[3] >= 10)
+
+
+def test_no_document_passes_the_base_rules(spark):
+    docs = spark.createDataFrame([(1, "few words", "en", "a", "own"), (2, None, None, None, "own"), (3, "", "en", None, "own")], "doc_id long, text string, lang string, source string, distance string")
+    assert [r.kept for r in quality.verdicts(docs).collect()] == [False] * 3 and quality.passing(docs).count() == 0
+
+
+def test_names_never_clash(spark):
+    names = ["row", "key", "key_", "loc0", "inv1", "distance", "kept", "base_failed", "q_k1", "q_key", "n", *quality.STATS]
+    text = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(i, text + str(i), "en", "a", *[f"own {n}" for n in names]) for i in range(12)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = quality.passing(docs)
+    assert out.columns == docs.columns and sorted(out.collect()) == sorted(docs.collect())
