@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernels
-from quillspark.llm.shared import components, content_keys, small, stash
+from quillspark.llm.shared import components, content_keys, packed, small, stash
 
 #: Links need ``100 * intersection >= PERCENT * union``.
 PERCENT = 80
@@ -33,8 +33,10 @@ LOAD = 8
 FEW = 32
 #: Cells of the frequency sketch; a shingle is frequent if its cell counts this many times the mean.
 CELLS, FREQUENT = 1 << 18, 4
-#: Documents of a candidate cluster that one task verifies; larger clusters fall into blocks of this many.
-BLOCK = 8192
+#: Sets of a bucket up to which it is searched; those of a larger one go to verification as one cluster.
+BUCKET = 1000
+#: Bytes of sets that one task verifies; larger clusters fall into blocks.
+BLOCK = 64 << 20
 
 
 def needed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -223,7 +225,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Per row: content keys, set size, set fingerprint (two longs), prefix tokens and count vector."""
+    """Per row: content keys, set size, the set's name (128 bits, the same for equal sets), prefix tokens and count vector."""
     spark = docs.sparkSession
     counts = _sketch(docs.select("text"))
     often = counts > FREQUENT * max(1.0, counts.mean())
@@ -232,12 +234,12 @@ def _profiles(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            n, f1, f2, tokens, vector = [], [], [], [], []
+            n, names, tokens, vector = [], [], [], []
             for _, _, data, offsets in kernels.texts(batch.column("text")):
                 for s in kernels.shingle_sets(data, offsets):
                     n.append(len(s))
-                    f1.append(int((kernels.mix(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
-                    f2.append(int(kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+                    first = kernels.mix(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))
+                    names.append(np.array([first, kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], ">u8").tobytes())
                     if len(s):
                         rank = (s >> np.uint64(1)) | (late[(s >> np.uint64(40)).astype(np.int64) & (CELLS - 1)].astype(np.uint64) << np.uint64(63))
                         k = prefix_length(len(s))
@@ -248,9 +250,9 @@ def _profiles(docs: DataFrame) -> DataFrame:
                         tokens.append(np.zeros(0, np.int32))
                         vector.append(None)
             keep = [batch.column(c) for c in ("doc_id", "k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(vector, pa.binary())], names=["doc_id", "k1", "k2", "n", "f1", "f2", "tokens", "vector"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(vector, pa.binary())], names=["doc_id", "k1", "k2", "n", "name", "tokens", "vector"])
 
-    return stash(docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, tokens array<int>, vector binary"), "profiles")
+    return stash(docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, name binary, tokens array<int>, vector binary"), "profiles")
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -259,14 +261,19 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _clusters(profiles: DataFrame) -> DataFrame:
-    """``node, root`` of candidate clusters: sets that the bound connects inside some shared prefix token."""
-    sets = profiles.where("n > 0").groupBy("f1").agg(F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
+    """``node, root`` of candidate clusters: sets that the bound connects inside some shared prefix token.
+
+    A bucket of more than BUCKET sets (a large group of near copies) is one cluster as it is: its sets hang on the least
+    of them, so no task gets a hot token, and the trees of the verifying stage do its search.
+    """
+    sets = profiles.where("n > 0").groupBy("name").agg(F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
     sets = stash(sets, "sets")
-    pairs = sets.select(F.explode("tokens").alias("token"), "f1")
+    pairs = sets.select(F.explode("tokens").alias("token"), "name")
     # Buckets of the same members give the same pairs: of those the one with the smallest token is searched.
-    buckets = pairs.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("f1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "f1")).alias("x2")).where("c > 1")
-    shared = buckets.groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token")
-    members = pairs.join(shared, "token").join(sets.select("f1", "vector"), "f1").select("token", "f1", "vector")
+    buckets = pairs.groupBy("token").agg(F.count("*").alias("c"), F.min("name").alias("least"), F.bit_xor(F.xxhash64("name")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "name")).alias("x2")).where("c > 1")
+    shared = stash(buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("token", "least")).alias("t")).select("t.token", "t.least", "c"), "buckets")
+    stars = pairs.join(shared.where(F.col("c") > BUCKET), "token").select(F.col("name").alias("a"), F.col("least").alias("b"))
+    members = pairs.join(shared.where(F.col("c") <= BUCKET).select("token"), "token").join(sets.select("name", "vector"), "name").select("token", "name", "vector")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -274,7 +281,7 @@ def _clusters(profiles: DataFrame) -> DataFrame:
         def flush(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
             token = table.column("token").to_numpy()
             end = len(token) if last else int(np.searchsorted(token, token[-1]))
-            node = table.column("f1").to_numpy()
+            node = np.array(table.column("name").to_pylist(), object)
             raw = table.column("vector").to_pylist()
             a, b = [], []
             for lo, hi in _runs(token[:end]) if end else ():
@@ -285,8 +292,8 @@ def _clusters(profiles: DataFrame) -> DataFrame:
                 rest = np.flatnonzero(label != np.arange(hi - lo))
                 a += node[lo + rest].tolist()
                 b += node[lo + label[rest]].tolist()
-            made = pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
-            return (pa.RecordBatch.from_pandas(made, preserve_index=False) if len(made) else None), table.slice(end)
+            made = list(dict.fromkeys(zip(a, b, strict=True)))
+            return (pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], names=["a", "b"]) if made else None), table.slice(end)
 
         size = 0
         for batch in batches:
@@ -303,41 +310,67 @@ def _clusters(profiles: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    edges = members.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long")
-    return components(edges)
+    edges = members.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a binary, b binary")
+    return components(edges.unionByName(stars))
 
 
-def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``node, root`` of components of verified links."""
-    clusters = stash(clusters, "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    names = profiles.where("n > 0").groupBy("f1").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    wanted = names.join(clusters.join(sizes, "root"), F.col("f1") == F.col("node")).select(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "root", "node", "members")
-    wanted = stash(wanted, "wanted")
-    texts = docs.join(small(wanted, 500_000), ["k1", "k2"]).dropDuplicates(["node"]).select("text", "root", "node", "members")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s for _, _, data, offsets in kernels.texts(batch.column("text")) for s in kernels.shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("members"), kernels.binary(found)], names=["root", "node", "members", "grams"])
-
-    rows = texts.mapInArrow(sets, "root long, node long, members long, grams binary")
-    # A cluster of at most BLOCK sets is one group; in larger ones each two blocks meet, so memory is bounded.
-    n = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    blocks = rows.withColumn("n", n).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocks = blocks.select("root", "node", "grams", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+def _linked_in(rows: DataFrame, key: list[str], side: str | None = None) -> DataFrame:
+    """``a, b``: verified links that connect the sets of each group of ``key``; with ``side``, links across sides only."""
 
     def verify(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node")
+        f = f.sort_values("node", kind="stable")
         found = [np.frombuffer(g, np.uint64) for g in f["grams"]]
-        across = f["mine"].to_numpy() if key[1] != key[2] else None
+        across = f[side].to_numpy() if side and f[side].nunique() > 1 else None
+        if side and across is None and not key[-1]:
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         label = linked(found, RTree([count_vector(s) for s in found]), across)
         nodes = f["node"].to_numpy()
         rest = label != np.arange(len(label))
         return pd.DataFrame({"a": nodes[rest], "b": nodes[label[rest]]})
 
-    return components(blocks.groupBy("root", "lo", "hi").applyInPandas(verify, "a long, b long"))
+    return rows.groupBy(*key).applyInPandas(verify, "a binary, b binary")
+
+
+def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``node, root`` of components of verified links.
+
+    A cluster of at most BLOCK bytes is one group. In a larger one each block meets itself and the first block; what
+    these links leave outside the cluster's largest component then meets all blocks. Pairs inside one component need no
+    look, so a group of near copies costs as many tasks as it has blocks.
+    """
+    weights = profiles.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min(F.struct("k1", "k2")).alias("k"))
+    clusters = stash(clusters.join(weights, F.col("name") == F.col("node")).select("node", "root", "n", "k.k1", "k.k2"), "clusters")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / BLOCK).cast("int").alias("blocks"))
+    wanted = stash(clusters.join(sizes, "root").drop("n"), "wanted")
+    texts = docs.join(small(wanted, 500_000), ["k1", "k2"]).dropDuplicates(["node"]).select("text", "root", "node", "blocks")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for _, _, data, offsets in kernels.texts(batch.column("text")) for s in kernels.shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("blocks"), kernels.binary(found)], names=["root", "node", "blocks", "grams"])
+
+    rows = texts.mapInArrow(sets, "root binary, node binary, blocks int, grams binary")
+    if not (large := sizes.where("blocks > 1").select("root")).isEmpty():
+        rows = stash(rows, "sets")
+    mine = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.when(F.col("mine") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine", F.lit(-1)))
+    dealt = mine.withColumn("other", F.explode(meets)).withColumn("block", F.when(F.col("other") < 0, F.col("mine")).otherwise(F.col("other")))
+    # A block's own group has its sets alone; the group where it meets the first block has both as sides.
+    dealt = dealt.withColumn("own", (F.col("other") == F.col("mine")))
+    first = components(_linked_in(dealt.select("root", "block", "own", "node", "grams", "mine"), ["root", "block", "own"], "mine"))
+    if large.isEmpty():
+        return first
+    first = stash(first, "first")
+    part = F.coalesce(F.col("part"), F.col("node"))
+    named = stash(clusters.join(large, "root").join(first.withColumnRenamed("root", "part"), "node", "left").select("root", "node", "n", part.alias("part")), "named")
+    largest = named.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("part", F.struct("c", "part")).alias("part"))
+    outside = named.join(largest, ["root", "part"], "left_anti")
+    lots = outside.groupBy("root").agg(F.ceil(F.sum("n") * 8 / BLOCK).cast("int").alias("lots"))
+    whole = mine.join(lots, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("root", F.col("mine").alias("block"), "lot", F.lit(1).alias("side"), "node", "grams")
+    alone = mine.join(lots, "root").join(outside.select("node"), "node", "left_semi").withColumn("lot", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("lots")).cast("int"))
+    alone = alone.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "block", "lot", F.lit(0).alias("side"), "node", "grams")
+    second = _linked_in(whole.unionByName(alone).withColumn("own", F.lit(False)), ["root", "block", "lot", "own"], "side")
+    return components(second.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -351,31 +384,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
     profiles = _profiles(rows)
     found = _verified(rows.select("text", "k1", "k2"), profiles, _clusters(profiles))
-    nodes = profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(found, F.col("f1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f1"))
+    nodes = profiles.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
+    named = nodes.join(found, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     lowest = stash(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-    table = stash(named.join(lowest, "root").select("f1", "f2", "component_id", "root"), "named")
-    rest = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("long").alias("root"))
-    return profiles.where("n > 0").join(table, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2", "root").unionByName(rest)
+    table = stash(named.join(lowest, "root").select("name", "component_id", "root"), "named")
+    rest = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("binary").alias("root"))
+    return profiles.where("n > 0").join(table, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2", "root").unionByName(rest)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay if one document of each component stays: the one with the smallest doc_id.
 
-    Of repeated rows of that document one stays. Rows without a set stay. Columns are unchanged.
+    Of repeated rows of that document one stays. Rows without a set stay. Columns are unchanged, whatever their names.
     """
     k1, k2 = content_keys()
     found = near_duplicates(docs)
     kept = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     least = kept.where("n_shingles > 0").groupBy("doc_id", "root").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
-    least = stash(least.select(F.col("doc_id").alias("q_d"), F.col("k.k1").alias("q_1"), F.col("k.k2").alias("q_2"), F.col("n").alias("q_n")), "kept")
-    rows = docs.withColumn("q_k1", k1).withColumn("q_k2", k2).withColumn("q_id", F.col("doc_id").cast("long"))
+    least = stash(least.select(F.col("doc_id").alias("least_id"), "k.k1", "k.k2", "n"), "kept")
     words = F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
-    empty = rows.where(~words)
-    full = rows.where(words).join(small(least, 2_000_000), F.col("q_id").eqNullSafe(F.col("q_d")) & (F.col("q_k1") == F.col("q_1")) & (F.col("q_k2") == F.col("q_2")))
-    single = full.where("q_n = 1").select(*docs.columns)
-    several = full.where("q_n > 1").dropDuplicates(["q_id", "q_k1", "q_k2"]).select(*docs.columns)
-    return single.unionByName(several).unionByName(empty.select(*docs.columns))
+    rows = packed(docs, k1=k1, k2=k2, id=F.col("doc_id").cast("long"), words=words)
+    full = rows.where("words").join(small(least, 2_000_000), ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least_id")))
+    several = full.where("n > 1").dropDuplicates(["id", "k1", "k2"])
+    return full.where("n = 1").select("row").unionByName(several.select("row")).unionByName(rows.where("not words").select("row")).select("row.*")
 
 
 __all__ = ["RTree", "near_duplicates", "representatives", "linked", "reachable"]

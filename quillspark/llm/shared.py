@@ -83,21 +83,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
-    ``edges(a, b)`` of longs, any order, repeats and self-loops allowed. Returns ``node, root`` for every
+    ``edges(a, b)`` of one ordered type, any order, repeats and self-loops allowed. Returns ``node, root`` for every
     node that has an edge, root being the smallest reachable node. Each round is two hash aggregations on
-    the node; a round is written to the shared folder, so lineage stays short.
+    the node; a round is written to the shared folder, so lineage stays short. Least neighbours are written too, so
+    that both sides of their join are read from tables and it may divide the node that many others hang on.
     """
-    flow = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    flow = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
+        done = Scratch(edges.sparkSession)
+        done.paths, scratch.paths = scratch.paths, []
         both = flow.select("a", "b").unionByName(flow.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lows = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        lows = done.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lows")
         large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         mins = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(mins, "a")
         nxt = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(mins.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        nxt = stash(nxt, "edges")
+        nxt = scratch.put(nxt, "edges")
         sign = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same = sign(nxt) == sign(flow)
+        done.clear()
         flow = nxt
         if same:
             break
