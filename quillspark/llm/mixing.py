@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import small
+from quillspark.llm.shared import packed, small
 
 #: Rates above this are split into independent draws, so that exp(-rate) stays far from underflow.
 PIECE = 64.0
@@ -59,17 +59,15 @@ def replicate(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | N
     is the final shuffle: rows are dealt by a hash of the shuffle key (no source or copy can be hot, since the
     key differs for each copy) and sorted by it inside partitions.
     """
-    clash = [c for c in docs.columns if c.lower() in ("copy_no", "n_copies", "shuffle_key", "q_pieces", "q_cdf", "q_source", "q_none", "q_s", "q_n")]
-    kept = docs.drop(*clash)
-    table = rates(docs, alpha, weights, total).select(
-        F.col("q_source").alias("q_s"), F.col("q_none").alias("q_n"),
-        F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int").alias("q_pieces"), "rate",
-    ).select("q_s", "q_n", "q_pieces", _cdf(F.col("rate") / F.col("q_pieces")).alias("q_cdf"))
-    id_ = F.col("doc_id")
-    inverse = lambda j: F.size(F.filter("q_cdf", lambda c: c < uniform(seed, id_, j)))
-    n = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("q_pieces")), inverse), F.lit(0), lambda a, b: a + b)
-    drawn = kept.join(small(table, 50_000), (F.coalesce(F.col("source"), F.lit("")) == F.col("q_s")) & (F.col("source").isNull() == F.col("q_n")))
-    drawn = drawn.withColumn("n_copies", n.cast("long")).drop("q_s", "q_n", "q_pieces", "q_cdf").where("n_copies > 0")
+    kept = [c for c in docs.columns if c.lower() not in ("copy_no", "n_copies", "shuffle_key")]
+    table = rates(docs, alpha, weights, total).select("q_source", "q_none", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int").alias("pieces"), "rate")
+    table = table.select("q_source", "q_none", "pieces", _cdf(F.col("rate") / F.col("pieces")).alias("cdf"))
+    rows = packed(docs, id=F.col("doc_id").cast("string"), q_source=F.coalesce(F.col("source"), F.lit("")), q_none=F.col("source").isNull())
+    id_ = F.col("id")
+    inverse = lambda j: F.size(F.filter("cdf", lambda c: c < uniform(seed, id_, j)))
+    n = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("pieces")), inverse), F.lit(0), lambda a, b: a + b)
+    drawn = rows.join(small(table, 50_000), ["q_source", "q_none"]).select("row", "id", n.cast("long").alias("n_copies")).where("n_copies > 0")
     each = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    each = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(id_.cast("string"), F.lit("~")), F.col("copy_no").cast("string"))))
-    return each.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(id_, F.lit("~")), F.col("copy_no").cast("string")))
+    dealt = each.select("row", "copy_no", "n_copies", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "copy_no", "n_copies", "shuffle_key")
