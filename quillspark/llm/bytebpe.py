@@ -14,6 +14,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -91,9 +92,12 @@ class ByteBpe:
             self.quick, self.unusual = re.compile(QUICK).findall, re.compile(UNUSUAL).search
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.chars = byte_characters()
-        self.table = {c: b for b, c in enumerate(self.chars)}
-        self.kept: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        table = {c: b for b, c in enumerate(self.chars)}
+        # The inverse mapping: the bytes of each of the model's own pieces. Pieces of other characters (unused, unknown) have none.
+        pieces = map(self.model.id_to_piece, range(self.model.vocab_size()))
+        self.bytes_of = [bytes(map(table.__getitem__, p)) if all(map(table.__contains__, p)) else b"" for p in pieces]
+        self.kept: dict[str, tuple[list[int], str]] = {}
+        self.older: dict[str, tuple[list[int], str]] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens. The standard library's faster matcher serves texts without characters it classes differently."""
@@ -110,17 +114,17 @@ class ByteBpe:
 
     def decode(self, ids: list[int]) -> bytes:
         """Inverse of the byte mapping, over the pieces of the model itself."""
-        return bytes(self.table[c] for i in ids for c in self.model.id_to_piece(i))
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, pretokens: list[str]) -> None:
-        """Encode and decode distinct pre-tokens, once each; of the kept ones the less recent half goes when full."""
+        """Encode distinct pre-tokens, once each; of the kept ones the less recent half goes when full."""
         if len(self.kept) > KEPT_PIECES:
             self.older, self.kept = self.kept, {}
         for p, ids in zip(pretokens, self.ids(pretokens), strict=True):
-            self.kept[p] = (" ".join(map(str, ids)), self.decode(ids))
+            self.kept[p] = (ids, " ".join(map(str, ids)))
 
-    def coded(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
-        """For each text: decimal ids joined by spaces, their number, and what they decode to."""
+    def coded(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """For each text: its ids, and these in decimal, joined by spaces."""
         parts = [self.split(t) for t in texts]
         needed = set().union(*parts)
         held, new = self.kept, []
@@ -136,12 +140,8 @@ class ByteBpe:
                 self.kept.update({p: held[p] for p in needed if p in held})
         get = self.kept.__getitem__
         for own in parts:
-            if own:
-                found = [*map(get, own)]
-                line = " ".join([f[0] for f in found])
-                yield line, line.count(" ") + 1, b"".join([f[1] for f in found])
-            else:
-                yield "", 0, b""
+            found = [*map(get, own)]
+            yield [i for f in found for i in f[0]], " ".join([f[1] for f in found])
 
 
 @lru_cache(maxsize=2)
@@ -149,11 +149,16 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _listed(lists: list[pa.Array]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *lists]))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
     """``docs`` with ``bpe_ids`` (array of int, if asked for), ``bpe_count``, ``bpe_ids_sha256`` and ``bpe_decoded_sha256``.
 
     Null texts are empty: no ids and digests of the empty string. Any text length works; a text is encoded whole,
-    one pre-token at a time, and its ids are decoded by the inverse mapping for the second digest. Columns of
+    one pre-token at a time, and all its ids are then decoded by the inverse mapping for the second digest. Columns of
     those four names are replaced; others pass through. A map over rows: no shuffle, nothing gathered.
     """
     docs = docs.drop("bpe_ids", "bpe_count", "bpe_ids_sha256", "bpe_decoded_sha256")
@@ -167,13 +172,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
                 counts, digests, decoded, lists = [], [], [], []
-                for line, n, back in bpe.coded(pc.fill_null(batch.column(text), "").to_pylist()):
-                    counts.append(n)
+                for found, line in bpe.coded(pc.fill_null(batch.column(text), "").to_pylist()):
+                    counts.append(len(found))
                     digests.append(hashlib.sha256(line.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(back).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
                     if ids:
-                        lists.append([int(x) for x in line.split()])
-                cols = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)] + [pa.array(lists, pa.list_(pa.int32()))] * ids
+                        lists.append(pa.array(found, pa.int32()))
+                cols = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)] + [_listed(lists)] * ids
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
