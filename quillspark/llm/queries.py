@@ -43,8 +43,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = documents(spark, sf_dir)
-    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), tokencount.new_cache(docs))
+    docs, model = documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    return tokencount.count_tokens(docs, model, tokencount.seeded_cache(docs, model))
 
 
 def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bytebpe import field
-from quillspark.llm.shared import shared_path
+from quillspark.llm.shared import Scratch, at_most, shared_path, stash
 
 #: Units whose count a worker keeps, in each of two generations.
 KEPT_UNITS = 400_000
@@ -81,37 +81,61 @@ def _encoded(misses: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(k, 64)
                 yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array(count.counts(part.column("content").to_pylist()), pa.int64())], names=["content_digest", "n_tokens"])
 
-    return misses.mapInArrow(run, "content_digest string, n_tokens long")
+    return misses.mapInArrow(run, "content_digest binary, n_tokens long")
 
 
-def _cached(docs: DataFrame, cache: str) -> DataFrame | None:
+def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """Digests and counts that the cache holds for a tokenizer version."""
     try:
-        return docs.sparkSession.read.parquet(cache)
+        return spark.read.parquet(cache).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     except AnalysisException:  # no cache yet
         return None
 
 
+def content_digest() -> Column:
+    """SHA-256 of the normalised content: null becomes empty; nothing else, since any change could change its count."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
+def fill(docs: DataFrame, model: str, cache: str) -> None:
+    """Append to ``cache`` the counts of the contents of ``docs`` that it lacks, encoded once each.
+
+    Digests are compared first (32 bytes a row, copies combined map-side); texts are read again for the misses only.
+    Few misses are broadcast by their digests, so hits' texts never leave their tasks; many (a new cache) are found behind
+    the one shuffle that brings copies of a text together, of which each task sends one.
+    """
+    spark, version, scratch = docs.sparkSession, tokenizer_digest(model), Scratch(docs.sparkSession)
+    digests = docs.select(content_digest().alias("content_digest")).distinct()
+    held = _stored(spark, cache, version)
+    misses = scratch.put(digests if held is None else digests.join(held, "content_digest", "left_anti"), "misses")
+    texts = docs.select(content_digest().alias("content_digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
+    few = at_most(misses, 200_000)
+    if few:
+        texts = texts.join(F.broadcast(misses), "content_digest", "left_semi")
+    once = texts.groupBy("content_digest").agg(F.first("content").alias("content"))
+    if not few:
+        once = once.join(misses, "content_digest", "left_semi")
+    _encoded(once, model).withColumn("tokenizer_digest", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(cache)
+    scratch.clear()
+
+
 def count_tokens(docs: DataFrame, model: str, cache: str, limit: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``; ``cache`` is a folder of Parquet files.
 
-    A text's key is the SHA-256 of its normalised content (null becomes empty; nothing else, since any change could
-    change its count) with the digest of the tokenizer version. Distinct keys that the cache lacks are encoded and
-    appended to it. Counts are those of the library on the whole text, without begin or end tokens. Copies of a text
-    are combined map-side, so a hot text costs one encoding; the join back has one row for each key on its right side.
-    Repeated rows each give a row; an empty table gives none and leaves the cache as it is.
+    A text's key is the digest of its content with that of the tokenizer version. Distinct keys that the cache lacks are
+    encoded and appended to it; then every row is joined to its stored count. Counts are those of the library on the
+    whole text, without begin or end tokens. Both sides of that join are read from tables, so it may divide a hot text.
+    Repeated rows each give a row; an empty table gives none and leaves the cache as it is. Extra columns are ignored.
     """
-    version = tokenizer_digest(model)
-    content = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", content.alias("content")).withColumn("content_digest", F.sha2("content", 256))
-    distinct = keyed.groupBy("content_digest").agg(F.first("content").alias("content"))
-    before = _cached(docs, cache)
-    if before is not None:
-        distinct = distinct.join(before.where(F.col("tokenizer_digest") == version).select("content_digest"), "content_digest", "left_anti")
-    _encoded(distinct, model).withColumn("tokenizer_digest", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(cache)
-    counts = docs.sparkSession.read.parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = keyed.select("doc_id", "content_digest", F.octet_length("content").cast("long").alias("n_bytes"))
+    fill(docs, model, cache)
+    stored = _stored(docs.sparkSession, cache, tokenizer_digest(model))
+    sized = docs.select("doc_id", content_digest().alias("content_digest"), F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_bytes"))
+    counts = stash(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return sized.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def new_cache(docs: DataFrame) -> str:
-    return shared_path(docs.sparkSession, "token-counts")
+def seeded_cache(docs: DataFrame, model: str) -> str:
+    """A cache as an earlier run over half of the contents leaves it: those whose digest begins with a bit 0."""
+    cache = shared_path(docs.sparkSession, "token-counts")
+    fill(docs.where(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256) < "8"), model, cache)
+    return cache

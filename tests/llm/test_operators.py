@@ -152,12 +152,46 @@ def test_near_duplicates(docs, rows, empty):
     assert kept.where("text rlike '[^ \\n]'").count() == len(groups)
 
 
-def test_blocks_of_large_clusters(docs, monkeypatch):
+@pytest.mark.parametrize(("block", "bucket"), [(1500, 1000), (6000, 1), (64 << 20, 1)])
+def test_blocks_of_large_clusters(docs, monkeypatch, block, bucket):
     want = sorted(map(str, jaccard.near_duplicates(docs).collect()))
-    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     assert sorted(map(str, jaccard.near_duplicates(docs).collect())) == want
 
 
+def test_links_outside_the_largest_component(spark, monkeypatch):
+    """Chains and a hub in one candidate cluster, over many blocks."""
+    rng = random.Random(2)
+    base = prose(rng, 120).split()
+    texts = [" ".join(base)]
+    for k in range(40):  # a chain: each next text changes one more place, far texts are not linked
+        words = texts[-1].split()
+        words[(k * 7) % 120] = f"new{k}"
+        texts.append(" ".join(words))
+    other = texts[20].split()
+    texts += [" ".join(other[:90] + prose(rng, 25).split()), prose(rng, 100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    part = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    part[i] = part[j] = min(part[i], part[j])
+    for block, bucket in [(64 << 20, 1000), (3000, 1), (3000, 1000)]:
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BUCKET", bucket)
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(part))
+
+
+def test_representatives_carry_clashing_names(spark):
+    names = ["row", "k1", "k2", "id", "words", "least_id", "n", "root", "node", "name", "q_k1", "q_n", "q_id"]
+    docs = spark.createDataFrame([(i, t, *[f"own {n}" for n in names]) for i, t in [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "z y x w v u")]], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = jaccard.representatives(docs)
+    assert out.columns == docs.columns and sorted(out.collect()) == sorted(docs.where("doc_id <> 2").collect())
+
+
 # ------------------------------------------------------------ 5
 
 def removed(texts, length):
@@ -218,7 +252,16 @@ def test_token_counts(docs, rows, empty, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):  # misses, then hits
         assert sorted(str((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)) for r in tokencount.count_tokens(docs, path, cache).collect()) == want
-    assert docs.sparkSession.read.parquet(cache).count() == len({r[1] or "" for r in rows})
+    stored = lambda c: docs.sparkSession.read.parquet(c).count()
+    distinct = {r[1] or "" for r in rows}
+    assert stored(cache) == len(distinct)
+    half = tokencount.seeded_cache(docs, path)  # some of the contents are hits, the others are encoded
+    assert stored(half) == sum(hashlib.sha256(t.encode()).digest()[0] < 128 for t in distinct) not in (0, len(distinct))
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)) for r in tokencount.count_tokens(docs, path, half).collect()) == want
+    assert stored(half) == len(distinct)
+    wrong = docs.sparkSession.read.parquet(half).withColumn("n_tokens", F.lit(7).cast("long"))  # hits come from the cache
+    wrong.write.parquet(str(tmp_path / "wrong"))
+    assert {r.n_tokens for r in tokencount.count_tokens(docs, path, str(tmp_path / "wrong")).collect()} == {7}
     assert tokencount.count_tokens(empty, path, str(tmp_path / "none")).count() == 0
     counter = tokencount.PieceCounter(path)
     odd = ["", " ", "\n\n a", "▁x ▁", "a\0b", "<s> </s>", "日本 🙂\t\tx", "".join(map(chr, range(1, 0x2FF)))]
@@ -275,7 +318,14 @@ def test_neighbours(spark):
 
 def test_mixing(spark, docs, rows, empty):
     out = mixing.replicate(docs, total=400)
-    assert out.select(*[c for c in docs.columns if c != "copies"]).columns == [c for c in docs.columns if c != "copies"]
+    assert out.columns == [*docs.columns, "copy_no", "n_copies", "shuffle_key"]
+    names = ["row", "id", "q_s", "q_n", "q_pieces", "q_cdf", "q_source", "q_none", "pieces", "cdf", "rate"]
+    marked = docs.select("doc_id", "source", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    drawn = mixing.replicate(marked, total=400)
+    assert drawn.columns[:-3] == marked.columns and all(r[n] == f"own {n}" for r in drawn.collect() for n in names)
+    assert sorted(map(str, drawn.select("doc_id", "copy_no").collect())) == sorted(map(str, out.select("doc_id", "copy_no").collect()))
+    long = spark.createDataFrame([(i, "a", "word " * 400_000) for i in range(4)], "doc_id long, source string, text string")
+    assert all(len(r.text) == 2_000_000 for r in mixing.replicate(long, total=20).collect())
     again = mixing.replicate(docs, total=400)
     assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
     assert 300 < out.count() < 500
