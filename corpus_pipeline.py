@@ -26,13 +26,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.representatives(docs)
 
 
+#: Bytes of a passage that repeats. Passages of over 50 words are meant; 51 words of four letters and a space have 255.
+PASSAGE = 250
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes are cut out of the texts; a document of nothing else goes."""
+    """Repeated strings of PASSAGE bytes are cut out of all texts but the first that has them (smallest doc_id); a
+    document of nothing else goes."""
     ship(spark)
-    left = suffixes.cut(docs, text=True).where((F.col("q_bytes") == 0) | (F.length("q_text") > 0))
-    cut = F.col("q_removed") > 0
-    columns = {"text": F.when(cut, F.col("q_text")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("q_text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return left.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    left = suffixes.cut(docs, PASSAGE, keep_first=True).where((F.col("n_bytes") == 0) | (F.length("kept_text") > 0))
+    cut = F.col("n_removed") > 0
+    columns = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(cut, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return left.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
