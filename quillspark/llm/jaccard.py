@@ -35,8 +35,10 @@ FEW = 32
 CELLS, FREQUENT = 1 << 18, 4
 #: Sets of a bucket up to which it is searched; those of a larger one go to verification as one cluster.
 BUCKET = 1000
+#: Shingles that are compared with a set at a time.
+SLICE = 1 << 19
 #: Bytes of sets that one task verifies; larger clusters fall into blocks.
-BLOCK = 64 << 20
+BLOCK = 12 << 20
 
 
 def needed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -187,17 +189,19 @@ def linked(sets: list[np.ndarray], tree: RTree, across: np.ndarray | None = None
         if not wanted.any():
             continue
         rows = tree.reach(i, wanted)
-        if not len(rows):
-            continue
-        joined = np.concatenate([sets[r] for r in rows])
-        at = np.searchsorted(sets[i], joined)
-        same = sets[i][np.minimum(at, len(sets[i]) - 1)] == joined
-        starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
-        overlap = np.add.reduceat(same.astype(np.int64), starts)
-        met = np.unique(part[rows[overlap >= needed(sizes[rows], sizes[i])]])
-        if len(met):
-            met = np.append(met, part[i])
-            part[np.isin(part, met)] = met.min()
+        while len(rows):  # in slices of bounded size; what a slice connects is not verified again
+            some = max(1, int(np.searchsorted(np.cumsum(sizes[rows]), SLICE)))
+            rows, rest = rows[:some], rows[some:]
+            joined = np.concatenate([sets[r] for r in rows])
+            at = np.searchsorted(sets[i], joined)
+            same = sets[i][np.minimum(at, len(sets[i]) - 1)] == joined
+            starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
+            overlap = np.add.reduceat(same.astype(np.int64), starts)
+            met = np.unique(part[rows[overlap >= needed(sizes[rows], sizes[i])]])
+            if len(met):
+                met = np.append(met, part[i])
+                part[np.isin(part, met)] = met.min()
+            rows = rest[part[rest] != part[i]]
     return part
 
 
@@ -225,7 +229,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Per row: content keys, set size, the set's name (128 bits, the same for equal sets), prefix tokens and count vector."""
+    """Per row: content keys, set size, set fingerprint (two longs, the first one names the set), prefix tokens and count vector."""
     spark = docs.sparkSession
     counts = _sketch(docs.select("text"))
     often = counts > FREQUENT * max(1.0, counts.mean())
@@ -234,12 +238,12 @@ def _profiles(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            n, names, tokens, vector = [], [], [], []
+            n, f1, f2, tokens, vector = [], [], [], [], []
             for _, _, data, offsets in kernels.texts(batch.column("text")):
                 for s in kernels.shingle_sets(data, offsets):
                     n.append(len(s))
-                    first = kernels.mix(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))
-                    names.append(np.array([first, kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], ">u8").tobytes())
+                    f1.append(int((kernels.mix(s + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
+                    f2.append(int(kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     if len(s):
                         rank = (s >> np.uint64(1)) | (late[(s >> np.uint64(40)).astype(np.int64) & (CELLS - 1)].astype(np.uint64) << np.uint64(63))
                         k = prefix_length(len(s))
@@ -250,9 +254,9 @@ def _profiles(docs: DataFrame) -> DataFrame:
                         tokens.append(np.zeros(0, np.int32))
                         vector.append(None)
             keep = [batch.column(c) for c in ("doc_id", "k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(vector, pa.binary())], names=["doc_id", "k1", "k2", "n", "name", "tokens", "vector"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(vector, pa.binary())], names=["doc_id", "k1", "k2", "n", "f1", "f2", "tokens", "vector"])
 
-    return stash(docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, name binary, tokens array<int>, vector binary"), "profiles")
+    return stash(docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, f1 long, f2 long, tokens array<int>, vector binary"), "profiles")
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -266,14 +270,14 @@ def _clusters(profiles: DataFrame) -> DataFrame:
     A bucket of more than BUCKET sets (a large group of near copies) is one cluster as it is: its sets hang on the least
     of them, so no task gets a hot token, and the trees of the verifying stage do its search.
     """
-    sets = profiles.where("n > 0").groupBy("name").agg(F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
+    sets = profiles.where("n > 0").groupBy("f1").agg(F.first("tokens").alias("tokens"), F.first("vector").alias("vector"))
     sets = stash(sets, "sets")
-    pairs = sets.select(F.explode("tokens").alias("token"), "name")
+    pairs = sets.select(F.explode("tokens").alias("token"), "f1")
     # Buckets of the same members give the same pairs: of those the one with the smallest token is searched.
-    buckets = pairs.groupBy("token").agg(F.count("*").alias("c"), F.min("name").alias("least"), F.bit_xor(F.xxhash64("name")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "name")).alias("x2")).where("c > 1")
+    buckets = pairs.groupBy("token").agg(F.count("*").alias("c"), F.min("f1").alias("least"), F.bit_xor(F.xxhash64("f1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "f1")).alias("x2")).where("c > 1")
     shared = stash(buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("token", "least")).alias("t")).select("t.token", "t.least", "c"), "buckets")
-    stars = pairs.join(shared.where(F.col("c") > BUCKET), "token").select(F.col("name").alias("a"), F.col("least").alias("b"))
-    members = pairs.join(shared.where(F.col("c") <= BUCKET).select("token"), "token").join(sets.select("name", "vector"), "name").select("token", "name", "vector")
+    stars = pairs.join(shared.where(F.col("c") > BUCKET), "token").select(F.col("f1").alias("a"), F.col("least").alias("b"))
+    members = pairs.join(shared.where(F.col("c") <= BUCKET).select("token"), "token").join(sets.select("f1", "vector"), "f1").select("token", "f1", "vector")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -281,7 +285,7 @@ def _clusters(profiles: DataFrame) -> DataFrame:
         def flush(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
             token = table.column("token").to_numpy()
             end = len(token) if last else int(np.searchsorted(token, token[-1]))
-            node = np.array(table.column("name").to_pylist(), object)
+            node = table.column("f1").to_numpy()
             raw = table.column("vector").to_pylist()
             a, b = [], []
             for lo, hi in _runs(token[:end]) if end else ():
@@ -292,8 +296,8 @@ def _clusters(profiles: DataFrame) -> DataFrame:
                 rest = np.flatnonzero(label != np.arange(hi - lo))
                 a += node[lo + rest].tolist()
                 b += node[lo + label[rest]].tolist()
-            made = list(dict.fromkeys(zip(a, b, strict=True)))
-            return (pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], names=["a", "b"]) if made else None), table.slice(end)
+            made = pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
+            return (pa.RecordBatch.from_pandas(made, preserve_index=False) if len(made) else None), table.slice(end)
 
         size = 0
         for batch in batches:
@@ -310,7 +314,7 @@ def _clusters(profiles: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    edges = members.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a binary, b binary")
+    edges = members.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long")
     return components(edges.unionByName(stars))
 
 
@@ -322,13 +326,13 @@ def _linked_in(rows: DataFrame, key: list[str], side: str | None = None) -> Data
         found = [np.frombuffer(g, np.uint64) for g in f["grams"]]
         across = f[side].to_numpy() if side and f[side].nunique() > 1 else None
         if side and across is None and not key[-1]:
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         label = linked(found, RTree([count_vector(s) for s in found]), across)
         nodes = f["node"].to_numpy()
         rest = label != np.arange(len(label))
         return pd.DataFrame({"a": nodes[rest], "b": nodes[label[rest]]})
 
-    return rows.groupBy(*key).applyInPandas(verify, "a binary, b binary")
+    return rows.groupBy(*key).applyInPandas(verify, "a long, b long")
 
 
 def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -338,8 +342,8 @@ def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> Data
     these links leave outside the cluster's largest component then meets all blocks. Pairs inside one component need no
     look, so a group of near copies costs as many tasks as it has blocks.
     """
-    weights = profiles.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min(F.struct("k1", "k2")).alias("k"))
-    clusters = stash(clusters.join(weights, F.col("name") == F.col("node")).select("node", "root", "n", "k.k1", "k.k2"), "clusters")
+    weights = profiles.where("n > 0").groupBy("f1").agg(F.first("n").alias("n"), F.min(F.struct("k1", "k2")).alias("k"))
+    clusters = stash(clusters.join(weights, F.col("f1") == F.col("node")).select("node", "root", "n", "k.k1", "k.k2"), "clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.sum("n") * 8 / BLOCK).cast("int").alias("blocks"))
     wanted = stash(clusters.join(sizes, "root").drop("n"), "wanted")
     texts = docs.join(small(wanted, 500_000), ["k1", "k2"]).dropDuplicates(["node"]).select("text", "root", "node", "blocks")
@@ -349,7 +353,7 @@ def _verified(docs: DataFrame, profiles: DataFrame, clusters: DataFrame) -> Data
             found = [s for _, _, data, offsets in kernels.texts(batch.column("text")) for s in kernels.shingle_sets(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("blocks"), kernels.binary(found)], names=["root", "node", "blocks", "grams"])
 
-    rows = texts.mapInArrow(sets, "root binary, node binary, blocks int, grams binary")
+    rows = texts.mapInArrow(sets, "root long, node long, blocks int, grams binary")
     if not (large := sizes.where("blocks > 1").select("root")).isEmpty():
         rows = stash(rows, "sets")
     mine = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -384,12 +388,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
     profiles = _profiles(rows)
     found = _verified(rows.select("text", "k1", "k2"), profiles, _clusters(profiles))
-    nodes = profiles.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(found, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
+    nodes = profiles.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
+    named = nodes.join(found, F.col("f1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f1"))
     lowest = stash(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-    table = stash(named.join(lowest, "root").select("name", "component_id", "root"), "named")
-    rest = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("binary").alias("root"))
-    return profiles.where("n > 0").join(table, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2", "root").unionByName(rest)
+    table = stash(named.join(lowest, "root").select("f1", "f2", "component_id", "root"), "named")
+    rest = profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k1", "k2", F.lit(None).cast("long").alias("root"))
+    return profiles.where("n > 0").join(table, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2", "root").unionByName(rest)
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -71,15 +71,22 @@ def text_stats(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
 
+def transformed(counts: np.ndarray) -> np.ndarray:
+    """The statistics on scales where clean texts are close to elliptical: logs of size, word length and rates."""
+    n = np.maximum(counts[:, 0], 1).astype(float)
+    return np.stack([np.log(n), np.log(np.maximum(counts[:, 1], 1) / n), *[np.log1p(100.0 * counts[:, k] / n) for k in (2, 3, 4)]], axis=1)
+
+
 def with_stats(rows: DataFrame) -> DataFrame:
-    """``rows`` with the statistics of ``text`` in its place: a map over rows, other columns unchanged."""
-    fields = [T.StructField(c, T.LongType()) for c in STATS]
+    """``rows`` with the statistics of ``text`` in its place, and ``x``, these transformed: a map over rows."""
+    fields = [*[T.StructField(c, T.LongType()) for c in STATS], T.StructField("x", T.ArrayType(T.DoubleType()))]
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = text_stats(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(found[:, k]) for k in range(5)]], names=[*others, *STATS])
+            x = pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(found) + 1, 5), pa.int32()), pa.array(transformed(found).ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(found[:, k]) for k in range(5)], x], names=[*others, *STATS, "x"])
 
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in others], *fields]))
 
@@ -88,13 +95,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def transformed() -> list[Column]:
-    """The statistics on scales where clean texts are close to elliptical: logs of size, word length and rates."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    rate = lambda c: F.log1p(100.0 * F.col(c) / n)
-    return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)).cast("double") / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
-
-
 def _keys() -> list[Column]:
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     return [F.concat(F.lit("2|"), part("lang"), F.lit("|"), part("source")), F.concat(F.lit("1|"), part("lang")), F.lit("0|")]
@@ -122,6 +122,10 @@ def consistency(keep: float, degrees: int = len(STATS)) -> float:
     return keep / _chi_square(edge, degrees + 2)
 
 
+#: The products of two statistics that a scatter needs.
+_HALF = [(i, j) for i in range(5) for j in range(i, 5)]
+
+
 def _invert(moments: DataFrame, scale: float) -> DataFrame:
     """Location, inverse scatter and the scatter's log determinant from sums; the scatter is floored along each statistic."""
 
@@ -129,9 +133,10 @@ def _invert(moments: DataFrame, scale: float) -> DataFrame:
         for f in frames:
             rows = []
             for key, start, n, total, squares in zip(f["key"], f["start"], f["n"], f["sums"], f["squares"], strict=True):
-                mean = np.asarray(total, float) / n
-                cov = np.asarray(squares, float).reshape(5, 5) / n - np.outer(mean, mean)
-                cov = (cov + cov.T) / 2 * scale
+                mean, cov = np.asarray(total, float) / n, np.zeros((5, 5))
+                for (i, j), value in zip(_HALF, squares, strict=True):
+                    cov[i, j] = cov[j, i] = value / n - mean[i] * mean[j]
+                cov *= scale
                 cov += np.diag(np.maximum(FLOORS**2 - np.diag(cov), 0) + 1e-9)
                 rows.append((key, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
             yield pd.DataFrame(rows, columns=["key", "start", "loc", "inv", "det"])
@@ -163,7 +168,7 @@ def _medians(values: DataFrame) -> DataFrame:
 
 def _moments(rows: DataFrame) -> DataFrame:
     x = [F.col("x")[i] for i in range(5)]
-    return rows.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sums"), F.array(*[F.sum(a * b) for a in x for b in x]).alias("squares"))
+    return rows.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i, j in _HALF]).alias("squares"))
 
 
 def _concentrated(points: DataFrame, now: DataFrame, keep: float, scratch: Scratch) -> DataFrame:
@@ -182,13 +187,13 @@ def _concentrated(points: DataFrame, now: DataFrame, keep: float, scratch: Scrat
 def fit(stats: DataFrame, keep: float = KEEP) -> DataFrame:
     """Estimates ``key, n, loc, inv`` for each language and source, each language, and all documents together.
 
-    ``stats`` (materialised) has ``lang, source`` and the statistics. Four starts for each group: the medians with the
+    ``stats`` (materialised) has ``lang, source``, the statistics and ``x``. Four starts for each group: the medians with the
     median absolute deviations, the moments of all its documents, and those of its shorter and of its longer half. Each is
     concentrated FIRST_STEPS times, the one with the smallest determinant until it falls no more. A step is two
     map-side combined aggregations over all documents; estimates are written to the shared folder after each step.
     """
     scratch = Scratch(stats.sparkSession)
-    points = stats.where(~base_failed()).select(F.explode(F.array(*_keys())).alias("key"), F.array(*transformed()).alias("x"))
+    points = stats.where(~base_failed()).select(F.explode(F.array(*_keys())).alias("key"), "x")
     middle = scratch.put(_medians(points), "mcd")
     centred = points.join(small(middle), "key")
     spread = scratch.put(_medians(centred.select("key", F.zip_with("x", "m", lambda x, m: F.abs(x - m)).alias("x"))).withColumnRenamed("m", "s").join(small(middle), "key"), "mcd")
@@ -213,13 +218,13 @@ def fit(stats: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def judged(rows: DataFrame, estimates: DataFrame, cut: float = CUT) -> DataFrame:
-    """``rows`` (with the statistics) and ``base_failed``, ``distance`` and ``kept``.
+    """``rows`` (with the statistics and ``x``) and ``base_failed``, ``distance`` and ``kept``.
 
     The finest group with an estimate of its own (LEAST documents) decides: language and source, then language, then all
     documents together, whatever their number. Where no document at all passes the base rules, these alone decide.
     """
     out, distances = rows, []
-    x = F.array(*transformed())
+    x = F.col("x")
     for level, key in enumerate(_keys()[:2]):
         table = estimates.where(F.col("key").startswith(f"{2 - level}|") & (F.col("n") >= LEAST)).select(F.col("key").alias("key_"), F.col("loc").alias(f"loc{level}"), F.col("inv").alias(f"inv{level}"))
         out = out.withColumn("key", key).join(small(table), F.col("key") == F.col("key_"), "left").drop("key", "key_")

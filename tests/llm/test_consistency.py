@@ -12,7 +12,7 @@ def test_scatter_of_normal_data(spark):
     x = x[(x[:, 4] > 0) & (x[:, 4] < 3.04)]
     n = np.exp(x[:, 0]).round()
     counts = np.stack([n, n * np.exp(x[:, 1]), *[n * np.expm1(x[:, k]) / 100 for k in (2, 3, 4)]], axis=1).round().astype(int)
-    rows = spark.createDataFrame([("en", "a", *map(int, r)) for r in counts], "lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS))
+    rows = spark.createDataFrame([("en", "a", *map(int, r), t.tolist()) for r, t in zip(counts, quality.transformed(counts), strict=True)], "lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS) + ", x array<double>")
     inv = quality.fit(shared.stash(rows, "rows")).where(F.col("key") == "0|").first().inv
     found = np.diag(np.linalg.inv(np.array(inv).reshape(5, 5)))
     assert found[:4] == pytest.approx(sd[:4] ** 2, rel=0.07)
@@ -63,12 +63,12 @@ def test_verdicts_of_small_groups(spark):
             junk = k % 25 == 7
             rows.append((len(rows), lang, source, words, int(words * np.exp(1.5 + longer + 0.05 * rng.normal())), int(words * (0.9 if junk else 0.01 * rng.random())), int(rng.random() < 0.05), 0, junk))
     rows.append((len(rows), "en", "many", 4, 10, 0, 0, 0, False))
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS) + ", junk boolean"
-    stats = shared.stash(spark.createDataFrame(rows, schema), "rows")
-    got = {r.doc_id: r for r in quality.judged(stats, quality.fit(stats)).collect()}
     n = np.array([r[3] for r in rows], float)
     counts = np.array([r[4:8] for r in rows], float)
     x = np.stack([np.log(n), np.log(counts[:, 0] / n), *[np.log1p(100 * counts[:, k] / n) for k in (1, 2, 3)]], axis=1)
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS) + ", junk boolean, x array<double>"
+    stats = shared.stash(spark.createDataFrame([(*r, t.tolist()) for r, t in zip(rows, x, strict=True)], schema), "rows")
+    got = {r.doc_id: r for r in quality.judged(stats, quality.fit(stats)).collect()}
     passes = n >= 10
     group = [np.array([f(r) for r in rows], object) for f in (lambda r: f"{r[1]}|{r[2]}", lambda r: str(r[1]), lambda r: "")]
     for r in rows:
@@ -90,7 +90,7 @@ def test_no_document_passes_the_base_rules(spark):
 
 
 def test_names_never_clash(spark):
-    names = ["row", "key", "key_", "loc0", "inv1", "distance", "kept", "base_failed", "q_k1", "q_key", "n", *quality.STATS]
+    names = ["row", "x", "key", "key_", "loc0", "inv1", "distance", "kept", "base_failed", "q_k1", "q_key", "n", *quality.STATS]
     text = " ".join(f"word{k}" for k in range(30))
     docs = spark.createDataFrame([(i, text + str(i), "en", "a", *[f"own {n}" for n in names]) for i in range(12)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
     out = quality.passing(docs)
