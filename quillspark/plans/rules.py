@@ -9,16 +9,24 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import registry
 from quillspark.plans.expressions import compile_parameter, compile_test
+from quillspark.tree import xpath
 
 TEI = "http://www.tei-c.org/ns/1.0"
-# Behaviour names of rule documents and the record behaviours they stand for.
-BEHAVIOURS = {b: b for b in "alternate anchor block body break cell cit code document figure glyph graphic heading index inline link list match metadata note omit paragraph row section table text title webcomponent template".split()} | {
-    "listItem": "list_item", "pass-through": "pass_through", "code-inline": "code_inline", "template": "template",
-}
+# Behaviour names of rule documents.
+_NAMES = [
+    "alternate", "anchor", "block", "body", "break", "cell", "cit", "code", "code-inline", "document", "figure", "glyph", "graphic", "heading", "index", "inline", "link", "list", "listItem",
+    "match", "metadata", "note", "omit", "paragraph", "pass-through", "row", "section", "table", "template", "text", "title", "webcomponent",
+]
+#: The record behaviours that they stand for.
+BEHAVIOURS = {b: "list_item" if b == "listItem" else b.replace("-", "_") for b in _NAMES}
 SUPPRESSED = {"omit", "index", "metadata"}
-# What each output channel accepts.
-CHANNELS = {"web": ["web"], "print": ["print"], "epub": ["epub"], "markdown": ["markdown", "web"], "typst": ["typst", "print"], "docx": ["docx", "print"], "json": ["json", "web"]}
+# What each output channel accepts. A channel of records accepts what the channel it records does.
+_ACCEPTED = {"web": ["web"], "print": ["print", "web"], "epub": ["epub", "web"], "markdown": ["markdown", "plain"], "typst": ["typst", "plain"], "docx": ["docx"], "plain": ["plain"]}
+CHANNELS = _ACCEPTED | {"json": ["json", "web"]} | {f"json-{c}": ["json", *a] for c, a in _ACCEPTED.items()}
+#: The prefix of channel names in the file format (fixed value).
+PREFIX = "opm-"
 
 
 @dataclass
@@ -104,22 +112,28 @@ class RuleSet:
         return out
 
     def channel(self, mode: str) -> RuleSet:
-        """The rules a channel uses: those without an output, or one that it accepts, with or without the ``opm-`` prefix."""
+        """The rules a channel uses: those without an output, or one that it accepts, with or without the format's prefix."""
         accepted = set(CHANNELS.get(mode, [mode]))
-        keep = lambda r: r.output is None or any(o.removeprefix("opm-") in accepted for o in r.output.split())
+        keep = lambda r: r.output is None or any(o.removeprefix(PREFIX) in accepted for o in r.output.split())
         return RuleSet({e: [r for r in rs if keep(r)] for e, rs in self.rules.items()}, self.ns, self.prefixes, self.own)
 
     def analysed(self, variables: dict[str, object] | None = None) -> list[Rule]:
         """All rules with why their predicate can't be evaluated, and why they can't be reached."""
-        out = []
+        out, env = [], xpath.Env(variables=variables or {}, namespaces=self.prefixes, functions=dict.fromkeys(registry.names()))
         for rs in self.rules.values():
-            open_levels: dict[tuple, bool] = {}
+            levels: dict[tuple, list[Rule]] = {}
             for r in rs:
-                why = compile_test(r.predicate, variables)[1] if r.predicate else None
-                level, in_sequence = r.path[:-1], any(p[0] == "s" for p in r.path)
-                shadow = "an earlier rule without a predicate always wins" if open_levels.get(level) and not in_sequence else None
-                if r.predicate is None and not in_sequence:
-                    open_levels[level] = True
+                why = xpath.why_never(r.predicate, env) if r.predicate else None
+                before = levels.setdefault(r.path[:-1], [])
+                shadow = None
+                if not any(p[0] == "s" for p in r.path):
+                    # The first rule of a level wins at once without a predicate; a later one is the level's last resort,
+                    # which only further ones without a predicate can't become.
+                    if before and before[0].predicate is None:
+                        shadow = "an earlier rule without a predicate always wins"
+                    elif r.predicate is None and any(x.predicate is None for x in before):
+                        shadow = "an earlier rule without a predicate is the last resort"
+                before.append(r)
                 out.append(replace(r, unsupported=why, unreachable=shadow or ("its predicate can never hold" if why else None)))
         return out
 
