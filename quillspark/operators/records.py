@@ -6,18 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators.nodes import axis
 from quillspark.plans.rules import SUPPRESSED, RuleSet
 
 
 def with_context(nodes: DataFrame) -> DataFrame:
-    """Element nodes with ``string_value`` (all text below) and ``parent_attrs``: one interval and one equi-join."""
-    runs = nodes.where("kind = 't'").select("doc_id", "node_id", "end_id", "parent_id", "text")
-    elements = nodes.where("kind = 'e'")
-    below = axis(elements.select("doc_id", "node_id", "end_id", "parent_id"), runs, "descendant")
-    whole = below.groupBy("doc_id", F.col("context_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("at"), "text"))), lambda s: s["text"]), "").alias("string_value"))
-    parents = elements.select("doc_id", F.col("node_id").alias("parent_id"), F.col("attrs").alias("parent_attrs"))
-    return elements.join(whole, ["doc_id", "node_id"], "left").withColumn("string_value", F.coalesce("string_value", F.lit(""))).join(parents, ["doc_id", "parent_id"], "left")
+    """Element nodes. Their ``string_value`` and ``parent_attrs`` come from shredding, so nothing is joined."""
+    return nodes.where("kind = 'e'")
 
 
 def dispatch(nodes: DataFrame, rules: RuleSet, variables: dict[str, object] | None = None) -> DataFrame:
@@ -32,11 +26,16 @@ def dispatch(nodes: DataFrame, rules: RuleSet, variables: dict[str, object] | No
     return rows.select("*", F.col("w.rule_key").alias("rule_key"), behaviour.alias("behaviour"), F.col("w.params").alias("params"), F.col("w.template").alias("template"), F.coalesce(behaviour.isin(*SUPPRESSED), F.lit(False)).alias("suppressed")).drop("w")
 
 
+def covered(rows: DataFrame, cover: str) -> DataFrame:
+    """``rows`` of nodes with ``inside``: whether a node lies below one for which ``cover`` holds. Intervals nest, so it does
+    if the furthest end of such nodes before it reaches it: one window over the document, no join."""
+    before = Window.partitionBy("doc_id").orderBy("node_id").rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("inside", F.coalesce(F.max(F.when(F.expr(cover), F.col("end_id"))).over(before) >= F.col("node_id"), F.lit(False)))
+
+
 def pruned(records: DataFrame) -> DataFrame:
     """Records outside the subtrees of suppressed ones (the suppressed records themselves stay, childless)."""
-    gone = records.where("suppressed").select("doc_id", "node_id", "end_id", "parent_id").distinct()
-    inside = axis(gone, records.select("doc_id", "node_id", "end_id", "parent_id").distinct(), "descendant").select("doc_id", "node_id").distinct()
-    return records.join(inside, ["doc_id", "node_id"], "left_anti")
+    return covered(records, "suppressed").where("not inside").drop("inside")
 
 
 def selected(records: DataFrame, behaviours=(), elements=(), models=()) -> DataFrame:
@@ -85,10 +84,9 @@ def unmatched(records: DataFrame) -> DataFrame:
 def dropped(nodes: DataFrame, records: DataFrame) -> DataFrame:
     """Outermost elements without a record that are not inside a suppressed subtree."""
     keys = ["doc_id", "node_id"]
-    missing = nodes.where("kind = 'e'").join(records.select(*keys).distinct(), keys, "left_anti").select("doc_id", "node_id", "end_id", "parent_id", "tag", "xpath")
-    cover = records.where("suppressed").select("doc_id", "node_id", "end_id", "parent_id").unionByName(missing.select("doc_id", "node_id", "end_id", "parent_id"))
-    inside = axis(cover, missing, "descendant").select(*keys).distinct()
-    return missing.join(inside, keys, "left_anti")
+    shown = records.groupBy(*keys).agg(F.max("suppressed").alias("suppressed"))
+    marked = nodes.where("kind = 'e'").select(*keys, "end_id", "parent_id", "tag", "xpath").join(shown, keys, "left")
+    return covered(marked, "suppressed is null or suppressed").where("suppressed is null and not inside").drop("inside", "suppressed")
 
 
 def unused_rules(table: DataFrame, records: DataFrame, nodes: DataFrame) -> DataFrame:

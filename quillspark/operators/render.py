@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -56,15 +56,17 @@ def render(nodes: DataFrame, records: DataFrame, channel: str = "html") -> DataF
     per document writes everything and no recursion is needed. A document's tokens meet in one group, as its output does.
     """
     open_, close = {"html": html_tokens, "markdown": markdown_tokens, "text": text_tokens}[channel]()
-    gone = records.where("suppressed").select("doc_id", F.col("node_id").alias("g"), F.col("end_id").alias("g_end")).distinct()
     live = records.where("not suppressed")
     inner = F.regexp_replace("text", r"[ \t]*\r?\n\s*", " ")
-    runs = nodes.where("kind = 't'").select("doc_id", "node_id", F.lit(1).alias("step"), F.lit(0).alias("deep"), (escape(F.col("text")) if channel == "html" else inner).alias("token"))
-    opens = live.select("doc_id", "node_id", F.lit(0).alias("step"), F.col("seq_no").alias("deep"), open_.alias("token"))
-    closes = live.select("doc_id", F.col("end_id").alias("node_id"), F.lit(2).alias("step"), (-F.col("depth") * 100 - F.col("seq_no")).alias("deep"), close.alias("token"))
-    tokens = opens.unionByName(runs).unionByName(closes).where("token <> ''")
-    hidden = F.expr("t.doc_id = g.doc_id AND t.node_id >= g.g AND t.node_id <= g.g_end")
-    tokens = tokens.alias("t").join(gone.alias("g"), hidden, "left_anti")
+    none = F.lit(None).cast("int")
+    runs = nodes.where("kind = 't'").select("doc_id", "node_id", F.lit(1).alias("step"), F.lit(0).alias("deep"), (escape(F.col("text")) if channel == "html" else inner).alias("token"), none.alias("end_id"))
+    opens = live.select("doc_id", "node_id", F.lit(0).alias("step"), F.col("seq_no").alias("deep"), open_.alias("token"), none.alias("end_id"))
+    closes = live.select("doc_id", F.col("end_id").alias("node_id"), F.lit(2).alias("step"), (-F.col("depth") * 100 - F.col("seq_no")).alias("deep"), close.alias("token"), none.alias("end_id"))
+    # Suppressed nodes are tokens without text that carry how far they hide what follows.
+    hides = records.where("suppressed").select("doc_id", "node_id", F.lit(-1).alias("step"), F.lit(0).alias("deep"), F.lit("").alias("token"), F.col("end_id").cast("int").alias("end_id"))
+    tokens = opens.unionByName(runs).unionByName(closes).where("token <> ''").unionByName(hides)
+    so_far = Window.partitionBy("doc_id").orderBy("node_id", "step").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tokens = tokens.withColumn("hidden", F.max("end_id").over(so_far)).where("token <> '' and (hidden is null or hidden < node_id)")
     joined = tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "step", "deep", "token"))), lambda s: s["token"]), "").alias("output"))
     if channel == "markdown":
         joined = joined.withColumn("output", text.strip(text.markdown_finish(F.col("output"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {"int": T.IntegerType(), "text": T.StringType(), "texts": T.ArrayType(T.StringType()), "map": T.MapType(T.StringType(), T.StringType())}
+_TEXT, _INT, _TEXTS = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
 #: The node table.
-NODE = T.StructType([T.StructField(name, _KINDS[kind]) for kind, names in (
-    ("text", "doc_id"), ("int", "node_id end_id parent_id depth"), ("text", "kind ns tag"), ("int", "ord tag_ord"), ("map", "attrs"), ("text", "text xml_id xpath"), ("int", "line col"), ("texts", "anc_tags child_tags before_tags after_tags"),
-) for name in names.split()])
+NODE = T.StructType([
+    T.StructField("doc_id", _TEXT), T.StructField("node_id", _INT), T.StructField("end_id", _INT), T.StructField("parent_id", _INT), T.StructField("depth", _INT),
+    T.StructField("kind", _TEXT), T.StructField("ns", _TEXT), T.StructField("tag", _TEXT), T.StructField("ord", _INT), T.StructField("tag_ord", _INT), T.StructField("attrs", T.MapType(_TEXT, _TEXT)),
+    T.StructField("text", _TEXT), T.StructField("xml_id", _TEXT), T.StructField("xpath", _TEXT), T.StructField("line", _INT), T.StructField("col", _INT),
+    T.StructField("anc_tags", _TEXTS), T.StructField("child_tags", _TEXTS), T.StructField("before_tags", _TEXTS), T.StructField("after_tags", _TEXTS),
+    T.StructField("string_value", _TEXT), T.StructField("parent_attrs", T.MapType(_TEXT, _TEXT)),
+])
 XML_NS = "http://www.w3.org/XML/1998/namespace"
 # Fixed values of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -95,14 +100,21 @@ class Builder:
         return self.nodes
 
 
-def parse_xml(raw: bytes | str) -> list[dict]:
-    """Nodes of an XML document. External entities and DTDs resolve to nothing; repeated ids are kept; a malformed
-    document gives the nodes up to the error and one node of kind ``x`` with the message."""
+def parse_xml(raw: bytes | str, local: dict[str, str] | None = None) -> list[dict]:
+    """Nodes of an XML document. ``local`` has local DTDs and entities by system id; all other ones, remote ones always,
+    resolve to nothing. Repeated ids are kept; a malformed document gives the nodes up to the error and one node of
+    kind ``x`` with the message."""
     build = Builder()
     parser = expat.ParserCreate(namespace_separator=" ")
-    parser.buffer_text = True
-    parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
-    parser.ExternalEntityRefHandler = lambda *_: 1
+    parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_UNLESS_STANDALONE if local else expat.XML_PARAM_ENTITY_PARSING_NEVER)
+
+    def external(context: str, _base: str, system: str | None, _public: str) -> int:
+        found = None if system is None or re.match("(https?|ftps?):", system) else (local or {}).get(system)
+        if found is not None:
+            parser.ExternalEntityParserCreate(context).Parse(found, True)
+        return 1
+
+    parser.ExternalEntityRefHandler = external
     where = lambda: (parser.CurrentLineNumber, parser.CurrentColumnNumber)
 
     def split(name: str) -> tuple[str | None, str]:
@@ -169,11 +181,30 @@ def parse_html(raw: str) -> list[dict]:
     return page.build.finish()
 
 
-def shred(docs: DataFrame, id_: str = "doc_id", raw: str = "raw", kind: str = "xml") -> DataFrame:
+def _contexts(found: list[dict]) -> None:
+    """All text below each element, and its parent's attributes, from one pass over the nodes."""
+    text, starts = [], []
+    at = 0
+    for n in found:
+        starts.append(at)
+        if n["kind"] == "t":
+            text.append(n["text"])
+            at += len(n["text"])
+    whole = "".join(text)
+    starts.append(at)
+    for n in found:
+        if n["kind"] == "e":
+            n["string_value"] = whole[starts[n["node_id"]] : starts[n["end_id"] + 1]]
+            if n["parent_id"] is not None:
+                n["parent_attrs"] = list(found[n["parent_id"]]["attrs"].items())
+
+
+def shred(docs: DataFrame, id_: str = "doc_id", raw: str = "raw", kind: str = "xml", local: dict[str, str] | None = None) -> DataFrame:
     """The node table (schema ``NODE``) of a table with an id and the raw document: a map over rows, one parse each.
 
     ``anc_tags``, ``child_tags``, ``before_tags`` and ``after_tags`` hold the names on the axes that predicates
-    mostly ask for, so that classifying nodes needs no join.
+    mostly ask for, ``string_value`` all text below an element, ``parent_attrs`` its parent's attributes, so that
+    classifying nodes needs no join. ``local`` has local DTDs by system id.
     """
     names = NODE.fieldNames()
 
@@ -184,7 +215,8 @@ def shred(docs: DataFrame, id_: str = "doc_id", raw: str = "raw", kind: str = "x
         for batch in batches:
             rows: list[dict] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = parse_xml(value) if kind == "xml" and value else parse_html(value) if value else []
+                found = parse_xml(value, local) if kind == "xml" and value else parse_html(value) if value else []
+                _contexts(found)
                 for n in found:
                     rows.append({k: n.get(k) for k in names} | {"doc_id": key, "attrs": list(n["attrs"].items())})
                 if len(rows) > 5000:
@@ -196,11 +228,22 @@ def shred(docs: DataFrame, id_: str = "doc_id", raw: str = "raw", kind: str = "x
     return docs.select(F.col(id_).cast("string"), F.col(raw)).mapInArrow(run, NODE)
 
 
-def read_corpus(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.xml") -> DataFrame:
-    """``doc_id, source, raw`` of the files below a path, by name; not recursive unless asked for."""
+def read_corpus(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.xml", names: str = "path") -> DataFrame:
+    """``doc_id, source, raw`` of the files below a path; not recursive unless asked for.
+
+    A document's name is its path below ``path`` without the suffix, so files of one name in different folders stay
+    apart; with ``names="stem"`` it is the file's name alone, and names that then repeat are an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return files.select(stem.alias("doc_id"), F.col("path").alias("source"), F.col("content").alias("raw"))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.makeQualified(root).toUri().getPath().rstrip("/")
+    inside = F.regexp_replace(F.element_at(F.split("path", re.escape(base) + "/"), -1), r"\.[^./]*$", "")
+    name = inside if names == "path" else F.element_at(F.split(inside, "/"), -1)
+    out = files.select(name.alias("doc_id"), F.col("path").alias("source"), F.col("content").alias("raw"))
+    if names != "path" and (twice := out.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()):
+        raise ValueError(f"several files are named {twice[0]['doc_id']}")
+    return out.orderBy("source")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
