@@ -95,9 +95,9 @@ class ByteBpe:
         table = {c: b for b, c in enumerate(self.chars)}
         # The inverse mapping: the bytes of each of the model's own pieces. Pieces of other characters (unused, unknown) have none.
         pieces = map(self.model.id_to_piece, range(self.model.vocab_size()))
-        self.bytes_of = [bytes(map(table.__getitem__, p)) if all(map(table.__contains__, p)) else b"" for p in pieces]
-        self.kept: dict[str, tuple[list[int], str]] = {}
-        self.older: dict[str, tuple[list[int], str]] = {}
+        self.bytes_of = pa.array([bytes(map(table.__getitem__, p)) if all(map(table.__contains__, p)) else b"" for p in pieces], pa.binary())
+        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens. The standard library's faster matcher serves texts without characters it classes differently."""
@@ -112,18 +112,20 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for part in self.ids(self.split(text)) for i in part]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Inverse of the byte mapping, over the pieces of the model itself."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        """Inverse of the byte mapping, over the pieces of the model itself: each id's bytes, gathered into one buffer."""
+        found = self.bytes_of.take(pa.array(ids, pa.int32()))
+        at = np.frombuffer(found.buffers()[1], np.int32)
+        return memoryview(found.buffers()[2])[at[found.offset] : at[found.offset + len(found)]].tobytes() if len(found) else b""
 
     def learn(self, pretokens: list[str]) -> None:
         """Encode distinct pre-tokens, once each; of the kept ones the less recent half goes when full."""
         if len(self.kept) > KEPT_PIECES:
             self.older, self.kept = self.kept, {}
         for p, ids in zip(pretokens, self.ids(pretokens), strict=True):
-            self.kept[p] = (ids, " ".join(map(str, ids)))
+            self.kept[p] = (np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)))
 
-    def coded(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+    def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """For each text: its ids, and these in decimal, joined by spaces."""
         parts = [self.split(t) for t in texts]
         needed = set().union(*parts)
@@ -141,7 +143,7 @@ class ByteBpe:
         get = self.kept.__getitem__
         for own in parts:
             found = [*map(get, own)]
-            yield [i for f in found for i in f[0]], " ".join([f[1] for f in found])
+            yield np.frombuffer(b"".join([f[0] for f in found]), np.int32), " ".join([f[1] for f in found])
 
 
 @lru_cache(maxsize=2)
@@ -149,9 +151,9 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def _listed(lists: list[pa.Array]) -> pa.ListArray:
+def _listed(lists: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *lists]))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
@@ -177,7 +179,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
                     digests.append(hashlib.sha256(line.encode()).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
                     if ids:
-                        lists.append(pa.array(found, pa.int32()))
+                        lists.append(found)
                 cols = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)] + [_listed(lists)] * ids
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=names)
 

@@ -34,11 +34,11 @@ FEW = 32
 #: Cells of the frequency sketch; a shingle is frequent if its cell counts this many times the mean.
 CELLS, FREQUENT = 1 << 18, 4
 #: Sets of a bucket up to which it is searched; those of a larger one go to verification as one cluster.
-BUCKET = 1000
+BUCKET = 20_000
 #: Shingles that are compared with a set at a time.
 SLICE = 1 << 19
 #: Bytes of sets that one task verifies; larger clusters fall into blocks.
-BLOCK = 12 << 20
+BLOCK = 24 << 20
 
 
 def needed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -276,8 +276,10 @@ def _clusters(profiles: DataFrame) -> DataFrame:
     # Buckets of the same members give the same pairs: of those the one with the smallest token is searched.
     buckets = pairs.groupBy("token").agg(F.count("*").alias("c"), F.min("f1").alias("least"), F.bit_xor(F.xxhash64("f1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "f1")).alias("x2")).where("c > 1")
     shared = stash(buckets.groupBy("c", "x1", "x2").agg(F.min(F.struct("token", "least")).alias("t")).select("t.token", "t.least", "c"), "buckets")
-    stars = pairs.join(shared.where(F.col("c") > BUCKET), "token").select(F.col("f1").alias("a"), F.col("least").alias("b"))
-    members = pairs.join(shared.where(F.col("c") <= BUCKET).select("token"), "token").join(sets.select("f1", "vector"), "f1").select("token", "f1", "vector")
+    # Rows of fixed size; beyond the bound the pairs are dealt out by token once more.
+    hot, usual = small(shared.where(F.col("c") > BUCKET), 300_000), small(shared.where(F.col("c") <= BUCKET).select("token"), 500_000)
+    stars = pairs.join(hot, "token").select(F.col("f1").alias("a"), F.col("least").alias("b"))
+    members = pairs.join(usual, "token").join(sets.select("f1", "vector"), "f1").select("token", "f1", "vector")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

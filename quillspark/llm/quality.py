@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernels
-from quillspark.llm.shared import Scratch, packed, small, stash
+from quillspark.llm.shared import Scratch, packed, row_text, small, stash
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Share of a group's documents that the estimate keeps; documents a group needs for an estimate of its own.
@@ -78,13 +78,14 @@ def transformed(counts: np.ndarray) -> np.ndarray:
 
 
 def with_stats(rows: DataFrame) -> DataFrame:
-    """``rows`` with the statistics of ``text`` in its place, and ``x``, these transformed: a map over rows."""
+    """``rows`` with the statistics of ``text`` in its place (of the text in ``row`` where there is no such column), and
+    ``x``, these transformed: a map over rows."""
     fields = [*[T.StructField(c, T.LongType()) for c in STATS], T.StructField("x", T.ArrayType(T.DoubleType()))]
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = text_stats(batch.column("text"))
+            found = text_stats(batch.column("text") if "text" in batch.schema.names else row_text(batch))
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(found) + 1, 5), pa.int32()), pa.array(transformed(found).ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(found[:, k]) for k in range(5)], x], names=[*others, *STATS, "x"])
 
@@ -145,14 +146,14 @@ def _invert(moments: DataFrame, scale: float) -> DataFrame:
 
 
 def squared_distance(x: Column, loc: Column, inv: Column) -> Column:
-    """Null where there is no estimate."""
+    """Null where there is no estimate; rounding may leave it a little below zero."""
     d = [x[i] - loc[i] for i in range(5)]
     total = None
     for i in range(5):
         for j in range(i, 5):
             term = d[i] * d[j] * inv[5 * i + j] * (1.0 if i == j else 2.0)
             total = term if total is None else total + term
-    return F.when(total < 0, 0.0).otherwise(total)
+    return total
 
 
 def _medians(values: DataFrame) -> DataFrame:
@@ -174,7 +175,8 @@ def _moments(rows: DataFrame) -> DataFrame:
 def _concentrated(points: DataFrame, now: DataFrame, keep: float, scratch: Scratch) -> DataFrame:
     """One concentration step: the ``keep`` share of each group's documents that is nearest under each estimate gives the
     next. The share's edge is found by a histogram of log distances, so no group is ever gathered."""
-    at = F.floor(F.log(squared_distance(F.col("x"), F.col("loc"), F.col("inv")) + 1e-9) * BINS).cast("int")
+    # Never null to the optimiser: else it would test the whole distance for null once more in the join below.
+    at = F.coalesce(F.floor(F.log(F.greatest(squared_distance(F.col("x"), F.col("loc"), F.col("inv")), F.lit(0.0)) + 1e-9) * BINS).cast("int"), F.lit(0))
     binned = points.join(small(now), "key").select("key", "start", "x", at.alias("bin"))
     counts = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("c"))
     group = Window.partitionBy("key", "start")
@@ -231,7 +233,7 @@ def judged(rows: DataFrame, estimates: DataFrame, cut: float = CUT) -> DataFrame
         distances.append(squared_distance(x, F.col(f"loc{level}"), F.col(f"inv{level}")))
     if overall := estimates.where("key = '0|'").select("loc", "inv").first():
         distances.append(squared_distance(x, F.array(*map(F.lit, overall["loc"])), F.array(*map(F.lit, overall["inv"]))))
-    out = out.withColumn("distance", F.coalesce(*distances, F.lit(0.0))).drop(*[f"{c}{i}" for i in range(2) for c in ("loc", "inv")])
+    out = out.withColumn("distance", F.greatest(F.coalesce(*distances, F.lit(0.0)), F.lit(0.0))).drop(*[f"{c}{i}" for i in range(2) for c in ("loc", "inv")])
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
 
 
@@ -252,4 +254,4 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged whatever their names."""
     stats = stash(with_stats(_rows(docs).drop("row")), "stats")
-    return judged(with_stats(_rows(docs)), fit(stats)).where("kept").select("row.*")
+    return judged(with_stats(_rows(docs).drop("text")), fit(stats)).where("kept").select("row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,11 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
+def row_text(batch: pa.RecordBatch) -> pa.Array:
+    """The texts inside the struct ``row``, which so need not be sent beside it."""
+    return batch.column("row").field("text").cast(pa.string())
+
+
 def content_keys(text: str = "text") -> tuple[Column, Column]:
     """Two 64-bit hashes that name a text; null and empty texts share theirs."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernels
-from quillspark.llm.shared import Scratch, at_most, content_keys, packed, small, stash
+from quillspark.llm.shared import Scratch, at_most, content_keys, packed, row_text, small, stash
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, ANCHOR = 400, 32
@@ -437,14 +437,14 @@ def cut(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, members
     size = cuts.agg(F.sum(32 + 8 * (F.size("cuts") + F.size("later")))).first()[0] or 0
     cuts = F.broadcast(cuts) if size <= CUT_BYTES else cuts
     id_ = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1)) if keep_first else F.lit(0).cast("long")
-    rows = packed(docs, k1=k1, k2=k2, id=id_, text=F.col("text").cast("string")).join(cuts, ["k1", "k2"], "left")
-    rows = rows.select("row", "text", (F.when(F.col("id") == F.col("least"), F.col("later")).otherwise(F.col("cuts")) if keep_first else F.col("cuts")).alias("cuts"))
+    rows = packed(docs, k1=k1, k2=k2, id=id_).join(cuts, ["k1", "k2"], "left")
+    rows = rows.select("row", (F.when(F.col("id") == F.col("least"), F.col("later")).otherwise(F.col("cuts")) if keep_first else F.col("cuts")).alias("cuts"))
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digests, left = [], [], [], [], []
-            for t, c in zip(batch.column("text"), batch.column("cuts"), strict=True):
+            for t, c in zip(row_text(batch), batch.column("cuts"), strict=True):
                 value = t.as_py()
                 raw = (value or "").encode("utf-8", "surrogatepass")
                 gone = c.as_py() if c.is_valid else []
