@@ -2,38 +2,48 @@
 
 from __future__ import annotations
 
-import io
 import tomllib
-import zipfile
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from string import Template
-from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
-from quillspark.operators import passages, records, render
-from quillspark.operators.nodes import axis
+from quillspark.functions import registry
+from quillspark.operators import documents, sites
 from quillspark.plans.rules import RuleSet, load_rules
 from quillspark.session import ship
 from quillspark.sources.markup import read_corpus, shred
+from quillspark.tree.pages import SELECTORS, PageSettings
+from quillspark.tree.passages import Field, Options, UnitKind
+from quillspark.tree.process import by_place, labelled_first
+
+ORDERS = {"labelled-first": labelled_first, "by-place": by_place}
+
+
+def _whole(table: dict, name: str, default: int) -> int:
+    value = table.get(name, default)
+    if not isinstance(value, int) or isinstance(value, bool) or value < 0:
+        raise ValueError(f"index.{name} must be a whole number, not {value!r}")
+    return value
+
+
+def _selectors(table: dict) -> dict[str, list[str]]:
+    return {k: list(table.get(k, [])) for k in ("behaviours", "elements", "models")}
 
 
 @dataclass
 class Config:
-    """Settings of a project file; a missing file gives the defaults."""
+    """Settings of a project file; a missing file gives the defaults. Paths are relative to the file."""
 
     rules: str | None = None
-    variables: dict[str, object] = field(default_factory=dict)
-    chunk_behaviours: tuple[str, ...] = ("section",)
-    file_pattern: str = "{xml_id}.html"
-    max_chars: int = 1500
-    min_chars: int = 40
-    overlap: int = 1
-    boundaries: tuple[str, ...] = ("section", "body", "document", "heading")
-    fields: dict[str, list[str]] = field(default_factory=dict)
+    setup: documents.Setup = field(default_factory=documents.Setup)
+    pages: PageSettings | None = None
+    options: Options = field(default_factory=Options)
+    templates: dict[str, str] = field(default_factory=dict)
+    name: str | None = None
+    assets: list[str] = field(default_factory=list)
 
     @classmethod
     def load(cls, path: str) -> Config:
@@ -41,124 +51,122 @@ class Config:
         if not p.is_file():
             return cls()
         raw = tomllib.loads(p.read_text(encoding="utf-8"))
-        index, chunking = raw.get("index", {}), raw.get("chunking", {})
-        most, least, over = index.get("max_chars", 1500), index.get("min_chars", 40), index.get("overlap", 1)
-        for name, value in (("max_chars", most), ("min_chars", least), ("overlap", over)):
-            if not isinstance(value, int) or value < 0:
-                raise ValueError(f"index.{name} must be a whole number, not {value!r}")
-        rules = raw.get("project", {}).get("rules")
-        return cls(str(p.parent / rules) if rules else None, raw.get("context", {}), tuple(chunking.get("behaviours", ("section",))), chunking.get("file_pattern", "{xml_id}.html"), most, least, over, tuple(index.get("boundaries", cls.boundaries)), index.get("fields", {}))
+        here = lambda name: str(p.parent / name)
+        project, context, index, chunking = (raw.get(k, {}) for k in ("project", "context", "index", "chunking"))
+        fields = [Field(f["name"], **_selectors(f), metadata=f.get("metadata", True), inline=f.get("inline")) for f in index.get("fields", [])]
+        units = [UnitKind(u["name"], **_selectors(u), emit=u.get("emit", True), min_chars=u.get("min_chars")) for u in index.get("units", [])]
+        selector = chunking.get("selector")
+        if selector and selector not in SELECTORS and "/" not in selector and "." in selector:
+            selector = registry.resolve(selector)
+        settings = PageSettings(selector, chunking.get("depth", 1), chunking.get("file_pattern", "{xml_id}.html"), chunking.get("link_pattern"), chunking.get("fragments", {})) if selector else None
+        registers = {name: Path(here(file)).read_text(encoding="utf-8") for name, file in raw.get("registers", {}).items()}
+        order = project.get("footnote_order")
+        for module in project.get("functions", []):
+            registry.register_module(module, plain=True)
+        setup = documents.Setup(context, registers, raw.get("collections", {}), ORDERS.get(order) or (registry.resolve(order) if order else None), project.get("webcomponents", False), "\n".join(Path(here(f)).read_text(encoding="utf-8") for f in project.get("styles", [])))
+        templates = {k: Path(here(f)).read_text(encoding="utf-8") for k, f in raw.get("templates", {}).items()}
+        return cls(here(project["rules"]) if "rules" in project else None, setup, settings, Options(_whole(index, "max_chars", 1500), _whole(index, "min_chars", 40), _whole(index, "overlap", 1), fields, units), templates, project.get("document_name"), [here(a) for a in project.get("assets", [])])
 
 
 class Engine:
-    """``nodes, records, render, chunks, anchors, passages, coverage`` of documents, all as DataFrames."""
+    """Nodes, records, output, pages, passages, coverage and packages of documents, all as DataFrames.
+
+    Each document is parsed once a call, in one task; see ``operators.documents``.
+    """
 
     def __init__(self, spark: SparkSession, rules: RuleSet, config: Config | None = None) -> None:
         self.spark, self.rules, self.config = ship(spark), rules, config or Config()
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Engine:
+    def load(cls, spark: SparkSession, path: str, rules: str | None = None) -> Engine:
+        """A project; rules given here win over the project's, these over none."""
         config = Config.load(path)
-        if not config.rules:
+        chosen = rules or config.rules
+        if not chosen:
             raise ValueError("the project names no rules")
-        return cls(spark, load_rules(config.rules), config)
+        return cls(spark, load_rules(chosen), config)
+
+    def with_config(self, **changes) -> Engine:
+        return Engine(self.spark, self.rules, replace(self.config, **changes))
 
     def read(self, path: str, recursive: bool = False) -> DataFrame:
-        return read_corpus(self.spark, path, recursive)
+        """Documents below a path, named by the project's expression where it has one; none at all is an error."""
+        docs = read_corpus(self.spark, path, recursive)
+        if docs.isEmpty():
+            raise ValueError(f"no documents in {path}")
+        if self.config.name:
+            names = documents.named(docs, self.config.name, self.config.setup)
+            docs = docs.join(names, "doc_id").select(F.col("name").alias("doc_id"), "source", "raw")
+        return docs
+
+    def errors(self, docs: DataFrame) -> DataFrame:
+        """Malformed documents, and rules whose predicates can never be evaluated."""
+        bad = documents.rendered(docs, self.rules, "plain", self.config.setup).where("error is not null").select(F.col("doc_id").alias("where"), F.col("error").alias("message"))
+        rules = [(r.key, r.unsupported) for r in self.rules.analysed(self.config.setup.variables) if r.unsupported]
+        return bad.unionByName(self.spark.createDataFrame(rules, "where string, message string"))
+
+    def check(self) -> None:
+        """Raise if a predicate can never be evaluated."""
+        if bad := [r.key for r in self.rules.analysed(self.config.setup.variables) if r.unsupported]:
+            raise ValueError(f"rules with predicates that can't be evaluated: {', '.join(bad)}")
 
     def nodes(self, docs: DataFrame) -> DataFrame:
         return shred(docs)
 
-    def records(self, nodes: DataFrame, mode: str = "json", strict: bool = False) -> DataFrame:
+    def records(self, docs: DataFrame, channel: str = "web", strict: bool = False) -> DataFrame:
         """Decision records of a channel. ``strict`` raises if a predicate can't be evaluated."""
-        chosen = self.rules.channel(mode)
-        if strict and (bad := [r.key for r in chosen.analysed(self.config.variables) if r.unsupported]):
-            raise ValueError(f"rules with predicates that can't be evaluated: {', '.join(bad)}")
-        return records.dispatch(nodes, chosen, self.config.variables)
-
-    def render(self, docs: DataFrame, mode: str = "html") -> DataFrame:
-        nodes = self.nodes(docs)
-        return render.render(nodes, self.records(nodes, {"html": "web", "text": "json"}.get(mode, mode)), mode)
-
-    def page(self, docs: DataFrame, template: str) -> DataFrame:
-        """Rendered documents in a page template with ``$content`` and ``$doc``."""
-        before, _, after = Template(template).safe_substitute().partition("$content")
-        return self.render(docs).select("doc_id", F.replace(F.concat(F.lit(before), "output", F.lit(after)), F.lit("$doc"), F.col("doc_id")).alias("page"))
-
-    def chunks(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
-        """Sections as pages with ``chunk_no, file, prev, next``: only those without a section inside, and an intro each
-        where a section has content before its first inner one."""
-        sections = found.where(F.col("behaviour").isin(*self.config.chunk_behaviours) & ~F.col("suppressed")).select("doc_id", "node_id", "end_id", "parent_id", "xml_id", "xpath").distinct()
-        inner = axis(sections, sections, "descendant").groupBy("doc_id", F.col("context_id").alias("node_id")).agg(F.min("node_id").alias("first_inner"))
-        content = nodes.where("kind = 't' and text rlike '\\\\S'").select("doc_id", F.col("node_id").alias("at"))
-        marked = sections.join(inner, ["doc_id", "node_id"], "left").withColumn("stop", F.coalesce(F.col("first_inner") - 1, F.col("end_id")))
-        kept = marked.alias("m").join(content.alias("c"), F.expr("m.doc_id = c.doc_id AND c.at > m.node_id AND c.at <= m.stop"), "left_semi")
-        numbered = kept.withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")))
-        number = F.lpad(F.col("chunk_no").cast("string"), 3, "0")
-        file = text.placeholders(F.lit(self.config.file_pattern), {"xml_id": text.file_stem(F.coalesce("xml_id", number)), "index": number, "doc": F.col("doc_id")})
-        named = numbered.select("doc_id", "chunk_no", F.concat(F.lit("chunk-"), number).alias("chunk_id"), file.alias("file"), "xpath", "xml_id", F.col("node_id").alias("chunk_start"), F.col("stop").alias("chunk_stop"), F.col("first_inner").isNotNull().alias("synthetic"))
-        return passages.navigation(named, "doc_id", "chunk_no", "file")
-
-    def anchors(self, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
-        return passages.anchor_map(chunks, nodes)
+        if strict:
+            self.check()
+        return documents.recorded(docs, self.rules, channel, self.config.setup)
+
+    def render(self, docs: DataFrame, channel: str = "web") -> DataFrame:
+        """``doc_id, output, error, metadata``."""
+        return documents.rendered(docs, self.rules, channel, self.config.setup)
+
+    def page(self, docs: DataFrame, template: str | None = None, channel: str = "web") -> DataFrame:
+        """Rendered documents in a page template with ``$content``, ``$doc`` and ``$styles``."""
+        shell = template or self.config.templates.get(channel, "$content")
+        parts = Template(shell).safe_substitute(styles=self.rules.stylesheet() + self.config.setup.css).partition("$content")
+        return self.render(docs, channel).select("doc_id", F.replace(F.concat(F.lit(parts[0]), "output", F.lit(parts[2])), F.lit("$doc"), F.col("doc_id")).alias("page"))
+
+    def pages(self, docs: DataFrame, channel: str = "web") -> DataFrame:
+        """Pages with navigation, output, fragments, the ids they hold and the images they show."""
+        return documents.paged(docs, self.rules, self.config.pages or PageSettings(), channel, self.config.setup)
+
+    def site(self, docs: DataFrame, folder: str, channel: str = "web") -> DataFrame:
+        """Write pages, fragments and manifests below a folder; returns the collection's index."""
+        found = self.pages(docs, channel)
+        sites.write_pages(found, folder, self.config.templates.get(channel))
+        return sites.collection_index(sites.manifest(found))
 
     def passages(self, docs: DataFrame) -> DataFrame:
-        """Index records ``id, document, part, n_parts, chars, hash, heading, xpath`` with a map of facets."""
-        nodes = self.nodes(docs)
-        found = self.records(nodes)
-        gone = found.where("suppressed").select("doc_id", F.col("node_id").alias("g"), F.col("end_id").alias("g_end"))
-        runs = nodes.where("kind = 't'").select("doc_id", "node_id", text.clean(F.col("text")).alias("line")).where("line <> ''")
-        runs = runs.alias("r").join(gone.alias("g"), F.expr("r.doc_id = g.doc_id AND r.node_id >= g.g AND r.node_id <= g.g_end"), "left_anti")
-        opens = found.where(F.col("behaviour").isin(*self.config.boundaries) & ~F.col("suppressed")).select("doc_id", "node_id", F.when(F.col("behaviour") == "heading", text.clean(F.col("string_value"))).alias("heading"), F.col("xml_id").alias("anchor"), "xpath", F.lit(None).cast("string").alias("line"))
-        both = opens.unionByName(runs, allowMissingColumns=True).withColumn("opens", F.col("line").isNull().cast("int"))
-        marked = passages.islands(both, F.col("opens") == 1, "doc_id", "node_id")
-        heads = marked.where("opens = 1").groupBy("doc_id", "unit_no").agg(F.first("heading", ignorenulls=True).alias("heading"), F.first("anchor", ignorenulls=True).alias("anchor"), F.first("xpath").alias("xpath"))
-        made = passages.pieces(passages.units(marked.where("opens = 0"), "line", "doc_id", "node_id"), self.config.max_chars, self.config.min_chars, self.config.overlap)
-        rows = made.join(heads, ["doc_id", "unit_no"], "left").withColumn("id", text.stable_id(F.col("doc_id"), F.col("anchor"), F.lit("doc"), F.concat_ws("/", F.coalesce("xpath", F.lit("")), F.col("unit_no").cast("string"))))
-        rows = passages.with_suffixes(rows, "id", ["unit_no", "part"], ["doc_id"])
-        facets = self._facets(nodes, found)
-        return rows.join(facets, "doc_id", "left") if facets is not None else rows
-
-    def _facets(self, nodes: DataFrame, found: DataFrame) -> DataFrame | None:
-        """``doc_id, facets``: distinct values of each configured field's elements, in order of first occurrence."""
-        out = None
-        for name, elements in self.config.fields.items():
-            rows = found.where(F.col("tag").isin(*elements)).select("doc_id", "node_id", text.clean(F.col("string_value")).alias("value")).where("value <> ''")
-            one = passages.ordered_facets(rows, "doc_id", "value", "node_id", "values").select("doc_id", F.lit(name).alias("name"), "values")
-            out = one if out is None else out.unionByName(one)
-        return None if out is None else out.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("facets"))
-
-    def coverage(self, docs: DataFrame) -> dict[str, DataFrame]:
-        nodes = self.nodes(docs)
-        found, table = self.records(nodes), self.rules.table(self.spark, self.config.variables)
+        """Index records with stable ids, hashes, headings, kinds, parents, pages and facets."""
+        return documents.indexed(docs, self.rules, self.config.options, self.config.pages, "web", self.config.setup)
+
+    def coverage(self, docs: DataFrame, channel: str = "web") -> dict[str, DataFrame]:
+        """What rules did to documents: counts from one pass over the documents, and what the rules alone tell."""
+        total = sites.settled_table(documents.totals(documents.facts(docs, self.rules, channel, self.config.setup)), "coverage")
+        table = self.rules.table(self.spark, self.config.setup.variables)
+        kind = lambda name: total.where(F.col("fact") == name).drop("fact")
+        hits = kind("model").select(F.col("key").alias("rule_key"), F.col("n").alias("hits"))
+        present = kind("element").select(F.col("key").alias("element"))
+        able = "local and unreachable is null and (behaviour is not null or template is not null)"
+        value = lambda c, name: F.coalesce(F.max(F.when(c, F.col("n"))), F.lit(0)).alias(name)
+        summary = total.agg(
+            value((F.col("fact") == "records") & (F.col("key") == "all"), "records"), value((F.col("fact") == "records") & (F.col("key") == "suppressed"), "suppressed"), F.count_if(F.col("fact") == "model").alias("rules_fired"),
+            F.count_if(F.col("fact") == "element").alias("elements"), F.count_if(F.col("fact") == "unmatched").alias("unmatched_elements"), F.count_if(F.col("fact") == "dropped").alias("dropped_elements"), F.count_if(F.col("fact") == "error").alias("errors"),
+        )
+        counts = table.agg(F.count("*").alias("rules"), F.count_if("local").alias("local_rules"), F.count_if(F.col("unreachable").isNotNull()).alias("unreachable"))
         return {
-            "summary": records.summary(found, table), "behaviours": records.behaviour_counts(found), "rules": records.rule_hits(found), "unmatched": records.unmatched(found),
-            "dropped": records.dropped(nodes, found), "unused": records.unused_rules(table, found, nodes), "elements": records.occurrences(nodes),
+            "summary": summary.crossJoin(counts),  # one row each
+            "behaviours": kind("behaviour"), "rules": hits, "elements": kind("element"), "unmatched": kind("unmatched"), "dropped": kind("dropped"), "errors": kind("error"),
+            "unused": table.where(able).join(hits, "rule_key", "left_anti").join(present, "element", "left_semi"), "unused_specs": table.where("local").select("element").distinct().join(present, "element", "left_anti"),
             "unreachable": table.where("unreachable is not null"), "silent": table.where("behaviour is null and template is null"),
         }
 
     def epub(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, epub`` (BINARY): one chapter per document, navigation included; the same input gives the same bytes."""
-        build = F.udf(epub_bytes, "binary")
-        return self.render(docs).select("doc_id", build("doc_id", "output").alias("epub"))
-
-
-def epub_bytes(title: str, body: str) -> bytes:
-    """A minimal EPUB of one chapter; ``mimetype`` comes first and uncompressed."""
-    import hashlib
-
-    name = escape(title)
-    urn = hashlib.sha1(f"{title}|{body}".encode()).hexdigest()
-    head = f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{name}</title></head><body>'
-    files = {
-        "META-INF/container.xml": '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="book.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
-        "book.opf": f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:sha1:{urn}</dc:identifier><dc:title>{name}</dc:title><dc:language>en</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="c1" href="c1.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c1"/></spine></package>',
-        "nav.xhtml": f'{head}<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol><li><a href="c1.xhtml">{name}</a></li></ol></nav></body></html>',
-        "c1.xhtml": f"{head}{body}</body></html>",
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr(zipfile.ZipInfo("mimetype", (2020, 1, 1, 0, 0, 0)), "application/epub+zip", zipfile.ZIP_STORED)
-        for path, content in files.items():
-            z.writestr(zipfile.ZipInfo(path, (2020, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
+        """``doc_id, epub`` (BINARY); the same input gives the same bytes."""
+        return documents.books(docs, self.rules, self.config.pages, self.config.setup)
+
+    def docx(self, docs: DataFrame) -> DataFrame:
+        return documents.word_files(docs, self.rules, self.config.setup)

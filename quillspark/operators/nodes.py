@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import settled
@@ -69,14 +69,15 @@ def outline_numbers(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def depth_chunks(nodes: DataFrame, most: int) -> DataFrame:
-    """Nodes not deeper than ``most`` that are leaves at that depth; a parent with own rows before its first child also
-    gives an intro: ``chunk_start, chunk_stop, synthetic``. Rows: the leaf or intro node."""
+def depth_chunks(nodes: DataFrame, most: int, content: Column | None = None) -> DataFrame:
+    """Nodes not deeper than ``most`` that are leaves at that depth; a parent with content before its first child also
+    gives an intro: ``chunk_start, chunk_stop, synthetic``. Rows: the leaf or intro node. ``content`` says of a node whether
+    it has content of its own there; by default every node has."""
     shallow = nodes.where(F.col("depth") <= most)
     first_child = shallow.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("first_child"))
-    marked = shallow.join(first_child, ["doc_id", "node_id"], "left")
+    marked = shallow.withColumn("own", F.lit(True) if content is None else content).join(first_child, ["doc_id", "node_id"], "left")
     leaf = F.col("first_child").isNull()
-    return marked.select("doc_id", "node_id", F.col("node_id").alias("chunk_start"), F.when(leaf, F.col("end_id")).otherwise(F.col("first_child") - 1).alias("chunk_stop"), (~leaf).alias("synthetic"))
+    return marked.where(leaf | F.col("own")).select("doc_id", "node_id", F.col("node_id").alias("chunk_start"), F.when(leaf, F.col("end_id")).otherwise(F.col("first_child") - 1).alias("chunk_stop"), (~leaf).alias("synthetic"))
 
 
 def page_of(nodes: DataFrame, milestone: str = "pb") -> DataFrame:

@@ -30,19 +30,23 @@ def units(runs: DataFrame, value: str = "line", part: str = "doc_id", order: str
 def pack(parts: Column, most: int = 1500, overlap: int = 1) -> Column:
     """Greedy packing of an array of texts: arrays of parts per piece.
 
-    A piece closes when the next part would take it over ``most`` characters (parts are joined by one space); the last
-    ``overlap`` parts are carried on and not checked again; a single long part is never cut.
+    Parts of ``most`` characters together (joined by one space) are one piece. Else a piece closes when the next part would
+    take it over ``most``, each part counting one more character; its last ``overlap`` parts are carried on and not
+    checked again; a single long part is never cut. The fold keeps places only, so its state stays small.
     """
-    empty = "cast(array() as array<string>)"
-    init = F.struct(F.expr(empty).alias("open"), F.lit(0).alias("size"), F.expr("cast(array() as array<array<string>>)").alias("done"))
+    weigh = lambda a, n: F.aggregate(F.slice(parts, a, n), F.lit(0), lambda t, p: t + F.length(p) + 1)
+    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("size"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("cuts"))
 
-    def step(acc: Column, p: Column) -> Column:
-        close = (F.size(acc["open"]) > 0) & (acc["size"] + F.length(p) + 1 > most)
-        carried = F.slice(acc["open"], F.greatest(F.lit(1), F.size(acc["open"]) - overlap + 1), F.lit(overlap)) if overlap else F.expr(empty)
-        opened = F.when(close, F.concat(carried, F.array(p))).otherwise(F.concat(acc["open"], F.array(p)))
-        return F.struct(opened.alias("open"), F.length(F.array_join(opened, " ")).alias("size"), F.when(close, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"))
+    def step(acc: Column, i: Column) -> Column:
+        more = F.length(F.element_at(parts, i)) + 1
+        close = (i > acc["first"]) & (acc["size"] + more > most)
+        first = F.greatest(acc["first"], i - overlap)
+        return F.when(close, F.struct(first.alias("first"), (weigh(first, i - first) + more).alias("size"), F.concat(acc["cuts"], F.array(F.struct(acc["first"].alias("a"), (i - 1).alias("b")))).alias("cuts"))).otherwise(F.struct(acc["first"].alias("first"), (acc["size"] + more).alias("size"), acc["cuts"].alias("cuts")))
 
-    return F.aggregate(parts, init, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    n = F.size(parts)
+    cuts = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.concat(acc["cuts"], F.array(F.struct(acc["first"].alias("a"), n.alias("b")))))
+    divided = F.transform(cuts, lambda c: F.slice(parts, c["a"], c["b"] - c["a"] + 1))
+    return F.when(n == 0, F.expr("cast(array() as array<array<string>>)")).when(F.length(F.array_join(parts, " ")) <= most, F.array(parts)).otherwise(divided)
 
 
 def pieces(unit_rows: DataFrame, most: int = 1500, least: int = 40, overlap: int = 1, part: str = "doc_id") -> DataFrame:
@@ -79,9 +83,14 @@ def ordered_facets(rows: DataFrame, key: str, value: str, order: str, name: str)
 
 
 def anchor_map(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``doc_id, anchor, file``: the first chunk that holds an id."""
-    held = chunks.alias("c").join(nodes.where("xml_id is not null").alias("n"), F.expr("n.doc_id = c.doc_id AND n.node_id >= c.chunk_start AND n.node_id <= c.chunk_stop"))
-    return held.groupBy(F.col("n.doc_id").alias("doc_id"), F.col("n.xml_id").alias("anchor")).agg(F.min_by("c.file", "c.chunk_start").alias("file"))
+    """``doc_id, anchor, file``: the first chunk that holds an id. Chunks are intervals that do not overlap, so a node's is
+    the last one that began before it, if that reaches it: one window over both, no join."""
+    none = F.lit(None)
+    starts = chunks.select("doc_id", F.col("chunk_start").alias("at"), F.lit(0).alias("step"), F.struct(F.col("file"), F.col("chunk_start").alias("a"), F.col("chunk_stop").alias("b")).alias("chunk"), none.cast("string").alias("anchor"))
+    held = nodes.where("xml_id is not null").select("doc_id", F.col("node_id").alias("at"), F.lit(1).alias("step"), none.cast(starts.schema["chunk"].dataType).alias("chunk"), F.col("xml_id").alias("anchor"))
+    w = Window.partitionBy("doc_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = starts.unionByName(held).withColumn("here", F.last("chunk", ignorenulls=True).over(w)).where("anchor is not null and here.b >= at")
+    return met.groupBy("doc_id", "anchor").agg(F.min_by("here.file", "here.a").alias("file"))
 
 
 def rewrite_links(links: DataFrame, anchors: DataFrame) -> DataFrame:

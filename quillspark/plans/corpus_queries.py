@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import passages, records, render, similarity
+from quillspark.operators import documents, passages, records, render, similarity
 from quillspark.plans.catalogue import query
 from quillspark.plans.rules import RuleSet
 from quillspark.sources.markup import shred
@@ -55,12 +55,13 @@ def doc_passages_minchars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH RECURSIVE {_LINES},
     marked AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS unit_no FROM lines),
-    numbered AS (SELECT doc_id, unit_no, line, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY line_no) AS k FROM marked),
+    numbered AS (SELECT doc_id, unit_no, line, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY line_no) AS k, sum(length(line) + 1) OVER (PARTITION BY doc_id, unit_no) - 1 > 1500 AS long FROM marked),
     walk AS (
-        SELECT doc_id, unit_no, k, line AS cur, line AS prev, 0 AS piece FROM numbered WHERE k = 1
+        SELECT doc_id, unit_no, k, line AS cur, length(line) + 1 AS size, line AS prev, 0 AS piece FROM numbered WHERE k = 1
         UNION ALL
-        SELECT n.doc_id, n.unit_no, n.k, CASE WHEN length(w.cur) + length(n.line) + 1 > 1500 THEN w.prev || ' ' || n.line ELSE w.cur || ' ' || n.line END, n.line,
-            CASE WHEN length(w.cur) + length(n.line) + 1 > 1500 THEN w.piece + 1 ELSE w.piece END
+        SELECT n.doc_id, n.unit_no, n.k, CASE WHEN long AND size + length(n.line) + 1 > 1500 THEN w.prev || ' ' || n.line ELSE w.cur || ' ' || n.line END,
+            CASE WHEN long AND size + length(n.line) + 1 > 1500 THEN length(w.prev) + length(n.line) + 2 ELSE size + length(n.line) + 1 END, n.line,
+            CASE WHEN long AND size + length(n.line) + 1 > 1500 THEN w.piece + 1 ELSE w.piece END
         FROM walk w JOIN numbered n ON n.doc_id = w.doc_id AND n.unit_no = w.unit_no AND n.k = w.k + 1),
     made AS (SELECT doc_id, unit_no, piece, arg_max(cur, k) AS document FROM walk GROUP BY 1, 2, 3)
     SELECT doc_id, CAST(unit_no AS BIGINT) AS unit_no, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY piece) - 1 AS part, count(*) OVER (PARTITION BY doc_id, unit_no) AS n_parts,
@@ -78,13 +79,13 @@ def doc_passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH old AS (SELECT doc_id, sha1(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 3),
-    new AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 11 <> 5)
+    new AS (SELECT doc_id, sha1(text) AS h FROM documents)
     SELECT coalesce(old.doc_id, new.doc_id) AS doc_id, CASE WHEN old.h IS NULL THEN 'new' WHEN new.h IS NULL THEN 'gone' WHEN old.h = new.h THEN 'unchanged' ELSE 'changed' END AS action
     FROM old FULL JOIN new ON old.doc_id = new.doc_id""")
 def doc_incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     old = docs.where("doc_id % 10 <> 3").select("doc_id", F.sha1(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
-    return passages.hash_diff(old, docs.where("doc_id % 11 <> 5").select("doc_id", F.sha1("text").alias("hash")), "doc_id")
+    return passages.hash_diff(old, docs.select("doc_id", F.sha1("text").alias("hash")), "doc_id")
 
 
 @query("""SELECT d.lang, l.quality, l.toxic, count(*) AS n, CAST(sum(d.n_chars) AS BIGINT) AS chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2, 3""")
@@ -132,15 +133,16 @@ def _page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return nodes, records.dispatch(nodes, rules), rules
 
 
-@query("""SELECT page_id, CAST(k AS BIGINT) AS link_no, h[k] AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages), unnest(generate_series(1, len(h))) AS u(k)""")
+@query("""SELECT CAST(page_id AS VARCHAR) AS doc_id, 'links' AS name, CAST(k AS INTEGER) AS item_no, h[k] AS value FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages), unnest(generate_series(1, len(h))) AS u(k)""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("k", "href")).select("page_id", (F.col("k") + 1).cast("long").alias("link_no"), "href")
+    """Addresses of links, by an expression over the parsed pages."""
+    return documents.evaluated(_table(spark, sf_dir, "pages"), {"links": "//a/@href"}, documents.Setup(kind="html"), id_="page_id", raw="html")
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+@query("""SELECT CAST(page_id AS VARCHAR) AS doc_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    found = documents.evaluated(_table(spark, sf_dir, "pages"), {"title": "string(//title)"}, documents.Setup(kind="html"), id_="page_id", raw="html")
+    return found.select("doc_id", F.col("value").alias("title"))
 
 
 @query()
@@ -154,6 +156,22 @@ def page_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_nodes(spark, sf_dir).where("kind = 'e'").groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("pages"))
 
 
+_SHOWN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<head>.*?</head>', '<head>', 'gs'), '<(nav|script|style)>.*?</(nav|script|style)>', '<\\1>', 'gs'), '<div class="ad">.*?</div>', '<ad>', 'gs')"""
+_HEADLESS = """regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<\\1>', 'gs'), '<div class="ad">', '<ad>', 'g')"""
+_BEHAVIOUR = """CASE tag WHEN 'html' THEN 'document' WHEN 'head' THEN 'metadata' WHEN 'title' THEN 'title' WHEN 'body' THEN 'body' WHEN 'article' THEN 'section' WHEN 'nav' THEN 'omit' WHEN 'script' THEN 'omit' WHEN 'style' THEN 'omit' WHEN 'ad' THEN 'omit' WHEN 'div' THEN 'block'
+    WHEN 'h1' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'b' THEN 'inline' WHEN 'a' THEN 'link' WHEN 'ul' THEN 'list' WHEN 'li' THEN 'list_item' WHEN 'br' THEN 'break' WHEN 'table' THEN 'table' END"""
+
+
+def _tags(source: str) -> str:
+    return f"""SELECT page_id, unnest(regexp_extract_all({source}, '<([a-z][a-z0-9]*)[ />]', 1)) AS tag FROM pages"""
+
+
+@query(f"""WITH t AS ({_tags(_SHOWN)}) SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE tag WHEN 'ad' THEN 'div' ELSE tag END AS tag, {_BEHAVIOUR} AS behaviour, count(*) AS n FROM t GROUP BY ALL""")
+def page_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each page outside suppressed subtrees, by tag and behaviour."""
+    return records.pruned(_page_records(spark, sf_dir)[1]).groupBy("doc_id", "tag", "behaviour").agg(F.count("*").alias("n"))
+
+
 @query()
 def page_text_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found, _ = _page_records(spark, sf_dir)
@@ -178,23 +196,24 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.pruned(found).select("doc_id", "node_id", "tag", "behaviour", "rule_key", "suppressed", "xpath", "line", "col")
 
 
-@query()
+@query(f"""WITH t AS ({_tags(_HEADLESS)}) SELECT tag, count(*) AS n FROM t WHERE {_BEHAVIOUR} IS NULL GROUP BY 1""")
 def page_coverage_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unmatched(_page_records(spark, sf_dir)[1])
 
 
-@query()
+@query(f"""WITH t AS ({_tags(_SHOWN)}) SELECT tag, count(*) AS n FROM t WHERE {_BEHAVIOUR} IS NULL GROUP BY 1""")
 def page_coverage_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found, _ = _page_records(spark, sf_dir)
     return records.dropped(nodes, found.where("behaviour is not null")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH t AS ({_tags(_HEADLESS)}) SELECT coalesce({_BEHAVIOUR}, 'unmatched') AS behaviour, count(*) AS n FROM t GROUP BY 1""")
 def page_coverage_behaviours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.behaviour_counts(_page_records(spark, sf_dir)[1])
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT tag FROM ({_tags(_HEADLESS)})), r AS (SELECT * FROM (VALUES ('tei-div2', 'div', 'block'), ('tei-div3', 'div', 'block'), ('tei-div4', 'div', 'section'), ('tei-p1', 'p', 'omit')) v(rule_key, element, behaviour))
+    SELECT r.* FROM r JOIN t ON t.tag = CASE element WHEN 'div' THEN 'ad' ELSE element END""")
 def page_coverage_unused_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found, rules = _page_records(spark, sf_dir)
     return records.unused_rules(rules.table(spark), found, nodes).select("rule_key", "element", "behaviour")
@@ -251,9 +270,9 @@ def nearest_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(rows, first["embedding"] if first else [1.0], 5, "label in (1, 2, 3)").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
-@query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, min(typeof(props)) = 'VARCHAR' AS is_text FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY 1""")
 def params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"), F.lit(True).alias("is_text"))
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"), F.sum(F.length("props")).cast("long").alias("chars"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

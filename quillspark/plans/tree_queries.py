@@ -68,23 +68,22 @@ def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return above.groupBy("doc_id", "context_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda s: s["label"]), "/").alias("path"))
 
 
-@query(f"WITH {_TREE} SELECT c.doc_id, c.node_id AS context_id, count(*) AS n FROM t c JOIN t x ON x.doc_id = c.doc_id AND x.node_id > c.end_id WHERE c.depth = 1 AND x.depth <= 2 GROUP BY 1, 2")
+@query(f"WITH {_TREE} SELECT c.doc_id, c.node_id AS context_id, count(*) AS n FROM t c JOIN t x ON x.doc_id = c.doc_id AND x.node_id > c.end_id WHERE c.depth = 1 GROUP BY 1, 2")
 def tree_following(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
-    return nodes.axis(_contexts(tree, 1), tree.where("depth <= 2"), "following").groupBy("doc_id", "context_id").agg(F.count("*").alias("n"))
+    return nodes.axis(_contexts(tree, 1), tree, "following").groupBy("doc_id", "context_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_TREE} SELECT doc_id, node_id, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM t WHERE depth <= 2 WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY node_id)")
+@query(f"WITH {_TREE} SELECT doc_id, node_id, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM t WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY node_id)")
 def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.siblings(_tree(spark, sf_dir).where("depth <= 2")).select("doc_id", "node_id", "prev_id", "next_id")
+    return nodes.siblings(_tree(spark, sf_dir)).select("doc_id", "node_id", "prev_id", "next_id")
 
 
-@query(f"""WITH {_TREE}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY node_id) AS n FROM t WHERE depth <= 2),
-    b AS (SELECT * FROM s WHERE depth = 1)
-    SELECT s.doc_id, s.node_id AS context_id, CASE s.depth WHEN 0 THEN '1' WHEN 1 THEN '1.' || s.n ELSE '1.' || b.n || '.' || s.n END AS outline
-    FROM s LEFT JOIN b ON s.doc_id = b.doc_id AND s.parent_id = b.node_id""")
+@query(f"""WITH {_TREE}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY node_id) AS n FROM t)
+    SELECT s.doc_id, s.node_id AS context_id, CASE s.depth WHEN 0 THEN '1' WHEN 1 THEN '1.' || s.n WHEN 2 THEN '1.' || b.n || '.' || s.n ELSE '1.' || c.n || '.' || b.n || '.' || s.n END AS outline
+    FROM s LEFT JOIN s b ON s.doc_id = b.doc_id AND s.parent_id = b.node_id LEFT JOIN s c ON b.doc_id = c.doc_id AND b.parent_id = c.node_id""")
 def tree_outline_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.outline_numbers(_tree(spark, sf_dir).where("depth <= 2"))
+    return nodes.outline_numbers(_tree(spark, sf_dir))
 
 
 _CHUNKS = f"""{_TREE}, f AS (SELECT doc_id, parent_id, min(node_id) AS first_child FROM t WHERE depth BETWEEN 1 AND 2 GROUP BY 1, 2),
@@ -153,7 +152,7 @@ def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dispatched(spark, sf_dir, "web").select("l_orderkey", "l_linenumber", "rule_key", "behaviour")
 
 
-@query("""SELECT coalesce(CASE WHEN l_returnflag = 'A' AND l_quantity <= 5 THEN 'note' WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'block' WHEN l_returnflag = 'R' AND l_discount < 0.02 THEN 'paragraph'
+@query("""SELECT coalesce(CASE WHEN l_returnflag = 'A' AND l_quantity <= 5 THEN 'note' WHEN l_returnflag = 'A' AND l_quantity <= 10 THEN 'cell' WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'block' WHEN l_returnflag = 'R' AND l_discount < 0.02 THEN 'paragraph'
     WHEN l_returnflag = 'R' THEN 'inline' WHEN l_returnflag = 'N' THEN 'figure' END, 'unmatched') AS behaviour, count(*) AS n FROM lineitem GROUP BY 1""")
 def rule_channel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dispatched(spark, sf_dir, "print").groupBy(F.coalesce("behaviour", F.lit("unmatched")).alias("behaviour")).agg(F.count("*").alias("n"))
@@ -203,22 +202,15 @@ def rule_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- registers, facets
 
-@query("""SELECT o_orderkey, coalesce(n_name, 'self:' || o_orderkey) AS found FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 5 <> 0 LEFT JOIN nation ON c_nationkey = n_nationkey""")
-def register_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders look their customer's nation up in a register without every fifth customer; a miss gives the order itself."""
-    register = _table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    return _table(spark, sf_dir, "orders").join(register, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("n_name", F.concat(F.lit("self:"), F.col("o_orderkey").cast("string"))).alias("found"))
-
-
 @query("""WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, string_agg(l_returnflag, '|' ORDER BY pos, l_returnflag) AS flags FROM f GROUP BY 1""")
 def facet_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     return passages.ordered_facets(lines, "l_orderkey", "l_returnflag", "l_linenumber", "flags").select("l_orderkey", F.array_join("flags", "|").alias("flags"))
 
 
-@query("""SELECT 'o' || o_orderkey || '#' || l_linenumber AS id, 'o' || o_orderkey AS parent, 'line' AS kind, l_quantity AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+@query("""SELECT 'o' || o_orderkey || '#' || l_linenumber AS id, 'o' || o_orderkey AS parent, 'line' AS kind, l_quantity AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def child_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    parents = _table(spark, sf_dir, "orders").select("o_orderkey")
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     parent = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
     return parents.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(parent, F.lit("#"), F.col("l_linenumber").cast("string")).alias("id"), parent.alias("parent"), F.lit("line").alias("kind"), F.col("l_quantity").alias("quantity"))

@@ -2,42 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.operators import passages
+from quillspark.operators import documents, passages
+from quillspark.plans.rules import RuleSet
+from quillspark.tree.passages import Options
 
 
-def watched(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """A stream of files: ``doc_id, source, text``."""
+def watched(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
+    """A stream of files: ``doc_id, source, raw``. A document's name is its path below the folder, without suffix."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return files.select(stem.alias("doc_id"), F.col("path").alias("source"), F.col("content").cast("string").alias("text"))
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    inside = F.element_at(F.split("path", re.escape(folder.rstrip("/")) + "/"), -1)
+    return files.select(F.regexp_replace(inside, r"\.[^./]*$", "").alias("doc_id"), F.col("path").alias("source"), F.col("content").alias("raw"))
+
 
+def passages_of(docs: DataFrame, rules: RuleSet | None = None, options: Options | None = None) -> DataFrame:
+    """``doc_id, id, hash, document`` of passages: of marked-up documents by their rules, of plain texts by their lines."""
+    if rules is not None:
+        return documents.indexed(docs, rules, options or Options()).select("doc_id", "id", "hash", "document")
+    texts = docs.select("doc_id", F.col("raw").cast("string").alias("text"))
+    found = passages.pieces(passages.units(passages.islands(passages.runs_of_lines(texts), F.length("line") < 40)))
+    return found.select("doc_id", F.concat_ws("#", "doc_id", F.col("unit_no").cast("string"), F.col("part").cast("string")).alias("id"), "hash", "document")
 
-def passages_of(docs: DataFrame) -> DataFrame:
-    """``id, hash, document`` of each text's passages."""
-    found = passages.pieces(passages.units(passages.islands(passages.runs_of_lines(docs), F.length("line") < 40)))
-    return found.select(F.concat_ws("#", "doc_id", F.col("unit_no").cast("string"), F.col("part").cast("string")).alias("id"), "hash", "document")
 
+def upsert(new: DataFrame, target: str, key: str = "id") -> None:
+    """Make the target hold the passages of ``new``: one row an id, changed ones replaced, those that a document no
+    longer has removed, other documents' kept. Running it twice changes nothing.
 
-def upsert(new: DataFrame, target: str) -> None:
-    """Append the passages whose id and hash the target folder does not hold yet: running it twice changes nothing."""
+    A state is a folder ``v=<n>`` of Parquet files below the target; the next one is written beside it, then the older ones
+    are deleted, so a reader or a lost driver always finds a whole state. Unchanged batches write nothing.
+    """
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(target).select("id", "hash")
-    except AnalysisException:  # the first batch
-        old = spark.createDataFrame([], "id string, hash string")
-    new.join(old, ["id", "hash"], "left_anti").write.mode("append").parquet(target)
+    state = current(spark, target)
+    fresh = new.dropDuplicates([key])
+    if state is not None:
+        old = state.select(*new.columns)
+        mine = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_semi")
+        if passages.hash_diff(mine, fresh, key).where("action <> 'unchanged'").isEmpty():
+            return
+        fresh = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
+    version = _versions(spark, target)
+    fresh.write.parquet(f"{target}/v={(version[-1] if version else 0) + 1}")
+    for v in version:
+        _folder(spark, target).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}"), True)
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Complete states, oldest first."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = _folder(spark, target)
+    if not system.exists(place(target)):
+        return []
+    found = [s.getPath().getName() for s in system.listStatus(place(target))]
+    return sorted(int(n[2:]) for n in found if re.fullmatch(r"v=\d+", n) and system.exists(place(f"{target}/{n}/_SUCCESS")))
 
-def index_folder(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The target's latest state."""
+    found = _versions(spark, target)
+    return spark.read.parquet(f"{target}/v={found[-1]}") if found else None
+
+
+def index_folder(spark: SparkSession, folder: str, target: str, checkpoint: str, rules: RuleSet | None = None, options: Options | None = None, pattern: str = "*.xml") -> StreamingQuery:
     """Index every file there is, once, and what comes later on the next call."""
-    docs = watched(spark, folder)
-    return docs.writeStream.foreachBatch(lambda batch, _: upsert(passages_of(batch), target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    docs = watched(spark, folder, pattern)
+    return docs.writeStream.foreachBatch(lambda batch, _: upsert(passages_of(batch, rules, options), target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def without_repeats(stream: DataFrame, time: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
@@ -48,8 +86,12 @@ def tumbling(stream: DataFrame, time: str, size: str, by: list[str], delay: str
     return stream.withWatermark(time, delay).groupBy(F.window(time, size).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), *by, "n")
 
 
+def sliding(stream: DataFrame, time: str, size: str, step: str, by: list[str], delay: str = "1 hour") -> DataFrame:
+    return stream.withWatermark(time, delay).groupBy(F.window(time, size, step).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), *by, "n")
+
+
 def sessions(stream: DataFrame, time: str, gap: str, by: list[str], delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count("*").alias("n")).select(F.col("s.start").alias("started"), *by, "n")
 
 
-__all__ = ["index_folder", "passages_of", "sessions", "tumbling", "upsert", "watched", "without_repeats"]
+__all__ = ["current", "index_folder", "passages_of", "sessions", "sliding", "tumbling", "upsert", "watched", "without_repeats"]

@@ -29,11 +29,37 @@ def test_query_equals_sql(spark, name):
     assert got == sorted(str([plain(x) for x in row]) for row in found.fetchall())
 
 
-def test_streamed_index_is_idempotent(spark, tmp_path):
-    from quillspark.streaming.watch import index_folder
+def test_streamed_index_upserts(spark, tmp_path):
+    from quillspark.plans.rules import RuleSet
+    from quillspark.streaming.watch import current, index_folder
+    from quillspark.tree.passages import Options
 
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("Head\n" + "A line of words that is long enough to be kept.\n" * 3)
+    rules = RuleSet.parse('<schemaSpec ns=""><elementSpec ident="d"><model behaviour="section"/></elementSpec></schemaSpec>')
+    write = lambda name, text: ((tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / "in" / name).write_text(text))
+    write("a/x.xml", '<d xml:id="one">first text</d>')
+    write("b/x.xml", '<d xml:id="one">another text</d>')
+    run = lambda k: index_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"state{k}"), rules, Options(min_chars=1)).awaitTermination()
     for k in range(2):
-        index_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"state{k}")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+        run(k)
+    assert {(r.doc_id, r.id, r.document) for r in current(spark, str(tmp_path / "out")).collect()} == {("a/x", "a/x#one", "first text"), ("b/x", "b/x#one", "another text")}
+    write("a/x.xml", '<d xml:id="one">changed text</d>')
+    run(3)
+    assert sorted(r.document for r in current(spark, str(tmp_path / "out")).collect()) == ["another text", "changed text"]
+
+
+def test_streamed_windows(spark, tmp_path):
+    from quillspark.streaming import watch
+
+    rows = spark.createDataFrame([(1, "2024-01-01 00:01:00"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 01:00:00"), (2, "2024-01-01 00:02:00")], "u int, t string").selectExpr("u", "cast(t as timestamp) t")
+    rows.write.parquet(str(tmp_path / "e"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e"))
+
+    def run(df, name, mode="complete"):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.n for r in spark.table(name).collect())
+
+    assert run(watch.tumbling(stream(), "t", "30 minutes", ["u"]), "tumbled") == [1, 1, 2]
+    assert run(watch.sliding(stream(), "t", "30 minutes", "15 minutes", ["u"]), "slid") == [1, 1, 1, 1, 2, 2]
+    assert run(watch.sessions(stream(), "t", "10 minutes", ["u"]), "sat") == [1, 1, 2]
+    watch.without_repeats(stream(), "t", ["u"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("once").count() == 2

@@ -1,9 +1,11 @@
 import pytest
 
 from quillspark.engine import Config, Engine
-from quillspark.operators import records
+from quillspark.operators import records, render
 from quillspark.plans.expressions import compile_test
 from quillspark.plans.rules import RuleSet
+from quillspark.tree.pages import PageSettings
+from quillspark.tree.passages import Field, Options
 
 RULES = """<schemaSpec ns="">
 <elementSpec ident="doc"><model behaviour="document"/></elementSpec>
@@ -20,7 +22,7 @@ DOC = """<doc><meta>hidden <p>deep</p></meta><div id="s1"><head>Title one</head>
 
 @pytest.fixture(scope="module")
 def engine(spark):
-    return Engine(spark, RuleSet.parse(RULES), Config(fields={"notes": ["note"]}))
+    return Engine(spark, RuleSet.parse(RULES), Config(pages=PageSettings("//div", 1, "{xml_id}.html"), options=Options(fields=[Field("notes", elements=["note"], inline=True)])))
 
 
 @pytest.fixture(scope="module")
@@ -28,50 +30,69 @@ def docs(spark):
     return spark.createDataFrame([("d", DOC)], "doc_id string, raw string")
 
 
+def columns(engine, docs):
+    """The same records by expressions compiled to Columns."""
+    nodes = engine.nodes(docs)
+    return nodes, records.dispatch(nodes, engine.rules.channel("json"))
+
+
 def test_first_match_and_unmatched(engine, docs):
-    got = {(r.tag, r.behaviour, r.rule_key) for r in engine.records(engine.nodes(docs)).collect()}
-    assert ("p", "cit", "tei-p1") in got and ("p", "paragraph", "tei-p2") in got and ("hi", "inline", "tei-hi1") in got and ("odd", None, None) in got
+    want = {("p", "cit", "tei-p1"), ("p", "paragraph", "tei-p2"), ("hi", "inline", "tei-hi1"), ("odd", None, None)}
+    assert want < {(r.element, r.behaviour, r.model) for r in engine.records(docs).collect()}
+    assert want < {(r.tag, r.behaviour, r.rule_key) for r in columns(engine, docs)[1].collect()}
 
 
 def test_suppression_prunes(engine, docs):
-    found = engine.records(engine.nodes(docs))
+    found = columns(engine, docs)[1]
     kept = records.pruned(found)
     assert kept.where("tag = 'meta'").count() == 1 and kept.where("xpath like '%meta%p%'").count() == 0
+    assert engine.records(docs).where("xpath like '%meta%p%'").count() == 0
 
 
 def test_render(engine, docs):
     html = engine.render(docs).first().output
     assert "hidden" not in html and html.index("<h1") < html.index("Title one") < html.index("</h1>") and html.count("<section") == html.count("</section>") == 2
     assert "# Title one" in engine.render(docs, "markdown").first().output
+    nodes, found = columns(engine, docs)
+    by_tokens = render.render(nodes, found, "html").first().output
+    assert "hidden" not in by_tokens and by_tokens.index("<h1") < by_tokens.index("Title one") < by_tokens.index("</h1>")
+    assert engine.page(docs, "<x>$content</x>$doc").first().page.endswith("</x>d")
 
 
 def test_notes(engine, docs):
-    got = [(r.marker, r.body) for r in records.labelled_first(records.notes(engine.records(engine.nodes(docs)))).orderBy("note_order").collect()]
+    got = [(r.marker, r.body) for r in records.labelled_first(records.notes(columns(engine, docs)[1])).orderBy("note_order").collect()]
     assert got == [("a", "first"), ("1", "second")]
+    placed = records.by_place(records.notes(columns(engine, docs)[1]))
+    assert [r.note_order for r in placed.orderBy("node_id").collect()] == [1, 2]
 
 
 def test_passages(engine, docs):
     rows = engine.passages(docs).collect()
     assert len({r.id for r in rows}) == len(rows) and all("hidden" not in r.document for r in rows)
-    assert {r.heading for r in rows} == {"Title one", "Two"} and rows[0].facets == {"notes": ["first", "second"]}
+    assert {r.heading for r in rows} == {"Title one", "Two"} and rows[0].facets == {"notes": ["first", "second"]} and rows[1].facets == {} and rows[0].href == "s1.html#s1"
 
 
-def test_chunks(engine, docs):
-    nodes = engine.nodes(docs)
-    got = [(r.file, r.prev, r.next) for r in engine.chunks(nodes, engine.records(nodes)).orderBy("chunk_no").collect()]
-    assert got == [("s1.html", None, "s2.html"), ("s2.html", "s1.html", None)]
+def test_pages_and_site(engine, docs, tmp_path):
+    got = [(r.file, r.prev, r.next, r.title) for r in engine.pages(docs).orderBy("page_no").collect()]
+    assert got == [("s1.html", None, "s2", "Title one"), ("s2.html", "s1", None, "Two")]
+    assert [(r.doc_id, r.title, r.href, r.n_pages) for r in engine.site(docs, str(tmp_path / "site")).collect()] == [("d", "Title one", "d/s1.html", 2)]
+    names = sorted(str(p.relative_to(tmp_path / "site")) for p in (tmp_path / "site").rglob("*") if p.is_file())
+    assert names == ["d/manifest.json", "d/parts/s1.json", "d/parts/s2.json", "d/s1.html", "d/s2.html", "index.json"]
 
 
 def test_coverage(engine, docs):
     report = engine.coverage(docs)
-    assert [r.tag for r in report["unmatched"].collect()] == ["odd"]
+    assert [r.key for r in report["unmatched"].collect()] == ["odd"]
     assert {r.rule_key for r in report["unreachable"].collect()} == {"tei-p3", "tei-hi2"}
-    assert report["summary"].first().suppressed == 1
+    assert report["summary"].first().suppressed == 1 and report["unused_specs"].count() == 0
+    nodes, found = columns(engine, docs)
+    assert records.dropped(nodes, found.where("behaviour is not null")).count() == 1
 
 
 def test_strict(engine, docs):
     with pytest.raises(ValueError, match="tei-hi2"):
-        engine.records(engine.nodes(docs), strict=True)
+        engine.records(docs, strict=True)
+    assert [r.where for r in engine.errors(docs).collect()] == ["tei-hi2"]
 
 
 def test_cycle_is_an_error():
