@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quillspark.llm.shared import stash
 
 #: Vectors the tree is fitted on; vectors a leaf should hold; leaves at most; children of a node.
-SAMPLE, LEAF, MOST_LEAVES, BRANCH = 40_000, 400, 2048, 8
+SAMPLE, LEAF, MOST_LEAVES, BRANCH = 80_000, 400, 8192, 8
 #: Rows of a block, the unit of search: small leaves share one, a leaf with more rows has several.
 BLOCK = 4096
 #: Queries that one task answers for a block: a block that more queries visit is copied for each lot of them.
