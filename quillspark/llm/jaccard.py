@@ -37,8 +37,10 @@ CELLS, FREQUENT = 1 << 18, 4
 BUCKET = 20_000
 #: Shingles that are compared with a set at a time.
 SLICE = 1 << 19
+#: Bytes of count vectors that are searched at a time (whole buckets).
+HELD = 8 << 20
 #: Bytes of sets that one task verifies; larger clusters fall into blocks.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 
 
 def needed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -304,13 +306,12 @@ def _clusters(profiles: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            if size >= 50_000:
+            size += batch.nbytes
+            if size >= HELD:
                 out, rest = flush(pa.Table.from_batches(held), False)
                 if out is not None:
                     yield out
-                held = rest.combine_chunks().to_batches()
-                size = 0
+                held, size = rest.combine_chunks().to_batches(), rest.nbytes
         if held:
             out, _ = flush(pa.Table.from_batches(held), True)
             if out is not None:

@@ -44,7 +44,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _POWERS[key][:n]
 
 
-def texts(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield ``first, last, bytes, offsets`` over runs of whole texts of about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
