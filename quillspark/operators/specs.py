@@ -12,15 +12,19 @@ def closure(edges: DataFrame) -> DataFrame:
     """``src, dst`` of all nodes reachable in one step or more; cycles end, since known pairs are not followed again.
 
     A round joins the pairs found last to all known ones, so path lengths double and any chain settles after as many
-    rounds as its length has binary digits; each round is checkpointed in the session's shared folder.
+    rounds as its length has binary digits; each round's new pairs are checkpointed in the session's shared folder, once.
     """
-    seen = new = settled(edges.select("src", "dst").distinct())
+    new = settled(edges.select("src", "dst").distinct())
+    rounds = [new]
     while True:
+        seen = rounds[0]
+        for r in rounds[1:]:
+            seen = seen.unionByName(r)
         step = new.select("src", F.col("dst").alias("via")).join(seen.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         new = settled(step.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen = settled(seen.unionByName(new))
+        rounds.append(new)
 
 
 def may_contain(content: DataFrame, members: DataFrame) -> DataFrame:

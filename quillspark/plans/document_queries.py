@@ -289,3 +289,81 @@ def rule_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     register = "<list>" + "".join(f'<nation xml:id="n{r["n_nationkey"]}"><name>{r["n_name"]}</name></nation>' for r in rows) + "</list>"
     docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _joined('<c key="n', "{c_nationkey}", '">', "{c_custkey}", "</c>").alias("raw"))
     return documents.rendered(docs, RuleSet.parse(REGISTER_RULES), "web", documents.Setup(registers={"nations": register})).select("doc_id", "output")
+
+
+# ---------------------------------------------------------------- one document for each supplier: the other behaviours
+
+SUPPLIER_RULES = """<schemaSpec ns="">
+  <elementSpec ident="doc"><model behaviour="body"/></elementSpec>
+  <elementSpec ident="fig"><model behaviour="figure"><param name="title" value="cap"/><param name="content" value="img"/></model></elementSpec>
+  <elementSpec ident="img"><model behaviour="graphic"><param name="url" value="@src"/><param name="width" value="@w"/></model></elementSpec>
+  <elementSpec ident="quote"><model behaviour="cit"><param name="source" value="@who"/></model></elementSpec>
+  <elementSpec ident="tab"><model behaviour="table"/></elementSpec>
+  <elementSpec ident="r"><model behaviour="row"/></elementSpec>
+  <elementSpec ident="c"><model behaviour="cell"><param name="type" value="../@role"/></model></elementSpec>
+  <elementSpec ident="brk"><model behaviour="break"><param name="type" value="'page'"/><param name="label" value="@n"/></model></elementSpec>
+  <elementSpec ident="lb"><model behaviour="break"/></elementSpec>
+  <elementSpec ident="cb"><model behaviour="break"><param name="type" value="'column'"/><param name="label" value="@n"/></model></elementSpec>
+  <elementSpec ident="g"><model behaviour="glyph"><param name="content" value="@ref"/></model></elementSpec>
+  <elementSpec ident="m"><model behaviour="match"/></elementSpec>
+  <elementSpec ident="src"><model behaviour="code"><param name="language" value="@lang"/></model></elementSpec>
+  <elementSpec ident="kbd"><model behaviour="code-inline"/></elementSpec>
+  <elementSpec ident="part"><model behaviour="webcomponent"><param name="name" value="'my-part'"/><param name="size" value="@size"/></model></elementSpec>
+  <elementSpec ident="pass"><model behaviour="pass-through"/></elementSpec>
+  <elementSpec ident="t"><model behaviour="text"/></elementSpec>
+  <elementSpec ident="b"><model behaviour="block" cssClass="own"/></elementSpec>
+  <elementSpec ident="hid"><model behaviour="index"/></elementSpec>
+  <elementSpec ident="gloss"><model behaviour="list"/></elementSpec>
+  <elementSpec ident="label"><model behaviour="omit"/></elementSpec>
+  <elementSpec ident="entry"><model behaviour="listItem"/></elementSpec>
+  <elementSpec ident="side"><model behaviour="note"><param name="place" value="'margin'"/></model></elementSpec>
+  <elementSpec ident="anchor"><model behaviour="note"><param name="place" value="'start'"/><param name="label" value="@n"/></model></elementSpec>
+  <elementSpec ident="note"><model behaviour="note"><param name="label" value="@n"/></model></elementSpec>
+</schemaSpec>"""
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _joined(
+        '<doc xml:lang="he"><fig><img src="i', "{s_suppkey}", '.png" w="2cm"/><cap>Cap ', "{s_suppkey}", '</cap></fig><quote who="Ada">said</quote><tab><r role="head"><c>A</c><c cols="2">B</c></r><r><c>', "{s_suppkey}", '</c><c>2</c></r></tab><brk n="', "{s_suppkey}",
+        '"/><lb/><cb n="2"/>en<g ref="char:EOLhyphen"/> \n  ', 'd<m>hit</m><src lang="xml">a  <i/></src><kbd>x</kbd><part size="', "{s_suppkey}", '">w</part><pass>in</pass><t>text</t><b rend="big">', "{s_name}", "</b><hid>no</hid><gloss><label>L</label><entry>E</entry></gloss>",
+        '<side>aside</side><anchor xml:id="a1" n="a"/>word<note target="#a1" n="a">range</note></doc>',
+    )
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))
+
+
+def _supplier_output(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
+    return documents.rendered(_suppliers(spark, sf_dir), RuleSet.parse(SUPPLIER_RULES), channel).select("doc_id", "output")
+
+
+@query("""SELECT CAST(k AS VARCHAR) AS doc_id, '<body class="tei-doc tei-doc1" lang="he" dir="rtl"><figure class="tei-fig tei-fig1"><img class="tei-img tei-img1" src="i' || k || '.png" style="width: 2cm"><figcaption>Cap ' || k || '</figcaption></figure><blockquote class="tei-quote tei-quote1">said<cite>Ada</cite></blockquote>' ||
+    '<table class="tei-tab tei-tab1"><tr class="tei-r tei-r1"><th class="tei-c tei-c1">A</th><th class="tei-c tei-c1" colspan="2">B</th></tr><tr class="tei-r tei-r1"><td class="tei-c tei-c1">' || k || '</td><td class="tei-c tei-c1">2</td></tr></table><span class="tei-brk tei-brk1">' || k || '</span><br class="tei-lb tei-lb1"><div class="tei-cb tei-cb1" data-n="2"></div>en' || chr(173) ||
+    'd<mark class="tei-m tei-m1">hit</mark><pre class="tei-src tei-src1"><code data-language="xml">a  &lt;i/&gt;</code></pre><code class="tei-kbd tei-kbd1">x</code><my-part class="tei-part tei-part1" size="' || k || '">w</my-part>intext<div class="tei-b tei-b1 big own">' || s_name || '</div><dl class="tei-gloss tei-gloss1"><dt class="tei-entry tei-entry1">L</dt><dd class="tei-entry tei-entry1">E</dd></dl>' ||
+    '<span class="tei-side tei-side1 margin-note" id="margin_ref_1">aside</span><span class="tei-anchor tei-anchor1 note-range-start" style="display:inline-block" data-n="a" data-range="start"><a class="note" rel="footnote" href="#fn_2">a-</a></span>word' ||
+    '<span id="fnref_2" style="display:inline-block" class="tei-note tei-note1" data-n="a" data-range="end"><a class="note" rel="footnote" href="#fn_2">-a</a></span><dl class="footnote" id="fn_2" data-n="a" data-range="end"><dt class="fn-number">a-a</dt><dd class="fn-content">range<a class="fn-back" href="#fnref_2">↩</a></dd></dl></body>' AS output
+    FROM (SELECT s_suppkey AS k, s_name FROM supplier)""")
+def xml_behaviours_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures, citations, tables, breaks, glyphs, matches, code, components, definition lists, margin notes, lemma ranges."""
+    return _supplier_output(spark, sf_dir, "web")
+
+
+@query("""SELECT CAST(k AS VARCHAR) AS doc_id, '![](i' || k || '.png)' || n || n || 'Cap ' || k || n || n || '> said' || n || '> — Ada' || n || n || '| A | B |' || n || '| --- | --- |' || n || '| ' || k || ' | 2 |' || n || n || '|' || k || '|  ' || n || '  ' || n || 'en' || chr(173) || 'dhit' || n || n || '```xml' || n || 'a  <i/>' || n || '```' || n || n || '`x`wintext' || s_name AS output
+    FROM (SELECT s_suppkey AS k, s_name, chr(10) AS n FROM supplier)""")
+def xml_behaviours_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Markdown, up to the block (lists and notes are in ``xml_markdown``)."""
+    out = _supplier_output(spark, sf_dir, "markdown")
+    return out.select("doc_id", F.regexp_extract("output", r"(?s)^(.*?Supplier#\d+)", 1).alias("output"))
+
+
+@query("""SELECT CAST(k AS VARCHAR) AS doc_id, '#figure([#image("i' || k || '.png", width: 2cm)], caption: [Cap ' || k || '])' || n || n || '#quote(block: true, attribution: [Ada])[said]' || n || n || '#table(columns: 2,' || n || '  [A], [B],' || n || '  [' || k || '], [2],' || n || ')' AS output FROM (SELECT s_suppkey AS k, chr(10) AS n FROM supplier)""")
+def xml_behaviours_typst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure, citation and table in Typst."""
+    out = _supplier_output(spark, sf_dir, "typst")
+    return out.select("doc_id", F.regexp_extract("output", r"(?s)^(.*?,\n\))", 1).alias("output"))
+
+
+@query("""SELECT CAST(k AS VARCHAR) AS doc_id, '<span class="tei-brk tei-brk1" epub:type="pagebreak">' || k || '</span><br class="tei-lb tei-lb1"><div class="tei-cb tei-cb1" data-n="2"></div>' AS breaks, '<span class="tei-part tei-part1 my-part">w</span>' AS part, '<aside class="tei-note tei-note1 footnote" id="fn_2" epub:type="footnote">a-a range</aside>' AS note FROM (SELECT s_suppkey AS k FROM supplier)""")
+def xml_behaviours_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page breaks, components and notes of electronic books."""
+    out = _supplier_output(spark, sf_dir, "epub")
+    take = lambda p: F.regexp_extract("output", p, 1)
+    return out.select("doc_id", take(r'(<span class="tei-brk.*?<div class="tei-cb[^>]*></div>)').alias("breaks"), take(r'(<span class="tei-part.*?</span>)').alias("part"), take("(<aside.*?</aside>)").alias("note"))

@@ -213,7 +213,7 @@ class Html:
             return self.range_start(node, cls, mark)
         if where != "margin" and not mark and not content:
             return []
-        name = note_name(node, str(run.next_id()))
+        name = run.names.get(node.node_id) or note_name(node, str(run.next_id()))
         if where == "margin":
             if not mark:
                 return [self.element("span", [*cls, "margin-note"], node, content, id=f"margin_ref_{name}")]
@@ -232,8 +232,11 @@ class Html:
     def range_start(self, node, cls, mark):
         if not mark:
             return []
+        # The note that closes the range keeps the name that is given to it here, so that the link finds it.
         target = next((n for n in node.root().walk() if n.tag == "note" and node.id and (n.get("target") or "").lstrip("#") == node.id), None)
         name = note_name(target if target is not None else node, str(self.process.run.next_id()))
+        if target is not None:
+            self.process.run.names[target.node_id] = name
         out = self.element("span", [*cls, "note-range-start"], None, style="display:inline-block", data_n=mark, data_range="start")
         self.fill(out.add(self.element("a", ["note"], None, rel="footnote", href=f"#fn_{name}")), [f"{mark}-"])
         return [out]

@@ -21,6 +21,7 @@ class Run:
         self.notes: list[dict] = []
         self.note_no = self.id_no = 0
         self.metadata: dict[str, list[str]] = {}
+        self.names: dict[int, str] = {}
 
     def next_note(self) -> int:
         self.note_no += 1
