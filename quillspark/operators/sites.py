@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -133,3 +133,41 @@ def zipped(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     number = lambda df, c, name: df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(c)).alias("place"), F.col(c).alias(name), F.count("*").over(Window.partitionBy("doc_id")).alias(f"n_{name}"))
     met = number(fragments, "fragment_no", "fragment").join(number(pages, "page_no", "page"), ["doc_id", "place"])
     return met.where("n_fragment = n_page").drop("n_fragment", "n_page")
+
+
+def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests below a folder, by document in order: ``doc_id, pages, anchors``; unreadable ones are skipped."""
+    schema = "pages array<struct<page_no:int,page_id:string,file:string,xml_id:string,xpath:string,prev:string,next:string,title:string>>, anchors map<string,string>"
+    files = spark.read.text(f"{folder.rstrip('/')}/*/manifest.json", wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("m"))
+    name = F.element_at(F.split("path", "/"), -2)
+    return files.where("m.pages is not null").select(F.call_function("url_decode", name).alias("doc_id"), "m.pages", "m.anchors").orderBy("doc_id")
+
+
+def index_page(index: DataFrame, template: str | None = None) -> DataFrame:
+    """The collection's index as a web page: ``path, content``, one entry for each document."""
+    entry = F.concat(F.lit('<li><a href="'), "href", F.lit('">'), F.col("title"), F.lit("</a> ("), F.col("n_pages").cast("string"), F.lit(")</li>"))
+    before, _, after = (template or "<html><body>$content</body></html>").partition("$content")
+    rows = index.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "doc_id", entry.alias("e")))), lambda x: x["e"]), "").alias("items"))
+    return rows.select(F.lit("index.html").alias("path"), F.concat(F.lit(f"{before}<ul>"), "items", F.lit(f"</ul>{after}")).alias("content"))
+
+
+def pictures(pages: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """``doc_id, image, path, content``: pictures that pages show, from beside their document, else from ``images/`` there.
+
+    ``docs`` has ``doc_id, source``; ``folder`` is where the documents lie. Only local relative addresses count; missing
+    pictures give no row. Wanted files are joined by path, and contents are read for these only.
+    """
+    spark = pages.sparkSession
+    home = F.regexp_replace("source", r"/[^/]*$", "")
+    shown = pages.select("doc_id", F.explode("images").alias("image")).distinct().join(docs.select("doc_id", home.alias("home")), "doc_id")
+    places = shown.select("doc_id", "image", F.posexplode(F.array(F.concat_ws("/", "home", "image"), F.concat_ws("/", "home", F.lit("images"), "image"))).alias("rank", "file"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,svg,webp,PNG,JPG,JPEG,GIF,SVG}").load(folder)
+    met = places.join(files.select(F.col("path").alias("file"), "content"), "file")
+    first = Window.partitionBy("doc_id", "image").orderBy("rank")
+    return met.withColumn("k", F.row_number().over(first)).where("k = 1").select("doc_id", "image", F.concat_ws("/", text.file_stem(F.col("doc_id")), "image").alias("path"), "content")
+
+
+def search_names(pages: DataFrame) -> DataFrame:
+    """``path, content``: one JSON document of names and the pages that hold them, for a site's search."""
+    held = pages.select(F.explode("anchors").alias("name"), F.concat_ws("/", "doc_id", "file").alias("page")).groupBy("name").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    return held.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "pages"))))).alias("content")).select(F.lit("idents.json").alias("path"), F.coalesce("content", F.lit("{}")).alias("content"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from xml.etree import ElementTree
@@ -198,9 +200,42 @@ class RuleSet:
                 out = F.when(c, v) if out is None else out.when(c, v)
         return fallback if out is None else out.otherwise(fallback)
 
-    def stylesheet(self) -> str:
-        """CSS of the rules' own renditions, by rule key."""
-        return "\n".join(f".{r.key}{':' + scope if scope else ''} {{ {css} }}" for rs in self.rules.values() for r in rs for scope, css in r.renditions if css)
+    def stylesheet(self, document: str | None = None, base: str = "") -> str:
+        """CSS: a base sheet, the named renditions that a document's header declares, the rules' own renditions by rule key."""
+        own = [f".{r.key}{':' + scope if scope else ''} {{ {css} }}" for rs in self.rules.values() for r in rs for scope, css in r.renditions if css]
+        named = []
+        if document:
+            for e in ElementTree.fromstring(document).iter():
+                name = e.get("{http://www.w3.org/XML/1998/namespace}id")
+                if _local(e.tag) == "rendition" and name and (e.text or "").strip():
+                    named.append(f".simple_{name}{':' + e.get('scope') if e.get('scope') else ''} {{ {' '.join(e.text.split())} }}")
+        return "\n".join([*([base] if base else []), *named, *own])
+
+    def typst_prelude(self) -> str:
+        """Typst functions for classes whose styles have a counterpart: bold, italic, struck, underlined, coloured, sized, and
+        what stands before or after."""
+        out = []
+        for rs in self.rules.values():
+            for r in rs:
+                style, body = "; ".join(css for scope, css in r.renditions if not scope), "body"
+                for pattern, made in ((r"font-weight:\s*bold", "strong({})"), (r"font-style:\s*italic", "emph({})"), ("line-through", "strike({})"), ("underline", "underline({})")):
+                    if re.search(pattern, style):
+                        body = made.format(body)
+                if m := re.search(r"(?<![-\w])color:\s*(#[0-9a-fA-F]{6})", style):
+                    body = f'text(fill: rgb("{m[1]}"), {body})'
+                if m := re.search(r"font-size:\s*([\d.]+)px", style):
+                    body = f"text(size: {float(m[1]) * 0.75:g}pt, {body})"
+                for scope, css in r.renditions:
+                    if scope in ("before", "after") and (m := re.search(r"content:\s*['\"]([^'\"]*)", css)):
+                        body = f"[{m[1]}] + {body}" if scope == "before" else f"{body} + [{m[1]}]"
+                if body != "body":
+                    out.append(f"#let {r.key}(body) = {body}")
+        return "\n".join(out)
+
+    def fingerprint(self, channel: str, base: str = "") -> str:
+        """A key under which what is made of these rules for a channel may be kept."""
+        facts = [channel, base, self.ns, *[f"{r.key}|{r.output}|{r.predicate}|{r.behaviour}|{sorted(r.params.items())}|{r.template}|{r.css_class}|{r.renditions}|{r.path}" for rs in self.rules.values() for r in rs]]
+        return hashlib.sha256("\0".join(facts).encode()).hexdigest()
 
 
 def load_rules(path: str) -> RuleSet:
