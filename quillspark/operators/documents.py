@@ -76,6 +76,12 @@ def mapped(docs: DataFrame, rows_of: Callable[[], Callable[[str, object], list[d
     return docs.select(F.col(id_).cast("string"), F.col(raw)).mapInArrow(run, whole)
 
 
+def dealt(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``docs`` dealt out to all cores. Spark sizes the partitions behind a join or an aggregation by bytes, but documents
+    cost processor time: a table of some MB would be one task. For tables that a shuffle made; files are split as they are read."""
+    return docs.repartition(partitions or 2 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def evaluated(docs: DataFrame, expressions: dict[str, str], setup: Setup | None = None, **names: str) -> DataFrame:
     """``doc_id, name, item_no, value`` of the items that expressions give in each document; an error gives none."""
     setup = setup or Setup()

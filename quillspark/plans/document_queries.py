@@ -50,7 +50,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("o_orderstatus") == "F", "<note>done</note>").when(F.col("o_orderstatus") == "O", '<note n="a">open</note> and<note>more</note>').otherwise("")
     rows = _table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     raw = _joined('<order xml:id="o', "{o_orderkey}", '"><meta>', "{o_totalprice}", '</meta><head>Order <hi rend="bold">', "{o_orderkey}", "</hi></head><p>Status ", "{o_orderstatus}", note, ' <choice><orig>olde</orig><reg>old</reg></choice>.</p><list type="ordered">', "{items}", "</list></order>")
-    return rows.select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw"))
+    return documents.dealt(rows.select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw")))
 
 
 _LINES = """l AS (SELECT *, place = count(*) OVER (PARTITION BY k) AS final FROM (
@@ -199,7 +199,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), one), "").alias("orders"))
     rows = _table(spark, sf_dir, "customer").join(grouped, F.col("c_custkey") == F.col("o_custkey"), "left")
     raw = _joined('<TEI><teiHeader><fileDesc><titleStmt><title>Customer ', "{c_custkey}", '</title></titleStmt></fileDesc></teiHeader><text><body xml:id="c', "{c_custkey}", '">', "{orders}", "</body></text></TEI>")
-    return rows.select(F.col("c_custkey").alias("doc_id"), raw.alias("raw"))
+    return documents.dealt(rows.select(F.col("c_custkey").alias("doc_id"), raw.alias("raw")))
 
 
 _ORDERS = """d AS (SELECT o_custkey AS c, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderstatus AS s, floor(o_totalprice) > 100000 AS large FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))"""
