@@ -149,8 +149,9 @@ def rendered(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup
         process = Process(rules, channel, setup.env(rules.prefixes), setup.order, setup.webcomponents, setup.css)
 
         def make(key, value):
-            output = process.transform([nodes.read(value, setup.kind)])
-            return [{"output": output, "error": nodes.error_of(value) if setup.kind == "xml" else None, "metadata": [(k, "; ".join(v)) for k, v in process.run.metadata.items()]}]
+            tree = nodes.read(value, setup.kind)
+            output = process.transform([tree])
+            return [{"output": output, "error": nodes.error_of(tree), "metadata": [(k, "; ".join(v)) for k, v in process.run.metadata.items()]}]
         return make
 
     return mapped(docs, start, _schema(output=_TEXT, error=_TEXT, metadata=_MAP), **names)

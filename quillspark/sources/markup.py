@@ -33,6 +33,7 @@ class Builder:
     def __init__(self, home_ns: str | None = None) -> None:
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.tags: list[str] = []
         self.home = home_ns
         self.pending: list[str] = []
         self.at = (1, 0)
@@ -67,9 +68,11 @@ class Builder:
         else:
             node["tag_ord"], node["xpath"] = 1, f"/{tag}"
         self.open.append(node)
+        self.tags.append(tag)
 
     def end(self) -> None:
         self.flush()
+        self.tags.pop()
         self.open.pop()["end_id"] = len(self.nodes) - 1
 
     def data(self, text: str, at: tuple[int, int]) -> None:
@@ -100,11 +103,11 @@ class Builder:
         return self.nodes
 
 
-def parse_xml(raw: bytes | str, local: dict[str, str] | None = None) -> list[dict]:
-    """Nodes of an XML document. ``local`` has local DTDs and entities by system id; all other ones, remote ones always,
+def parse_xml(raw: bytes | str, local: dict[str, str] | None = None, build=None):
+    """Nodes of an XML document, or what another builder makes of it. ``local`` has local DTDs and entities by system id; all other ones, remote ones always,
     resolve to nothing. Repeated ids are kept; a malformed document gives the nodes up to the error and one node of
     kind ``x`` with the message."""
-    build = Builder()
+    build = build or Builder()
     parser = expat.ParserCreate(namespace_separator=" ")
     parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_UNLESS_STANDALONE if local else expat.XML_PARAM_ENTITY_PARSING_NEVER)
 
@@ -141,15 +144,15 @@ def parse_xml(raw: bytes | str, local: dict[str, str] | None = None) -> list[dic
 
 
 class _Html(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, build) -> None:
         super().__init__(convert_charrefs=True)
-        self.build = Builder("")
+        self.build = build
 
     def _at(self) -> tuple[int, int]:
         return self.getpos()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        while self.build.open and tag in CLOSED_BY.get(self.build.open[-1]["tag"], ()):
+        while self.build.tags and tag in CLOSED_BY.get(self.build.tags[-1], ()):
             self.build.end()
         self.build.start(None, tag, {k: v or "" for k, v in attrs}, self._at())
         if tag in VOID:
@@ -161,8 +164,8 @@ class _Html(HTMLParser):
             self.build.end()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(o["tag"] == tag for o in self.build.open):
-            while self.build.open[-1]["tag"] != tag:
+        if tag in self.build.tags:
+            while self.build.tags[-1] != tag:
                 self.build.end()
             self.build.end()
 
@@ -173,9 +176,9 @@ class _Html(HTMLParser):
         self.build.other("c", data, self._at())
 
 
-def parse_html(raw: str) -> list[dict]:
-    """Nodes of an HTML page, with recovery: unclosed paragraphs and items close where they must, stray end tags go."""
-    page = _Html()
+def parse_html(raw: str, build=None):
+    """Nodes of an HTML page, or what another builder makes of it, with recovery: unclosed paragraphs and items close where they must, stray end tags go."""
+    page = _Html(build or Builder(""))
     page.feed(raw)
     page.close()
     return page.build.finish()

@@ -54,7 +54,11 @@ class Node:
         return n
 
     def string(self) -> str:
-        return self.text or "" if self.kind != "e" and self.kind != "d" else "".join(n.text for n in self.walk() if n.kind == "t")
+        if self.kind not in "ed":
+            return self.text or ""
+        if len(self.children) == 1 and self.children[0].kind == "t":
+            return self.children[0].text
+        return "".join([n.text for n in self.walk() if n.kind == "t"])
 
     def shell(self) -> Node:
         """The element alone, without children."""
@@ -85,14 +89,73 @@ def build(rows: list[dict]) -> Node:
     return top
 
 
+class TreeBuilder:
+    """Builds a tree while a document is parsed, with the numbers and paths that the node table has."""
+
+    def __init__(self, home_ns: str | None = None) -> None:
+        self.top, self.home, self.pending, self.n = Node("d", node_id=-1), home_ns, [], 0
+        self.open, self.tags, self.counts = [self.top], [], [({}, [0])]
+
+    def _add(self, made: Node) -> Node:
+        made.node_id = self.n
+        self.n += 1
+        made.parent = self.open[-1]
+        made.parent.children.append(made)
+        return made
+
+    def flush(self) -> None:
+        if self.pending:
+            text, self.pending = "".join(self.pending), []
+            if text and self.tags:
+                self._add(Node("t", text=text))
+
+    def start(self, ns: str | None, tag: str, attrs: dict[str, str], at: tuple[int, int]) -> None:
+        self.flush()
+        if self.home is None and not self.tags:
+            self.home = ns or ""
+        made = self._add(Node("e", tag, ns, attrs))
+        by_tag, all_ = self.counts[-1]
+        k = by_tag[tag] = by_tag.get(tag, 0) + 1
+        all_[0] += 1
+        if not self.tags:
+            made.xpath = f"/{tag}"
+        else:
+            made.xpath = f"{self.open[-1].xpath}/{tag}[{k}]" if (ns or "") == self.home else f"{self.open[-1].xpath}/*[{all_[0]}]"
+        self.open.append(made)
+        self.tags.append(tag)
+        self.counts.append(({}, [0]))
+
+    def end(self) -> None:
+        self.flush()
+        self.open.pop()
+        self.tags.pop()
+        self.counts.pop()
+
+    def data(self, text: str, at: tuple[int, int]) -> None:
+        self.pending.append(text)
+
+    def other(self, kind: str, text: str, at: tuple[int, int]) -> None:
+        self.flush()
+        if kind == "x":
+            self.top.text = text
+        elif self.tags:
+            self._add(Node(kind, text=text))
+
+    def finish(self) -> Node:
+        self.flush()
+        return self.top
+
+
 def read(raw: bytes | str | None, kind: str = "xml") -> Node:
-    """The tree of a raw document; null and empty give a document without children."""
-    return build((parse_xml(raw) if kind == "xml" else parse_html(raw)) if raw else [])
+    """The tree of a raw document; null and empty give a document without children, a malformed one what was read."""
+    if not raw:
+        return Node("d", node_id=-1)
+    return parse_xml(raw, None, TreeBuilder()) if kind == "xml" else parse_html(raw, TreeBuilder(""))
 
 
-def error_of(raw: bytes | str | None) -> str | None:
-    """Why an XML document is malformed, if it is."""
-    return next((r["text"] for r in parse_xml(raw) if r["kind"] == "x"), None) if raw else None
+def error_of(tree: Node) -> str | None:
+    """Why the document of a tree is malformed, if it is."""
+    return tree.text if tree.kind == "d" else None
 
 
 def top(tree: Node) -> Node | None:

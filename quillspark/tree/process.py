@@ -191,9 +191,9 @@ class Process:
 
     def template(self, node: Node, source: str, values: dict[str, list]) -> list:
         """A template with its places filled: lists of pieces in text, strings in attributes; unreadable markup gives nothing."""
-        if nodes.error_of(f"<x>{source}</x>") is not None:
-            return []
         tree = nodes.read(f"<x>{source}</x>")
+        if nodes.error_of(tree) is not None:
+            return []
 
         def filled(text: str) -> list:
             out, at = [], 0
