@@ -172,7 +172,9 @@ def page_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.pruned(_page_records(spark, sf_dir)[1]).groupBy("doc_id", "tag", "behaviour").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<head>.*?</head>', '', 'gs'), '<(nav|script|style)>.*?</(nav|script|style)>', '', 'gs'), '<div class="ad">.*?</div>', '', 'gs') AS x FROM pages),
+    t AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?(div|p|article|body|ul|table|h1|li)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM s)
+    SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS output FROM t""")
 def page_text_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found, _ = _page_records(spark, sf_dir)
     return render.render(nodes, found, "text")

@@ -63,3 +63,32 @@ def test_streamed_windows(spark, tmp_path):
     assert run(watch.sessions(stream(), "t", "10 minutes", ["u"]), "sat") == [1, 1, 2]
     watch.without_repeats(stream(), "t", ["u"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("once").count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_columns_and_trees_agree_on_pages(spark):
+    """The records that Columns make of node tables are those that trees give."""
+    from quillspark.operators import documents, records
+    from quillspark.plans.corpus_queries import PAGE_RULES
+    from quillspark.plans.rules import RuleSet
+    from quillspark.sources.markup import parse_html
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    rules = RuleSet.parse(PAGE_RULES)
+    by_columns = sorted(map(tuple, catalogue.queries()["page_records"](spark, DATA).select("doc_id", "xpath", "tag", "behaviour", "rule_key", "suppressed").na.fill("").collect()))
+    found = documents.recorded(pages, rules, "web", documents.Setup(kind="html"), id_="page_id", raw="html")
+    assert by_columns == sorted(map(tuple, found.select("doc_id", "xpath", "element", "behaviour", "model", "suppressed").na.fill("").collect())) != []
+    nodes = {(r.doc_id, r.node_id): (r.kind, r.tag, r.end_id, r.parent_id, r.xpath) for r in catalogue.queries()["page_nodes"](spark, DATA).collect()}
+    for p in pages.collect():
+        for n in parse_html(p.html):
+            assert nodes.pop((str(p.page_id), n["node_id"])) == (n["kind"], n["tag"], n["end_id"], n["parent_id"], n["xpath"])
+    assert not nodes
+    total = documents.totals(documents.facts(pages, rules, "web", documents.Setup(kind="html"), id_="page_id", raw="html"))
+    want = {r.behaviour: r.n for r in records.behaviour_counts(records.pruned(records.dispatch(*_nodes_and_rules(pages, rules)))).collect()}
+    assert {r.key: r.n for r in total.where("fact = 'behaviour'").collect()} == want
+
+
+def _nodes_and_rules(pages, rules):
+    from quillspark.sources.markup import shred
+
+    return shred(pages, "page_id", "html", "html"), rules
