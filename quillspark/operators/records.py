@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -43,12 +43,17 @@ def selected(records: DataFrame, behaviours=(), elements=(), models=()) -> DataF
     return records.where(F.coalesce(F.col("behaviour").isin(*behaviours), F.lit(False)) | F.col("tag").isin(*elements) | F.coalesce(F.col("rule_key").isin(*models), F.lit(False)))
 
 
+def running_numbers(rows: DataFrame, label: Column, part: str = "doc_id", order: str = "node_id") -> DataFrame:
+    """``label`` and ``note_no``: the running number counts unlabelled rows only."""
+    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("label", label).withColumn("note_no", F.count_if(F.col("label").isNull()).over(w))
+
+
 def notes(records: DataFrame, label: str = "label") -> DataFrame:
     """Footnotes in order: the running number counts unlabelled notes only; labelled ones keep their mark."""
-    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.try_element_at("params", F.lit(label))
-    found = records.where("behaviour = 'note' and not suppressed").withColumn("label", F.when(mark != "", mark))
-    return found.withColumn("note_no", F.count_if(F.col("label").isNull()).over(w)).withColumn("marker", F.coalesce("label", F.col("note_no").cast("string"))).select("doc_id", "node_id", "note_no", "label", "marker", F.coalesce(F.try_element_at("params", F.lit("place")), F.lit("bottom")).alias("place"), text.clean(F.col("string_value")).alias("body"))
+    found = running_numbers(records.where("behaviour = 'note' and not suppressed"), F.when(mark != "", mark))
+    return found.withColumn("marker", F.coalesce("label", F.col("note_no").cast("string"))).select("doc_id", "node_id", "note_no", "label", "marker", F.coalesce(F.try_element_at("params", F.lit("place")), F.lit("bottom")).alias("place"), text.clean(F.col("string_value")).alias("body"))
 
 
 def labelled_first(notes_: DataFrame) -> DataFrame:

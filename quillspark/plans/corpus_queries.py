@@ -10,6 +10,7 @@ from quillspark.operators import documents, passages, records, render, similarit
 from quillspark.plans.catalogue import query
 from quillspark.plans.rules import RuleSet
 from quillspark.sources.markup import shred
+from quillspark.streaming import watch
 
 _LINES = r"""lines AS (
     SELECT doc_id, CAST(i AS BIGINT) AS line_no, trim(regexp_replace(l[i], '\s+', ' ', 'g')) AS line
@@ -238,9 +239,8 @@ _NOTES = "SELECT conv_id, turn, CASE WHEN role = 'system' THEN role END AS label
 
 
 def _conv_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    label = F.when(F.col("role") == "system", F.col("role"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"), F.count_if(F.col("role") != "system").over(w).alias("note_no"))
+    rows = records.running_numbers(_table(spark, sf_dir, "conversations"), F.when(F.col("role") == "system", F.col("role")), "conv_id", "turn")
+    return rows.select("conv_id", "turn", "label", "note_no")
 
 
 @query(_NOTES)
@@ -281,9 +281,14 @@ def params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
     SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("started"), "n")
+    return watch.sessions(_table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
 
 
 @query("""SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("started"), "event_type", "n", "total")
+    return watch.tumbling(_table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], total=F.round(F.sum("value"), 4))
+
+
+@query("""SELECT w AS started, event_type, count(*) AS n FROM (SELECT *, unnest([date_trunc('hour', ts), CASE WHEN minute(ts) >= 30 THEN date_trunc('hour', ts) + INTERVAL 30 MINUTE ELSE date_trunc('hour', ts) - INTERVAL 30 MINUTE END]) AS w FROM events) x GROUP BY 1, 2""")
+def event_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.sliding(_table(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", ["event_type"])

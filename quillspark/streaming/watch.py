@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -82,16 +82,23 @@ def without_repeats(stream: DataFrame, time: str, keys: list[str], delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def tumbling(stream: DataFrame, time: str, size: str, by: list[str], delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.window(time, size).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), *by, "n")
+def _late(rows: DataFrame, time: str, delay: str) -> DataFrame:
+    """A stream with its watermark; a table as it is."""
+    return rows.withWatermark(time, delay) if rows.isStreaming else rows
 
 
-def sliding(stream: DataFrame, time: str, size: str, step: str, by: list[str], delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.window(time, size, step).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), *by, "n")
+def tumbling(rows: DataFrame, time: str, size: str, by: list[str], delay: str = "1 hour", **more: Column) -> DataFrame:
+    """Counts (and ``more`` aggregates) by window of a stream or a table: ``started``, the keys, ``n``."""
+    found = _late(rows, time, delay).groupBy(F.window(time, size).alias("w"), *by).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in more.items()])
+    return found.select(F.col("w.start").alias("started"), *by, "n", *more)
 
 
-def sessions(stream: DataFrame, time: str, gap: str, by: list[str], delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count("*").alias("n")).select(F.col("s.start").alias("started"), *by, "n")
+def sliding(rows: DataFrame, time: str, size: str, step: str, by: list[str], delay: str = "1 hour") -> DataFrame:
+    return _late(rows, time, delay).groupBy(F.window(time, size, step).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), *by, "n")
+
+
+def sessions(rows: DataFrame, time: str, gap: str, by: list[str], delay: str = "1 hour") -> DataFrame:
+    return _late(rows, time, delay).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count("*").alias("n")).select(F.col("s.start").alias("started"), *by, "n")
 
 
 __all__ = ["current", "index_folder", "passages_of", "sessions", "sliding", "tumbling", "upsert", "watched", "without_repeats"]
