@@ -31,7 +31,8 @@ def conversations_as_arrays(turns: DataFrame) -> DataFrame:
     """``conv_id, turns`` with turns an array of ``(turn, role, text)`` in order; ties go by role, then text.
 
     Null roles and texts become empty strings, a null turn number sorts first, rows without conv_id are
-    no conversation and are left out. One array holds one conversation.
+    no conversation and are left out. One array holds one conversation. Repeated rows are turns of their own; other
+    columns are left out, whatever their names.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))

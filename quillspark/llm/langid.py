@@ -163,7 +163,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred, score, rejected`` from the whole ``text``; a map over rows.
 
     ``lang_pred`` is a learned language, or ``und`` for a null text or one without a letter (or if nothing was
-    learned). ``rejected`` marks texts farther from every centroid of that language than its rejection distance.
+    learned). Columns of those three names are replaced, others pass unchanged. Of centroids at one distance the first
+    language in alphabetical order is taken. ``rejected`` marks texts farther from every centroid of that language than its rejection distance.
     """
     from pyspark.sql import types as T
 

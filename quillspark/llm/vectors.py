@@ -148,7 +148,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     block; each block gives a query the k best of its visited leaves, so no task holds a whole hot leaf and nothing is capped.
     Scores are float64 products of the stored vectors. Ids are distinct rows' names: of rows repeating an id with
     another vector each is a candidate of its own, and equal (id, score) pairs count once. Vectors of another length
-    than the commonest take no part. An empty table gives an empty result.
+    than the commonest take no part. Two vectors under one query id share one list of the k nearest. Other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
