@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import kernels
-from quillspark.llm.shared import Scratch, packed, row_text, small, stash
+from quillspark.llm.shared import Scratch, packed, small, stash
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Share of a group's documents that the estimate keeps; documents a group needs for an estimate of its own.
@@ -77,15 +77,15 @@ def transformed(counts: np.ndarray) -> np.ndarray:
     return np.stack([np.log(n), np.log(np.maximum(counts[:, 1], 1) / n), *[np.log1p(100.0 * counts[:, k] / n) for k in (2, 3, 4)]], axis=1)
 
 
-def with_stats(rows: DataFrame) -> DataFrame:
-    """``rows`` with the statistics of ``text`` in its place (of the text in ``row`` where there is no such column), and
-    ``x``, these transformed: a map over rows."""
+def with_stats(rows: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """``rows`` with the statistics of the column ``text`` in its place (behind it, to ``keep`` it), and ``x``, these
+    transformed: a map over rows."""
     fields = [*[T.StructField(c, T.LongType()) for c in STATS], T.StructField("x", T.ArrayType(T.DoubleType()))]
-    others = [c for c in rows.columns if c != "text"]
+    others = [c for c in rows.columns if keep or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = text_stats(batch.column("text") if "text" in batch.schema.names else row_text(batch))
+            found = text_stats(batch.column(text))
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(found) + 1, 5), pa.int32()), pa.array(transformed(found).ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(found[:, k]) for k in range(5)], x], names=[*others, *STATS, "x"])
 
@@ -254,4 +254,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged whatever their names."""
     stats = stash(with_stats(_rows(docs).drop("row")), "stats")
-    return judged(with_stats(_rows(docs).drop("text")), fit(stats)).where("kept").select("row.*")
+    # Texts go through Python and back, in flat columns named by place: cheaper than in a struct, and no name clashes.
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    of = lambda name: next(p for p, c in zip(places, docs.columns, strict=True) if c.lower() == name)
+    flat = docs.toDF(*places)
+    flat = flat.select("*", *[F.col(of(c)).cast("string").alias(c) for c in ("lang", "source")])
+    return judged(with_stats(flat, of("text"), keep=True), fit(stats)).where("kept").select(*places).toDF(*docs.columns)
