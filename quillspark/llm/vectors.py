@@ -20,6 +20,8 @@ SAMPLE, LEAF, MOST_LEAVES, BRANCH = 80_000, 400, 8192, 8
 BLOCK = 4096
 #: Queries that one task answers for a block: a block that more queries visit is copied for each lot of them.
 LOT = 8192
+#: Pairs of a query and a row whose products are summed at a time.
+PAIRS = 1 << 15
 #: Queries that calibrate the number of leaves to visit, and the recall they must reach.
 PROBES, RECALL = 200, 0.97
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -116,16 +118,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None, leaf: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """The k best rows for each query: largest product first, ties to the smaller id, never the query's own id.
 
-    ``allowed`` (queries by leaves) says which rows count for a query by the number of their ``leaf``.
+    ``allowed`` (queries by leaves) says which rows count for a query by the number of their ``leaf``. A matrix product
+    rounds by a row's place, so that it only narrows: all within its rounding of the k-th are summed again in one
+    order, which gives equal vectors equal scores in every block.
     """
+    rounding = 4 * np.finfo(np.float64).eps * x.shape[1] ** 2 * np.abs(q).max(axis=1, initial=0) * np.abs(x).max(initial=0)
     for at in range(0, len(q), 256):
         scores = q[at : at + 256] @ x.T
         scores[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
         if allowed is not None:
             scores[~allowed[at : at + 256][:, leaf]] = -np.inf
         least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
-        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-        found = scores[row, col]
+        row, col = np.nonzero((scores >= (least - rounding[at : at + 256])[:, None]) & np.isfinite(scores))
+        found = np.concatenate([np.zeros(0), *[(q[at + row[i : i + PAIRS]] * x[col[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(row), PAIRS)]])
         order = np.lexsort((ids[col], -found, row))
         row, col, found = row[order], col[order], found[order]
         first = np.searchsorted(row, row)
@@ -146,7 +151,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     until the wanted share of their true neighbours lies in them. A query also goes on until its leaves hold k rows
     besides its own. Leaves with many rows (a vector that many rows repeat) fall into blocks by id hash, small leaves share a
     block; each block gives a query the k best of its visited leaves, so no task holds a whole hot leaf and nothing is capped.
-    Scores are float64 products of the stored vectors. Ids are distinct rows' names: of rows repeating an id with
+    Scores are float64 products of the stored vectors, equal for equal vectors. Ids are distinct rows' names: of rows repeating an id with
     another vector each is a candidate of its own, and equal (id, score) pairs count once. Vectors of another length
     than the commonest take no part. Two vectors under one query id share one list of the k nearest. Other columns are
     ignored, whatever their names. An empty table gives an empty result.

@@ -74,6 +74,23 @@ def test_neighbours_of_equal_vectors_and_repeated_ids(spark):
     assert [tuple(r) for r in vectors.search(again).orderBy("rank").collect()] == [(0, 1, 1, 3.0), (0, 2, 1, 2.0), (0, 3, 2, 1.0)]
 
 
+def test_equal_vectors_have_equal_scores_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(701, 64))
+    for k in range(6):
+        x[rng.permutation(701)[:50]] = x[k]
+    got = {}
+    for r in vectors.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, found in got.items():
+        scores = (x * x[q]).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(701), -scores)) if i != q][:20]
+        found.sort()
+        assert [v for _, v, _ in found] == want  # of equal vectors those with the smaller ids, in order
+        assert all(abs(s - scores[v]) < 1e-12 for _, v, s in found)
+        assert len({s for _, _, s in found}) == len({x[v].tobytes() for _, v, _ in found})
+
+
 def test_texts_whose_names_clash_pass_through_the_encoder(spark):
     import public_tokenizers as P
 
