@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import archives, bytebpe, chat, jaccard, langid, mixing, quality, suffixes, tokencount, vectors
+from quillspark.llm import archives, bytebpe, chat, jaccard, langid, merkle, mixing, quality, suffixes, tokencount, vectors
 from quillspark.llm.shared import documents
 from quillspark.session import ship
 
@@ -59,11 +59,28 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir)).select("doc_id", "source", "copy_no", "n_copies", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(documents(spark, sf_dir), merkle.without_line_feeds())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = [op1_arc_to_warc, op2_language_centroids, op3_preference_formatting, op4_ngram_jaccard, op5_suffix_dedup, op6_byte_bpe, op7_token_counts, op8_robust_quality, op9_kmeans_tree, op10_poisson_mixing]
+    plain = [op1_arc_to_warc, op2_language_centroids, op3_preference_formatting, op4_ngram_jaccard, op5_suffix_dedup, op6_byte_bpe, op7_token_counts, op8_robust_quality, op9_kmeans_tree, op10_poisson_mixing, op11_merkle_manifest]
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in plain}
 
 
+def _part(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_part(c) for c in ["doc_id", "source", "lang", "n_chars", text]) + ")"
+
+
+#: CRC-32 of the decimal ``doc_id``, bit by bit: a code of -1 is a shift, any other one a byte.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": """
@@ -125,4 +142,30 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT doc_id, source, md5(coalesce(any_value(text), '')) AS text_md5, CAST(sum(len(list_filter(cdf, lambda z: z < u))) AS BIGINT) AS n_copies FROM j GROUP BY 1, 2)
             SELECT doc_id, source, CAST(i AS BIGINT) AS copy_no, n_copies, md5('order20:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || CAST(i AS VARCHAR)) AS shuffle_key, text_md5
             FROM m, unnest(generate_series(1, n_copies)) AS w(i)""",
+            "op11_merkle_manifest": f"""
+            WITH RECURSIVE d AS (
+                SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf(f"CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS got FROM documents),
+            r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, coalesce('=' || source, '') AS t FROM d),
+            v AS (
+                SELECT t, 0 AS level, idx, n, leaf AS h FROM r
+                UNION ALL SELECT t, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM v WHERE n > 1 GROUP BY t, level, n, idx // 3),
+            w AS (
+                SELECT 0 AS level, row_number() OVER (ORDER BY t) - 1 AS idx, count(*) OVER () AS n, h FROM v WHERE n = 1
+                UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM w WHERE n > 1 GROUP BY level, n, idx // 3),
+            s AS (SELECT t, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS place FROM v WHERE n = 1),
+            a AS (
+                SELECT x.t, x.level, x.idx, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS lft, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS rgt
+                FROM v x JOIN v y ON x.t = y.t AND x.level = y.level AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY 1, 2, 3),
+            b AS (
+                SELECT x.level, x.idx, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS lft, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS rgt
+                FROM w x JOIN w y ON x.level = y.level AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY 1, 2),
+            p AS (
+                SELECT r.t, r.idx, a.level, lft, rgt FROM r JOIN a ON a.t = r.t AND a.idx = r.idx // CAST(pow(3, a.level) AS BIGINT)
+                UNION ALL SELECT r.t, r.idx, 100 + b.level, lft, rgt FROM r JOIN s ON s.t = r.t JOIN b ON b.idx = s.place // CAST(pow(3, b.level) AS BIGINT)),
+            q AS (SELECT *, row_number() OVER (PARTITION BY t, idx ORDER BY level) AS k, count(*) OVER (PARTITION BY t, idx) AS steps FROM p),
+            f AS (SELECT t, idx, 0 AS k, got AS h FROM r UNION ALL SELECT f.t, f.idx, q.k, sha256(lft || h || rgt) FROM f JOIN q ON q.t = f.t AND q.idx = f.idx AND q.k = f.k + 1),
+            g AS (SELECT t, idx, arg_max(h, k) AS folded_root FROM f GROUP BY 1, 2),
+            z AS (SELECT t, idx, sha256(string_agg(lft || rgt, '' ORDER BY level)) AS proof_sha256 FROM p GROUP BY 1, 2)
+            SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+            FROM r JOIN s ON s.t = r.t JOIN g ON g.t = r.t AND g.idx = r.idx LEFT JOIN z ON z.t = r.t AND z.idx = r.idx, (SELECT h AS root FROM w WHERE n = 1)""",
     }
