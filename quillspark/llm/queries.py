@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import archives, bytebpe, chat, jaccard, langid, merkle, mixing, quality, suffixes, tokencount, vectors
+from quillspark.llm import archives, bytebpe, chat, divergence, jaccard, langid, merkle, mixing, quality, suffixes, tokencount, vectors
 from quillspark.llm.shared import documents
 from quillspark.session import ship
 
@@ -63,8 +63,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(documents(spark, sf_dir), merkle.without_line_feeds())
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = [op1_arc_to_warc, op2_language_centroids, op3_preference_formatting, op4_ngram_jaccard, op5_suffix_dedup, op6_byte_bpe, op7_token_counts, op8_robust_quality, op9_kmeans_tree, op10_poisson_mixing, op11_merkle_manifest]
+    plain = [op1_arc_to_warc, op2_language_centroids, op3_preference_formatting, op4_ngram_jaccard, op5_suffix_dedup, op6_byte_bpe, op7_token_counts, op8_robust_quality, op9_kmeans_tree, op10_poisson_mixing, op11_merkle_manifest, op13_source_divergence]
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in plain}
 
 
@@ -168,4 +172,22 @@ def oracle_sql() -> dict[str, str]:
             z AS (SELECT t, idx, sha256(string_agg(lft || rgt, '' ORDER BY level)) AS proof_sha256 FROM p GROUP BY 1, 2)
             SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
             FROM r JOIN s ON s.t = r.t JOIN g ON g.t = r.t AND g.idx = r.idx LEFT JOIN z ON z.t = r.t AND z.idx = r.idx, (SELECT h AS root FROM w WHERE n = 1)""",
+            "op13_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+            t AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+            k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 10),
+            v AS (SELECT lang, count(*) :: HUGEINT AS v, sum(n) AS total FROM k GROUP BY 1),
+            c AS (SELECT t.lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+            s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            p AS (
+                SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 :: HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * v) AS BIGINT) AS p,
+                    CAST(1 + 1000000000 :: HUGEINT * (k.n + 2) // (v.total + 2 * v) AS BIGINT) AS q
+                FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+            f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+            e AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+                UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+            SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e
+            QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10""",
     }
