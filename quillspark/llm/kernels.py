@@ -113,3 +113,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
+
+
+def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each run of marked bytes; runs end with their text."""
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    cuts = offsets[:-1][offsets[:-1] < len(solid)]
+    begins[cuts] = solid[cuts]
+    ends[cuts[cuts > 0] - 1] = solid[cuts[cuts > 0] - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1

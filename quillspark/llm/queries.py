@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import archives, bytebpe, chat, divergence, jaccard, langid, merkle, mixing, quality, suffixes, tokencount, vectors
+from quillspark.llm import archives, bytebpe, chat, divergence, jaccard, langid, maxent, merkle, mixing, quality, suffixes, tokencount, vectors
 from quillspark.llm.shared import documents
 from quillspark.session import ship
 
@@ -63,12 +63,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(documents(spark, sf_dir), merkle.without_line_feeds())
 
 
+def op12_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = [op1_arc_to_warc, op2_language_centroids, op3_preference_formatting, op4_ngram_jaccard, op5_suffix_dedup, op6_byte_bpe, op7_token_counts, op8_robust_quality, op9_kmeans_tree, op10_poisson_mixing, op11_merkle_manifest, op13_source_divergence]
+    plain = [op1_arc_to_warc, op2_language_centroids, op3_preference_formatting, op4_ngram_jaccard, op5_suffix_dedup, op6_byte_bpe, op7_token_counts, op8_robust_quality, op9_kmeans_tree, op10_poisson_mixing, op11_merkle_manifest, op12_maxent_scores, op13_source_divergence]
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in plain}
 
 
