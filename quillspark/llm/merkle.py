@@ -154,7 +154,7 @@ class Forest:
         self.leaves = leaves.join(run, (F.col("part") == F.col("p")) & F.col("tree").eqNullSafe(F.col("t"))).withColumn("idx", F.col("start") + F.col("n") - F.col("first")).drop("p", "t", "n", "first", "start")
         flat = self.leaves.select("part", "tree", "leaves", F.lit(0).alias("level"), "idx", "digest")
         found = [scratch.put(flat.groupBy("part").applyInArrow(_grown(fanout), _RECORD), "merkle-records")]
-        groups = parts
+        groups = (self.runs.agg(F.max("part")).first()[0] or 0) + 1  # a session may deal out to more partitions than asked
         while groups > 1:  # ``part`` of a record is the group that merges it
             groups = -(-groups // MERGED)
             found.append(scratch.put(found[-1].where("kind = 'edge'").groupBy("part").applyInArrow(_grown(fanout), _RECORD), "merkle-records"))

@@ -100,3 +100,12 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert merkle.audited(docs).collect() == []
     assert [d.count() for d in merkle.manifest(docs)] == [0, 0]
+
+
+def test_more_partitions_than_asked_for(spark, monkeypatch):
+    """Sessions may hold their own number of partitions; merging goes on until none is left."""
+    plain = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, n, *keys: plain(self, 150, *keys))
+    rows = made(200, 3)
+    got = merkle.audited(spark.createDataFrame(rows, SCHEMA), merkle.without_line_feeds())
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
