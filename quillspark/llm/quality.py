@@ -16,8 +16,8 @@ from quillspark.llm import kernels
 from quillspark.llm.shared import Scratch, packed, small, stash
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Share of a group's documents that the estimate keeps; documents a group needs for an estimate of its own.
-KEEP, LEAST = 0.75, 100
+#: Share of a group's documents that its estimate keeps; documents by which the wider group's estimate counts beside it.
+KEEP, PRIOR = 0.75, 50
 #: Concentration steps of all starts, and of the best one at most; it ends when no group's log determinant falls by more.
 FIRST_STEPS, LAST_STEPS, SETTLED = 2, 6, 0.01
 #: Squared distance beyond which a document is an outlier: the chi-square quantile of 5 degrees of freedom at 1 - 1e-6.
@@ -186,9 +186,45 @@ def _concentrated(points: DataFrame, now: DataFrame, keep: float, scratch: Scrat
     return scratch.put(_invert(_moments(inner), consistency(keep)), "mcd")
 
 
+def blended(n: int, own: tuple[np.ndarray, np.ndarray] | None, wide: tuple[np.ndarray, np.ndarray], prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of a group of ``n`` documents, drawn toward those of the wider group by ``prior / (n + prior)``."""
+    if own is None:
+        return wide
+    share = n / (n + prior)
+    return share * own[0] + (1 - share) * wide[0], share * own[1] + (1 - share) * wide[1]
+
+
+def _blend(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each group's own estimate drawn toward that of its language, and this one toward that of all documents."""
+    top = base.where("key = '0|'").first()
+    if top is None:
+        return base
+
+    def read(loc: object, inv: object) -> tuple[np.ndarray, np.ndarray] | None:
+        return None if loc is None else (np.asarray(loc, float), np.linalg.inv(np.asarray(inv, float).reshape(5, 5)))
+
+    whole = read(top["loc"], top["inv"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for key, n, loc, inv, n_wide, loc_wide, inv_wide in f.itertuples(index=False):
+                wide = blended(n_wide, read(loc_wide, inv_wide), whole)
+                loc, cov = blended(n, read(loc, inv), wide)
+                rows.append((key, n, loc.tolist(), np.linalg.inv(cov).ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["key", "n", "loc", "inv"])
+
+    table = lambda key, end: small(base.select(F.col("key").alias(key), *[F.col(c).alias(c + end) for c in ("n", "loc", "inv")]))
+    met = groups.join(table("fine", ""), "fine", "left").join(table("wide", "_wide"), "wide", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return met.select("fine", zero("n"), "loc", "inv", zero("n_wide"), "loc_wide", "inv_wide").mapInPandas(run, "key string, n long, loc array<double>, inv array<double>").unionByName(base.where("key = '0|'"))
+
+
 def fit(stats: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Estimates ``key, n, loc, inv`` for each language and source, each language, and all documents together.
+    """Estimates ``key, n, loc, inv`` for each language and source, and for all documents together.
 
+    Every language and source has its own estimate, whatever its size, drawn toward that of its language with a weight that
+    falls as it grows (``blended``); a group of which no document passes the base rules has its language's.
     ``stats`` (materialised) has ``lang, source``, the statistics and ``x``. Four starts for each group: the medians with the
     median absolute deviations, the moments of all its documents, and those of its shorter and of its longer half. Each is
     concentrated FIRST_STEPS times, the one with the smallest determinant until it falls no more. A step is two
@@ -214,7 +250,9 @@ def fit(stats: DataFrame, keep: float = KEEP) -> DataFrame:
         if fall is None or fall < SETTLED:
             break
     sizes = points.groupBy("key").agg(F.count("*").alias("n"))
-    found = stash(best.join(sizes, "key").select("key", "n", "loc", "inv"), "estimates")
+    fine, wide, _ = _keys()
+    base = scratch.put(best.join(sizes, "key").select("key", "n", "loc", "inv"), "mcd")
+    found = stash(_blend(base, stats.select(fine.alias("fine"), wide.alias("wide")).distinct()), "estimates")
     scratch.clear()
     return found
 
@@ -222,18 +260,13 @@ def fit(stats: DataFrame, keep: float = KEEP) -> DataFrame:
 def judged(rows: DataFrame, estimates: DataFrame, cut: float = CUT) -> DataFrame:
     """``rows`` (with the statistics and ``x``) and ``base_failed``, ``distance`` and ``kept``.
 
-    The finest group with an estimate of its own (LEAST documents) decides: language and source, then language, then all
-    documents together, whatever their number. Where no document at all passes the base rules, these alone decide.
+    Each document is measured by the estimate of its language and source. Where no document at all passes the base rules,
+    these alone decide.
     """
-    out, distances = rows, []
-    x = F.col("x")
-    for level, key in enumerate(_keys()[:2]):
-        table = estimates.where(F.col("key").startswith(f"{2 - level}|") & (F.col("n") >= LEAST)).select(F.col("key").alias("key_"), F.col("loc").alias(f"loc{level}"), F.col("inv").alias(f"inv{level}"))
-        out = out.withColumn("key", key).join(small(table), F.col("key") == F.col("key_"), "left").drop("key", "key_")
-        distances.append(squared_distance(x, F.col(f"loc{level}"), F.col(f"inv{level}")))
-    if overall := estimates.where("key = '0|'").select("loc", "inv").first():
-        distances.append(squared_distance(x, F.array(*map(F.lit, overall["loc"])), F.array(*map(F.lit, overall["inv"]))))
-    out = out.withColumn("distance", F.greatest(F.coalesce(*distances, F.lit(0.0)), F.lit(0.0))).drop(*[f"{c}{i}" for i in range(2) for c in ("loc", "inv")])
+    table = estimates.where("key like '2|%'").select(F.col("key").alias("key_"), "loc", "inv")
+    met = rows.withColumn("key", _keys()[0]).join(small(table), F.col("key") == F.col("key_"), "left")
+    distance = F.greatest(F.coalesce(squared_distance(F.col("x"), F.col("loc"), F.col("inv")), F.lit(0.0)), F.lit(0.0))
+    out = met.withColumn("distance", distance).drop("key", "key_", "loc", "inv")
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
 
 

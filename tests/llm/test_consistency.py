@@ -69,14 +69,18 @@ def test_verdicts_of_small_groups(spark):
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS) + ", junk boolean, x array<double>"
     stats = shared.stash(spark.createDataFrame([(*r, t.tolist()) for r, t in zip(rows, x, strict=True)], schema), "rows")
     got = {r.doc_id: r for r in quality.judged(stats, quality.fit(stats)).collect()}
-    passes = n >= 10
+    passes, known = n >= 10, {}
     group = [np.array([f(r) for r in rows], object) for f in (lambda r: f"{r[1]}|{r[2]}", lambda r: str(r[1]), lambda r: "")]
     for r in rows:
-        for level in range(3):
+        model = None
+        for level in (2, 1, 0):
             mine = (group[level] == group[level][r[0]]) & passes
-            if level == 2 or mine.sum() >= quality.LEAST:
-                want = distances(x[r[0] : r[0] + 1], *estimate(x[mine]))[0]
-                break
+            key = group[level][r[0]], level
+            if key not in known:
+                known[key] = estimate(x[mine])
+            share = mine.sum() / (mine.sum() + quality.PRIOR)
+            model = known[key] if model is None else [share * a + (1 - share) * b for a, b in zip(known[key], model, strict=True)]
+        want = distances(x[r[0] : r[0] + 1], *model)[0]
         assert got[r[0]].base_failed == (r[3] < 10)
         assert abs(np.log(got[r[0]].distance + 1) - np.log(want + 1)) < 0.35, (r, got[r[0]].distance, want)
         if abs(want - quality.CUT) > 12:
@@ -84,6 +88,27 @@ def test_verdicts_of_small_groups(spark):
         assert got[r[0]].kept == (not r[8] and r[3] >= 10)
 
 
+def test_a_small_group_decides_for_itself(spark):
+    """Twelve documents of a source become others: their own estimate follows, and no verdict elsewhere moves."""
+    rng = np.random.default_rng(2)
+
+    def table(symbols):
+        rows = []
+        for k in range(612):
+            words = int(np.exp(4.6 + rng.normal() * 0.4)) + 12
+            mine = k >= 600
+            share = symbols if mine and k < 611 else 0.12 if mine else 0.01 * rng.random()
+            rows.append((k, "en", "small" if mine else f"s{k % 3}", words, int(words * np.exp(1.5 + 0.05 * rng.normal())), int(words * share), 0, 0))
+        n, counts = np.array([r[3] for r in rows], float), np.array([r[4:8] for r in rows], float)
+        x = np.stack([np.log(n), np.log(counts[:, 0] / n), *[np.log1p(100 * counts[:, k] / n) for k in (1, 2, 3)]], axis=1)
+        stats = shared.stash(spark.createDataFrame([(*r, t.tolist()) for r, t in zip(rows, x, strict=True)], "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS) + ", x array<double>"), "rows")
+        return {r.doc_id: (r.kept, r.distance) for r in quality.judged(stats, quality.fit(stats)).collect()}
+
+    plain, other = table(0.005), table(0.12)
+    assert {k for k in plain if plain[k][0] != other[k][0]} == {611}, (plain[611], other[611])  # odd among its like, then not
+    assert not plain[611][0] and all(plain[k][0] for k in range(611))
+
+
 def test_no_document_passes_the_base_rules(spark):
     docs = spark.createDataFrame([(1, "few words", "en", "a", "own"), (2, None, None, None, "own"), (3, "", "en", None, "own")], "doc_id long, text string, lang string, source string, distance string")
     assert [r.kept for r in quality.verdicts(docs).collect()] == [False] * 3 and quality.passing(docs).count() == 0
