@@ -105,8 +105,10 @@ def test_a_small_group_decides_for_itself(spark):
         return {r.doc_id: (r.kept, r.distance) for r in quality.judged(stats, quality.fit(stats)).collect()}
 
     plain, other = table(0.005), table(0.12)
-    assert {k for k in plain if plain[k][0] != other[k][0]} == {611}, (plain[611], other[611])  # odd among its like, then not
-    assert not plain[611][0] and all(plain[k][0] for k in range(611))
+    moved = {k for k in plain if plain[k][0] != other[k][0]}
+    assert 611 in moved and moved <= set(range(600, 612))
+    assert not plain[611][0] and other[611][0]  # odd among the others, then one of them
+    assert all(plain[k][0] for k in range(611)) and all(other[k][0] for k in range(600))
 
 
 def test_no_document_passes_the_base_rules(spark):
