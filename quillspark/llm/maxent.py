@@ -217,6 +217,24 @@ def held_out(fold: int = 2, folds: int = 7) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent words, ``most`` at most: those from a bound on, which a histogram of
+    the counts' logarithms gives (some hundred bars, so that no sort sends each task's candidates to the driver)."""
+    bar = F.floor(F.log2("n") * 32).cast("int")
+    bound, room = None, most
+    for r in counts.groupBy(bar.alias("bar")).count().orderBy(F.col("bar").desc()).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        bound = r["bar"]
+    if bound is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    table = counts.where(bar >= bound).select("name", "n").toArrow()
+    names, n = (np.asarray(table.column(c).combine_chunks()) for c in ("name", "n"))
+    order = np.argsort(names.view(np.uint64))
+    return names.view(np.uint64)[order], n[order]
+
+
 def _scored(rows: DataFrame, model: Model, head: np.ndarray, head_n: np.ndarray) -> DataFrame:
     """For each row: tokens, what the model and frequent words' counts give, and its rare words with their numbers."""
     shared = rows.sparkSession.sparkContext.broadcast((model, head, head_n))
@@ -267,10 +285,8 @@ def scores(docs: DataFrame, apart: Column | None = None, head: int = HEAD) -> Da
     counts = scratch.put(word_counts(train_texts), "words")
     all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     model = train(train_texts, counts)
-    top = counts.orderBy(F.col("n").desc(), "name").limit(head).select("name", "n").toPandas()  # of fixed size
-    names, n = top["name"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(names)
-    found = scratch.put(_scored(texts.drop("fold").withColumn("row", F.monotonically_increasing_id()), model, names[order], n[order]), "scored")
+    names, n = frequent(counts, head)
+    found = scratch.put(_scored(texts.drop("fold").withColumn("row", F.monotonically_increasing_id()), model, names, n), "scored")
     rare = found.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("name"), F.col("w.rare_n").alias("times"))
     met = rare.join(counts.select("name", "n"), "name").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("log_rare"), F.sum("times").alias("n_rare"))
     whole = found.drop("rare", "rare_n").join(met, "row", "left")
