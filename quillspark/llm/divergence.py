@@ -22,8 +22,8 @@ from quillspark.llm.shared import Scratch, small, stash
 LEAST, TOP = 10, 10
 #: Rows of the sketch, and the widths (as powers of two) that it may have; 2 MB of bits at most.
 DEPTH, NARROW, WIDE = 4, 14, 22
-#: Rows that a task gathers before it combines them, and that it then sends on.
-GATHERED, SENT = 400_000, 800_000
+#: Rows that a task gathers before it combines them, and combined ones beyond which it sends them on.
+GATHERED, SENT = 1_000_000, 1_500_000
 _CHUNK = 1 << 16
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True  # fixed values of the contract
@@ -142,33 +142,40 @@ def possible(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 def _counted(rows: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     """``lang, source, term, n, df``: partial exact counts of the terms that the sketch lets pass, combined in each task."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 
     def combined(parts: list[pa.Table]) -> pa.Table:
-        whole = pa.concat_tables(parts).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
-        return whole.select(["lang", "source", "term", "n_sum", "df_sum"]).rename_columns(["lang", "source", "term", "n", "df"])
+        whole = pa.concat_tables(parts).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
+        return whole.select(["group", "term", "n_sum", "df_sum"]).rename_columns(["group", "term", "n", "df"])
+
+    def send(whole: pa.Table, groups: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+        names = [pa.array([g[k] for g in groups], pa.string()) for k in range(2)]
+        at = whole.column("group")
+        out = pa.table([names[0].take(at), names[1].take(at), whole.column("term").cast(pa.string()), whole.column("n"), whole.column("df")], names=["lang", "source", "term", "n", "df"])
+        yield from out.to_batches(50_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}  # languages with their sources, by number
         parts: list[pa.Table] = []
-        held = 0
+        new = settled = 0
         for batch in batches:
             for run in _runs(batch):
                 keys, _, which = run.keys()
                 keep = possible(shared.value, keys, bits)[which]
-                group = (run.lang[keep] * len(run.sources) + run.source[keep]) * run.width + run.term[keep]
-                pairs, at, df = np.unique(group, return_inverse=True, return_counts=True)
+                langs, sources = run.langs.to_pylist(), run.sources.to_pylist()
+                met, which_group = np.unique(run.lang[keep] * max(len(sources), 1) + run.source[keep], return_inverse=True)
+                own = np.array([groups.setdefault((langs[g // len(sources)], sources[g % len(sources)]), len(groups)) for g in met.tolist()], np.int64)
+                pairs, at, df = np.unique(own[which_group] * run.width + run.term[keep], return_inverse=True, return_counts=True)
                 n = np.bincount(at, weights=run.n[keep], minlength=len(pairs)).astype(np.int64)
-                owner = pairs // run.width
-                parts.append(pa.table([run.langs.take(pa.array(owner // max(len(run.sources), 1))), run.sources.take(pa.array(owner % max(len(run.sources), 1))), run.values.take(pa.array(pairs % run.width)), pa.array(n), pa.array(df.astype(np.int64))], names=schema.names))
-                held += len(pairs)
-                if held > GATHERED:
-                    parts = [combined(parts)]
-                    held = len(parts[0])
-                    if held > SENT:
-                        yield from parts[0].cast(schema).to_batches(50_000)
-                        parts, held = [], 0
+                parts.append(pa.table([pa.array((pairs // run.width).astype(np.int32)), run.values.take(pa.array(pairs % run.width)), pa.array(n), pa.array(df.astype(np.int64))], names=["group", "term", "n", "df"]))
+                new += len(pairs)
+                if new > max(GATHERED, settled):  # so that each row is combined a few times only
+                    parts, new = [combined(parts)], 0
+                    settled = len(parts[0])
+                    if settled > SENT:
+                        yield from send(parts.pop(), groups)
+                        settled = 0
         if parts:
-            yield from combined(parts).cast(schema).to_batches(50_000)
+            yield from send(combined(parts), groups)
 
     return rows.mapInArrow(count, "lang string, source string, term string, n long, df long")
 
