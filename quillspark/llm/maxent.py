@@ -88,15 +88,15 @@ class Model:
             out = np.where(self.singles[at] == names, at, out)
         return out
 
-    def log_shares(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Natural logs of the classes' probabilities, a line for each token."""
-        z = self.weights[rows[0]]
+    def weighed(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """What each class weighs, a line for each token, and the lines' sums. Weights have moved by STEP a round at most, so
+        nothing overflows."""
+        z = np.take(self.weights, rows[0], axis=0)
         for r in rows[1:]:
-            z += self.weights[r]
+            z += np.take(self.weights, r, axis=0)
         z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        np.exp(z, out=z)
+        return z, z.sum(axis=1)
 
 
 def _blocks(model: Model, names: np.ndarray, codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
@@ -164,21 +164,21 @@ def gradient(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (rows, width) = shared.value, shape
-        seen, expected = np.zeros(rows * width), np.zeros((rows, width), np.float32)
+        seen, expected, here = np.zeros(rows * width), np.zeros(rows * width), np.zeros(rows * width, np.float32)
         any_ = False
         for batch in batches:
             for _, names, codes, at in tokens(batch.column("text")):
                 any_ = True
+                here[:] = 0  # small numbers are summed apart, so that large ones don't swallow them
                 for _, _, features, classes in _blocks(own, names, codes, at):
-                    share = np.exp(own.log_shares(features))
+                    share, whole_ = own.weighed(features)
+                    share /= whole_[:, None]
                     for r in features:
                         np.add.at(seen, r * width + classes, 1.0)
-                        order = np.argsort(r.astype(np.uint32), kind="stable")
-                        lines = r[order]
-                        first = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1]]))
-                        expected[lines[first]] += np.add.reduceat(share[order], first, axis=0)
+                        np.add.at(here, (r[:, None] * width + np.arange(width)).ravel(), share.ravel())
+                expected += here
         if any_:
-            seen = seen.reshape(rows, width).astype("<f4")
+            seen, expected = seen.reshape(rows, width).astype("<f4"), expected.reshape(rows, width)
             for k in range(0, rows, _CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[k : k + _CHUNK].tobytes()], pa.binary()), pa.array([expected[k : k + _CHUNK].astype("<f4").tobytes()], pa.binary())], names=["chunk", "seen", "expected"])
 
@@ -249,8 +249,8 @@ def _scored(rows: DataFrame, model: Model, head: np.ndarray, head_n: np.ndarray)
                 line = np.repeat(np.arange(n), np.diff(at))
                 gain, alone = np.zeros(len(names)), np.zeros(len(names), bool)
                 for begin, end, features, classes in _blocks(own, names, codes, at):
-                    shares = own.log_shares(features)[np.arange(end - begin), classes]
-                    gain[begin:end] = shares / np.log(10.0) - own.within[classes]
+                    share, whole_ = own.weighed(features)
+                    gain[begin:end] = np.log10(share[np.arange(end - begin), classes]) - np.log10(whole_) - own.within[classes]
                     alone[begin:end] = classes < len(own.singles)
                 found, which, times = np.unique(names, return_inverse=True, return_counts=True)
                 spot = np.minimum(np.searchsorted(head, found), max(len(head) - 1, 0))
