@@ -86,13 +86,13 @@ class Model:
         if len(self.singles):
             at = np.minimum(np.searchsorted(self.singles, names), len(self.singles) - 1)
             out = np.where(self.singles[at] == names, at, out)
-        return out
+        return out.astype(np.int64)
 
     def weighed(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """What each class weighs, a line for each token, and the lines' sums. Weights have moved by STEP a round at most, so
         nothing overflows."""
-        z = np.take(self.weights, rows[0], axis=0)
-        for r in rows[1:]:
+        z = np.zeros((len(rows[0]), len(self.bias)), np.float32)  # of numpy's own type: sums over one that was unpickled are slow
+        for r in rows:
             z += np.take(self.weights, r, axis=0)
         z += self.bias
         np.exp(z, out=z)
