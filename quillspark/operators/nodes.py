@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import blocks
 from quillspark.session import settled
 
-# A context c and a candidate x of one document meet on equal keys where there are any; the interval is a residual.
-_AXES = {
+_STEPS = {
     "child": "x.parent_id = c.node_id",
     "parent": "x.node_id = c.parent_id",
-    "descendant": "x.node_id > c.node_id AND x.node_id <= c.end_id",
-    "descendant-or-self": "x.node_id >= c.node_id AND x.node_id <= c.end_id",
-    "ancestor": "x.node_id < c.node_id AND x.end_id >= c.node_id",
-    "ancestor-or-self": "x.node_id <= c.node_id AND x.end_id >= c.node_id",
-    "following": "x.node_id > c.end_id",
-    "preceding": "x.end_id < c.node_id",
     "following-sibling": "x.parent_id = c.parent_id AND x.node_id > c.node_id",
     "preceding-sibling": "x.parent_id = c.parent_id AND x.node_id < c.node_id",
     "self": "x.node_id = c.node_id",
@@ -24,9 +18,19 @@ _AXES = {
 
 
 def axis(context: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """``doc_id, context_id`` and the nodes on an axis of each context node: one equi-join on the document."""
-    on = F.expr(f"x.doc_id = c.doc_id AND {_AXES[name]}")
-    return context.alias("c").join(nodes.alias("x"), on).select(F.col("c.node_id").alias("context_id"), "x.*")
+    """``context_id`` and the nodes on an axis of each context node.
+
+    Axes of one step are equi-joins on document and parent or node; ``ancestor`` and ``descendant`` (``-or-self``) are
+    structural merge joins by blocks. ``following`` and ``preceding`` pair almost all nodes of a document with each other:
+    ``blocks.counts`` counts them without pairs.
+    """
+    if name in _STEPS:
+        return context.alias("c").join(nodes.alias("x"), F.expr(f"x.doc_id = c.doc_id AND {_STEPS[name]}")).select(F.col("c.node_id").alias("context_id"), "x.*")
+    way, _, too = name.partition("-or-")
+    if way not in ("ancestor", "descendant"):
+        raise ValueError(f"{name}: count with blocks.counts")
+    found = blocks.holding(context, nodes, way)
+    return found.unionByName(axis(context, nodes, "self")) if too else found
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -36,20 +40,21 @@ def siblings(nodes: DataFrame) -> DataFrame:
 
 
 def encode(edges: DataFrame) -> DataFrame:
-    """Preorder intervals of a forest given as ``doc_id, path`` (array of sort keys from the root): one window each.
+    """Preorder intervals of a forest given as ``doc_id, path`` (array of sort keys from the root).
 
-    A node's number is its rank by path and its end the last number that has the path as a prefix, which is the
-    next rank of a path not longer, less one.
+    A node's number is its rank by path, which ranges of paths find each for itself; its end is that number and those of the
+    paths that begin with its own, counted once for each prefix; its parent has the path without the last key. All three are
+    settled, so nothing is worked out twice. A repeated path is an error, since both would be one node.
     """
-    w = Window.partitionBy("doc_id").orderBy("path")
-    ranked = edges.withColumn("node_id", F.row_number().over(w) - 1).withColumn("depth", F.size("path") - 1)
-    # the subtree's size is the number of paths that start with this one, counted once per prefix
+    ranked = settled(blocks.ranked(edges, "doc_id", "path", "node_id").withColumn("depth", F.size("path") - 1))
+    if twice := ranked.groupBy("doc_id", "path").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect():
+        raise ValueError(f"repeated path {twice[0]['path']} in {twice[0]['doc_id']}")
     prefixes = ranked.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
     sizes = prefixes.groupBy("doc_id", "path").agg((F.count("*") - 1).alias("below"))
-    out = ranked.join(sizes, ["doc_id", "path"]).withColumn("end_id", (F.col("node_id") + F.col("below")).cast("int")).drop("below")
-    parents = out.select("doc_id", F.col("path").alias("up"), F.col("node_id").alias("parent_id"))
     up = F.when(F.size("path") > 1, F.slice("path", F.lit(1), F.size("path") - 1))
-    return out.withColumn("up", up).join(parents, ["doc_id", "up"], "left").drop("up")
+    parents = ranked.select("doc_id", F.col("path").alias("up"), F.col("node_id").alias("parent_id"))
+    out = ranked.join(sizes, ["doc_id", "path"]).withColumn("end_id", F.col("node_id") + F.col("below")).drop("below")
+    return settled(out.withColumn("up", up).join(parents, ["doc_id", "up"], "left").drop("up"))
 
 
 def outline_numbers(nodes: DataFrame) -> DataFrame:
@@ -82,5 +87,4 @@ def depth_chunks(nodes: DataFrame, most: int, content: Column | None = None) ->
 
 def page_of(nodes: DataFrame, milestone: str = "pb") -> DataFrame:
     """The page of each node: a running count of page breaks, from 1 before the first counted break."""
-    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return nodes.withColumn("page", F.count_if(F.col("tag") == milestone).over(w))
+    return blocks.running(nodes, "doc_id", "node_id", page=("sum", F.when(F.col("tag") == milestone, 1).otherwise(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators import blocks
 
 
 def runs_of_lines(docs: DataFrame) -> DataFrame:
@@ -16,8 +17,7 @@ def runs_of_lines(docs: DataFrame) -> DataFrame:
 
 def islands(runs: DataFrame, boundary: Column, part: str = "doc_id", order: str = "line_no") -> DataFrame:
     """``unit_no`` of each run: the number of boundaries so far; runs before the first one are unit 0."""
-    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.withColumn("unit_no", F.sum(F.when(boundary, 1).otherwise(0)).over(w))
+    return blocks.running(runs, part, order, unit_no=("sum", F.when(boundary, 1).otherwise(0)))
 
 
 def units(runs: DataFrame, value: str = "line", part: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -72,8 +72,7 @@ def navigation(chunks: DataFrame, part: str, order: str, file: str) -> DataFrame
 
 def carry(rows: DataFrame, value: str, part: str, order: str, name: str) -> DataFrame:
     """The last non-null value seen so far."""
-    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return blocks.running(rows, part, order, **{name: ("last", F.col(value))})
 
 
 def ordered_facets(rows: DataFrame, key: str, value: str, order: str, name: str) -> DataFrame:
@@ -84,12 +83,12 @@ def ordered_facets(rows: DataFrame, key: str, value: str, order: str, name: str)
 
 def anchor_map(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """``doc_id, anchor, file``: the first chunk that holds an id. Chunks are intervals that do not overlap, so a node's is
-    the last one that began before it, if that reaches it: one window over both, no join."""
+    the last one that began before it, if that reaches it: one scan over both."""
     none = F.lit(None)
     starts = chunks.select("doc_id", F.col("chunk_start").alias("at"), F.lit(0).alias("step"), F.struct(F.col("file"), F.col("chunk_start").alias("a"), F.col("chunk_stop").alias("b")).alias("chunk"), none.cast("string").alias("anchor"))
     held = nodes.where("xml_id is not null").select("doc_id", F.col("node_id").alias("at"), F.lit(1).alias("step"), none.cast(starts.schema["chunk"].dataType).alias("chunk"), F.col("xml_id").alias("anchor"))
-    w = Window.partitionBy("doc_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = starts.unionByName(held).withColumn("here", F.last("chunk", ignorenulls=True).over(w)).where("anchor is not null and here.b >= at")
+    both = starts.unionByName(held).withColumn("place", F.col("at") * 2 + F.col("step"))
+    met = blocks.running(both, "doc_id", "place", here=("last", F.col("chunk"))).where("anchor is not null and here.b >= at")
     return met.groupBy("doc_id", "anchor").agg(F.min_by("here.file", "here.a").alias("file"))
 
 

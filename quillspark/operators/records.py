@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators import blocks
 from quillspark.plans.rules import SUPPRESSED, RuleSet
 
 
@@ -28,9 +29,9 @@ def dispatch(nodes: DataFrame, rules: RuleSet, variables: dict[str, object] | No
 
 def covered(rows: DataFrame, cover: str) -> DataFrame:
     """``rows`` of nodes with ``inside``: whether a node lies below one for which ``cover`` holds. Intervals nest, so it does
-    if the furthest end of such nodes before it reaches it: one window over the document, no join."""
-    before = Window.partitionBy("doc_id").orderBy("node_id").rangeBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inside", F.coalesce(F.max(F.when(F.expr(cover), F.col("end_id"))).over(before) >= F.col("node_id"), F.lit(False)))
+    if the furthest end of such nodes before it reaches it: one scan by blocks."""
+    found = blocks.running(rows, "doc_id", "node_id", exclusive=True, furthest_=("max", F.when(F.expr(cover), F.col("end_id"))))
+    return found.withColumn("inside", F.coalesce(F.col("furthest_") >= F.col("node_id"), F.lit(False))).drop("furthest_")
 
 
 def pruned(records: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def selected(records: DataFrame, behaviours=(), elements=(), models=()) -> DataF
 
 def running_numbers(rows: DataFrame, label: Column, part: str = "doc_id", order: str = "node_id") -> DataFrame:
     """``label`` and ``note_no``: the running number counts unlabelled rows only."""
-    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("label", label).withColumn("note_no", F.count_if(F.col("label").isNull()).over(w))
+    return blocks.running(rows.withColumn("label", label), part, order, note_no=("sum", F.when(F.col("label").isNull(), 1).otherwise(0)))
 
 
 def notes(records: DataFrame, label: str = "label") -> DataFrame:

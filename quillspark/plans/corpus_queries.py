@@ -9,6 +9,7 @@ from quillspark.functions import text
 from quillspark.operators import documents, passages, records, render, similarity
 from quillspark.plans.catalogue import query
 from quillspark.plans.rules import RuleSet
+from quillspark.session import settled
 from quillspark.sources.markup import shred
 from quillspark.streaming import watch
 
@@ -129,7 +130,7 @@ def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, RuleSet]:
-    nodes = _page_nodes(spark, sf_dir)
+    nodes = settled(_page_nodes(spark, sf_dir))  # each page is parsed once, however often its nodes are read
     rules = RuleSet.parse(PAGE_RULES)
     return nodes, records.dispatch(nodes, rules), rules
 

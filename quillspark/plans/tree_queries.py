@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import nodes, passages, specs
+from quillspark.operators import blocks, nodes, passages, specs
 from quillspark.plans.catalogue import query
 from quillspark.plans.rules import RuleSet
 
@@ -45,33 +45,39 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("doc_id").cast("long"), *[F.col(c_).cast("long").alias(c_) for c_ in ("node_id", "end_id", "parent_id", "depth")], "label")
 
 
-def _contexts(tree: DataFrame, depth: int) -> DataFrame:
-    return tree.where(F.col("depth") == depth)
-
-
 @query(f"WITH {_TREE} SELECT doc_id, node_id, end_id, parent_id, depth, label FROM t")
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir)
 
 
-@query(f"WITH {_TREE} SELECT c.doc_id, c.node_id AS context_id, count(*) AS n, max(x.depth) AS deepest FROM t c JOIN t x ON x.doc_id = c.doc_id AND x.node_id > c.node_id AND x.node_id <= c.end_id WHERE c.depth = 1 GROUP BY 1, 2")
+@query(f"""WITH {_TREE}, d AS (
+        SELECT doc_id, k1, k2, max(depth) AS deepest, 0 AS level FROM t WHERE FALSE GROUP BY 1, 2, 3
+        UNION ALL SELECT doc_id, NULL, NULL, max(depth), 0 FROM t WHERE depth > 0 GROUP BY 1 UNION ALL SELECT doc_id, k1, NULL, max(depth), 1 FROM t WHERE depth > 1 GROUP BY 1, 2 UNION ALL SELECT doc_id, k1, k2, max(depth), 2 FROM t WHERE depth > 2 GROUP BY 1, 2, 3)
+    SELECT t.doc_id, t.node_id AS context_id, t.end_id - t.node_id AS n, deepest FROM t JOIN d ON d.doc_id = t.doc_id AND level = depth AND (level < 1 OR d.k1 = t.k1) AND (level < 2 OR d.k2 = t.k2)""")
 def tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants of all inner nodes, as pairs that a structural merge join finds."""
     tree = _tree(spark, sf_dir)
-    return nodes.axis(_contexts(tree, 1), tree, "descendant").groupBy("doc_id", "context_id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    below = nodes.axis(tree.where("end_id > node_id"), tree.select("doc_id", "node_id", "depth"), "descendant")
+    return below.groupBy("doc_id", "context_id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
-@query(f"WITH {_TREE} SELECT c.doc_id, c.node_id AS context_id, string_agg(x.label, '/' ORDER BY x.depth) AS path FROM t c JOIN t x ON x.doc_id = c.doc_id AND x.node_id < c.node_id AND x.end_id >= c.node_id WHERE c.depth = 2 GROUP BY 1, 2")
+@query(f"""WITH {_TREE} SELECT c.doc_id, c.node_id AS context_id, CASE c.depth WHEN 1 THEN r.label WHEN 2 THEN r.label || '/' || n.label ELSE r.label || '/' || n.label || '/' || k.label END AS path
+    FROM t c JOIN t r ON r.doc_id = c.doc_id AND r.depth = 0 LEFT JOIN t n ON n.doc_id = c.doc_id AND n.depth = 1 AND n.k1 = c.k1 LEFT JOIN t k ON k.doc_id = c.doc_id AND k.depth = 2 AND k.k1 = c.k1 AND k.k2 = c.k2 WHERE c.depth > 0""")
 def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels above every node, orders too."""
     tree = _tree(spark, sf_dir)
-    # Candidates are inner nodes only: leaves have no descendants, so the residual sees few rows.
-    above = nodes.axis(_contexts(tree, 2), tree.where("end_id > node_id and depth < 2"), "ancestor")
+    above = nodes.axis(tree, tree.select("doc_id", "node_id", "end_id", "depth", "label"), "ancestor")
     return above.groupBy("doc_id", "context_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda s: s["label"]), "/").alias("path"))
 
 
-@query(f"WITH {_TREE} SELECT c.doc_id, c.node_id AS context_id, count(*) AS n FROM t c JOIN t x ON x.doc_id = c.doc_id AND x.node_id > c.end_id WHERE c.depth = 1 GROUP BY 1, 2")
+@query(f"""WITH {_TREE}, e AS (SELECT doc_id, end_id, count(*) AS n FROM t GROUP BY 1, 2), b AS (SELECT doc_id, end_id, sum(n) OVER (PARTITION BY doc_id ORDER BY end_id) AS ended FROM e)
+    SELECT t.doc_id, t.node_id AS context_id, count(*) OVER (PARTITION BY t.doc_id) - 1 - t.end_id AS following, CAST(coalesce(b.ended, 0) AS BIGINT) AS preceding
+    FROM t ASOF LEFT JOIN b ON b.doc_id = t.doc_id AND t.node_id - 1 >= b.end_id""")
 def tree_following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes follow and precede every node, by running counts."""
     tree = _tree(spark, sf_dir)
-    return nodes.axis(_contexts(tree, 1), tree, "following").groupBy("doc_id", "context_id").agg(F.count("*").alias("n"))
+    behind, before = blocks.counts(tree, tree, "following"), blocks.counts(tree, tree, "preceding")
+    return behind.withColumnRenamed("n", "following").join(before.withColumnRenamed("n", "preceding"), ["doc_id", "context_id"])
 
 
 @query(f"WITH {_TREE} SELECT doc_id, node_id, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM t WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY node_id)")
@@ -111,12 +117,12 @@ def tree_anchor_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchors(_tree(spark, sf_dir))
 
 
-@query(f"""WITH {_ANCHORS}, l AS (SELECT doc_id, node_id, '#n' || (node_id + 1) AS target, 'n' || (node_id + 1) AS anchor, 'c' || node_id || '.html' AS from_file FROM t WHERE depth <= 2)
+@query(f"""WITH {_ANCHORS}, l AS (SELECT doc_id, node_id, '#n' || (node_id + 1) AS target, 'n' || (node_id + 1) AS anchor, 'c' || node_id || '.html' AS from_file FROM t)
     SELECT l.doc_id, node_id, CASE WHEN file IS NULL THEN target WHEN file = from_file THEN '#' || l.anchor ELSE file || '#' || l.anchor END AS href
     FROM l LEFT JOIN a ON l.doc_id = a.doc_id AND l.anchor = a.anchor""")
 def tree_link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
-    links = tree.where("depth <= 2").select("doc_id", "node_id", F.concat(F.lit("#n"), (F.col("node_id") + 1).cast("string")).alias("target"), F.concat(F.lit("c"), F.col("node_id").cast("string"), F.lit(".html")).alias("from_file"))
+    links = tree.select("doc_id", "node_id", F.concat(F.lit("#n"), (F.col("node_id") + 1).cast("string")).alias("target"), F.concat(F.lit("c"), F.col("node_id").cast("string"), F.lit(".html")).alias("from_file"))
     return passages.rewrite_links(links, _anchors(tree)).select("doc_id", "node_id", "href")
 
 
