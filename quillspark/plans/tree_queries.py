@@ -241,29 +241,3 @@ def class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = specs.closure(_class_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return up.groupBy(F.col("src").alias("ident")).agg(F.count("*").alias("ancestors"), F.min("dst").alias("least"))
-
-
-_CONTENT = [("div", "class", "m.div"), ("div", "element", "head"), ("p", "class", "m.phrase"), ("list", "element", "item"), ("item", "class", "m.phrase"), ("item", "class", "m.block"), ("note", "class", "m.block")]
-_MEMBERS = [("p", "m.block"), ("list", "m.block"), ("m.block", "m.div"), ("hi", "m.phrase"), ("note", "m.phrase"), ("m.phrase", "m.inter"), ("m.inter", "m.phrase"), ("div", "m.div")]
-_GRAPH = f"""content AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _CONTENT)}) v(ident, kind, key)), members AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _MEMBERS)}) v(ident, class_key)),
-    below AS (SELECT class_key AS src, ident AS dst FROM members UNION SELECT b.src, m.ident FROM below b JOIN members m ON m.class_key = b.dst),
-    may AS (SELECT DISTINCT ident, child FROM (SELECT ident, key AS child FROM content WHERE kind = 'element' UNION ALL SELECT c.ident, dst FROM content c JOIN below ON c.key = src WHERE kind = 'class') x WHERE child NOT IN (SELECT class_key FROM members))"""
-
-
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_CONTENT, "ident string, kind string, key string"), spark.createDataFrame(_MEMBERS, "ident string, class_key string")
-
-
-@query(f"WITH RECURSIVE {_GRAPH} SELECT ident, child FROM may")
-def may_contain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.may_contain(*_graph(spark))
-
-
-@query(f"WITH RECURSIVE {_GRAPH} SELECT child AS ident, ident AS parent FROM may WHERE ident <> child")
-def contained_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.contained_by(*_graph(spark))
-
-
-@query(f"WITH RECURSIVE {_GRAPH} SELECT key, ident AS user FROM content UNION SELECT class_key, ident FROM members")
-def used_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.used_by(*_graph(spark))
