@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators import documents, passages
 from quillspark.plans.rules import RuleSet
+from quillspark.session import settled
 from quillspark.tree.passages import Options
 
 
@@ -30,52 +33,80 @@ def passages_of(docs: DataFrame, rules: RuleSet | None = None, options: Options
     return found.select("doc_id", F.concat_ws("#", "doc_id", F.col("unit_no").cast("string"), F.col("part").cast("string")).alias("id"), "hash", "document")
 
 
-def upsert(new: DataFrame, target: str, key: str = "id") -> None:
-    """Make the target hold the passages of ``new``: one row an id, changed ones replaced, those that a document no
-    longer has removed, other documents' kept. Running it twice changes nothing.
+#: Folders that a target's documents are dealt out to; a target keeps the number it began with.
+BUCKETS = 64
 
-    A state is a folder ``v=<n>`` of Parquet files below the target; the next one is written beside it, then the older ones
-    are deleted, so a reader or a lost driver always finds a whole state. Unchanged batches write nothing.
+
+def bucket_of(doc_id: str = "doc_id", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(buckets)).cast("int")
+
+
+def upsert(new: DataFrame, target: str, key: str = "id", batch: str | None = None, docs: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Make the target hold the passages of ``new``: one row an id (of repeats the one with the least hash), changed ones
+    replaced, those that a document no longer has removed, other documents' kept. ``docs`` names the documents that were
+    read, so that one without passages loses those it had. Returns how many buckets were written.
+
+    The target is partitioned by a hash of the document. Only buckets in which something changes are read whole and
+    written again, by dynamic partition overwrite, so a batch costs what it touches. A ``batch`` that the target has seen is
+    passed over; one that broke off is run again and gives the same rows, since it is noted only when all is written.
     """
     spark = new.sparkSession
-    state = current(spark, target)
-    fresh = new.dropDuplicates([key])
-    if state is not None:
-        old = state.select(*new.columns)
-        mine = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_semi")
-        if passages.hash_diff(mine, fresh, key).where("action <> 'unchanged'").isEmpty():
-            return
-        fresh = old.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
-    version = _versions(spark, target)
-    fresh.write.parquet(f"{target}/v={(version[-1] if version else 0) + 1}")
-    for v in version:
-        _folder(spark, target).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}"), True)
+    note = None if batch is None else f"{target}/_batches/{batch}"
+    if note and _folder(spark, note).exists(_path(spark, note)):
+        return 0
+    least = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), F.struct("hash", "doc_id")).alias("r")).select("r.*")
+    fresh = settled(least.withColumn("bucket", bucket_of(buckets=buckets)))
+    ids = fresh.select("doc_id") if docs is None else fresh.select("doc_id").unionByName(docs.select("doc_id"))
+    ids = settled(ids.distinct().withColumn("bucket", bucket_of(buckets=buckets)))
+    state, written = current(spark, target), 0
+    if state is None:
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(target)
+        spark.createDataFrame([(fresh.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/_columns")  # a target may become empty
+        written = fresh.select("bucket").distinct().count()
+    else:
+        own = state.where(F.col("bucket").isin([r["bucket"] for r in ids.select("bucket").distinct().collect()]))  # of some buckets, so at most their number
+        mine = own.join(ids.select("doc_id"), "doc_id", "left_semi").withColumn("side", F.lit("old")).unionByName(fresh.withColumn("side", F.lit("new")))
+        sides = mine.groupBy(key, "bucket").agg(F.min(F.when(F.col("side") == "old", F.col("hash"))).alias("old"), F.min(F.when(F.col("side") == "new", F.col("hash"))).alias("fresh"))
+        touched = [r["bucket"] for r in sides.where("not (old <=> fresh)").select("bucket").distinct().collect()]
+        if touched:
+            names = [*new.columns, "bucket"]
+            rest = own.where(F.col("bucket").isin(touched)).join(ids.select("doc_id"), "doc_id", "left_anti")
+            rows = settled(rest.select(*names).unionByName(fresh.where(F.col("bucket").isin(touched)).select(*names)))  # it replaces what it is read from
+            filled = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+            for bucket in set(touched) - filled:
+                _folder(spark, target).delete(_path(spark, f"{target}/bucket={bucket}"), True)
+            written = len(touched)
+    if note:
+        _folder(spark, note).create(_path(spark, note)).close()
+    return written
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def _folder(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Complete states, oldest first."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = _folder(spark, target)
-    if not system.exists(place(target)):
-        return []
-    found = [s.getPath().getName() for s in system.listStatus(place(target))]
-    return sorted(int(n[2:]) for n in found if re.fullmatch(r"v=\d+", n) and system.exists(place(f"{target}/{n}/_SUCCESS")))
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The target's latest state."""
-    found = _versions(spark, target)
-    return spark.read.parquet(f"{target}/v={found[-1]}") if found else None
+    """The target's rows with their ``bucket``; none where there is no target yet. Who reads while a batch is committed may
+    have to read again."""
+    if not _folder(spark, target).exists(_path(spark, f"{target}/_columns/_SUCCESS")):
+        return None
+    return spark.read.schema(T.StructType.fromJson(json.loads(spark.read.text(f"{target}/_columns").first()[0]))).parquet(target)
 
 
 def index_folder(spark: SparkSession, folder: str, target: str, checkpoint: str, rules: RuleSet | None = None, options: Options | None = None, pattern: str = "*.xml") -> StreamingQuery:
     """Index every file there is, once, and what comes later on the next call."""
     docs = watched(spark, folder, pattern)
-    return docs.writeStream.foreachBatch(lambda batch, _: upsert(passages_of(batch, rules, options), target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def land(batch: DataFrame, number: int) -> None:
+        stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]  # numbers are the stream's own
+        upsert(passages_of(batch, rules, options), target, batch=f"{stream}-{number}", docs=batch)
+
+    return docs.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def without_repeats(stream: DataFrame, time: str, keys: list[str], delay: str = "1 hour") -> DataFrame:

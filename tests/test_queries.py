@@ -47,6 +47,32 @@ def test_streamed_index_upserts(spark, tmp_path):
     assert sorted(r.document for r in current(spark, str(tmp_path / "out")).collect()) == ["another text", "changed text"]
 
 
+def test_an_upsert_writes_the_buckets_it_touches(spark, tmp_path):
+    from quillspark.streaming.watch import current, upsert
+
+    target = str(tmp_path / "target")
+    schema = "doc_id string, id string, hash string, document string"
+    rows = [(f"d{k // 4}", f"d{k // 4}#{k % 4}", f"h{k}", f"text {k}") for k in range(1000)]
+    frame = lambda x: spark.createDataFrame(x, schema)
+    files = lambda: {str(f): f.stat().st_size for f in (tmp_path / "target").rglob("*.parquet")}
+    held = lambda: sorted(tuple(r) for r in current(spark, target).select("doc_id", "id", "hash", "document").collect())
+    assert upsert(frame(rows), target, batch="a-0") > 50 and held() == sorted(rows)
+    before = files()
+    changed = [*rows[:3], ("d0", "d0#3", "other", "another text")]
+    assert upsert(frame(changed), target, batch="a-1") == 1  # one bucket of 64
+    written = sum(size for f, size in files().items() if f not in before)
+    assert held() == sorted(changed + rows[4:]) and 0 < written < sum(before.values()) / 20
+    before = files()
+    assert upsert(frame(rows[:4]), target, batch="a-1") == 0 and upsert(frame(changed), target) == 0 and files() == before  # seen, or nothing new
+    twice = [("d1", "d1#0", "b", "second"), ("d1", "d1#0", "a", "first"), ("new", "new#0", "n", "new")]
+    gone = spark.createDataFrame([("d2",)], "doc_id string")
+    assert upsert(frame(twice), target, docs=gone) > 0  # passages that documents no longer have go, also the last ones
+    want = [r for r in changed + rows[4:] if r[0] not in ("d1", "d2")] + [twice[1], twice[2]]
+    assert held() == sorted(want)
+    whole = spark.createDataFrame([(f"d{k}",) for k in range(250)] + [("new",)], "doc_id string")
+    assert upsert(frame([]), target, docs=whole) > 0 and held() == []
+
+
 def test_streamed_windows(spark, tmp_path):
     from quillspark.streaming import watch
 
