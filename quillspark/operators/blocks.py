@@ -7,6 +7,8 @@ reaches over its first number. Every task takes blocks; none takes a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -70,6 +72,35 @@ def framed(nodes: DataFrame, span: int = SPAN) -> DataFrame:
     return nodes.withColumn("block", F.explode(F.sequence(block_of("node_id", span), block_of("end_id", span))))
 
 
+def walked(rows: DataFrame, keys: list[str], each: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: T.StructType) -> DataFrame:
+    """The tuples that ``each`` makes of a key and its rows, for all keys: for groups that are no larger than a block, but may
+    be many and tiny. Partitions are sorted by key and walked once, so a group costs nothing beside its rows."""
+    n, types = len(keys), to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+
+        key, held, out = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:n] != key:
+                    out += each(key, held)
+                    held = []
+                    if len(out) > 20_000:
+                        yield packed(out)
+                        out = []
+                key = row[:n]
+                held.append(row[n:])
+        if held:
+            out += each(key, held)
+        if out:
+            yield packed(out)
+
+    others = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def _stacked(lower: pa.Table, upper: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``lower`` with rows of ``upper`` whose interval holds them: one merge in document order over a stack of open
     intervals, so the cost is the rows and the pairs."""

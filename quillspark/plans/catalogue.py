@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quillspark.plans import corpus_queries, document_queries, graph_queries, site_queries, tree_queries  # noqa: F401
+    from quillspark.plans import corpus_queries, document_queries, graph_queries, node_queries, site_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
