@@ -117,7 +117,10 @@ def matches(nodes: DataFrame, path: list[Step], bind: int | None = None, span: i
     for k, step in enumerate(flat.steps):
         mask = mask.bitwiseOR(F.when(step.test(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
     named = nodes.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("node_id", "end_id", "parent_id")], mask.alias("mask")).where("mask <> 0")
-    dealt = settled(blocks.framed(named, span).select("doc_id", "block", "node_id", "end_id", "parent_id", "mask"))
+    over_edge = blocks.block_of("node_id", span) != blocks.block_of("end_id", span)
+    whole = named.where(over_edge).isEmpty()  # then each block decides alone
+    dealt = blocks.framed(named, span).select("doc_id", "block", "node_id", "end_id", "parent_id", "mask")
+    dealt = dealt if whole else settled(dealt)
     numbers = lambda block: (block * span, (block + 1) * span - 1)
 
     def first(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -128,9 +131,8 @@ def matches(nodes: DataFrame, path: list[Step], bind: int | None = None, span: i
     kind = nodes.schema["doc_id"].dataType
     long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
     out = lambda *names: T.StructType([T.StructField("doc_id", kind), *long(*names)])
-    wide = dealt.where(blocks.block_of("node_id", span) != blocks.block_of("end_id", span))
     # Only documents that have nodes over an edge take part; the nodes that lie in one block decide alone.
-    over = dealt.join(wide.select("doc_id").distinct(), "doc_id", "left_semi")
+    over = dealt.join(dealt.where(over_edge).select("doc_id").distinct(), "doc_id", "left_semi")
     found = blocks.walked(over, ["doc_id", "block"], first, out("node_id", "end_id", "parent_id", "mask", "by_child", "by_any")).groupBy("doc_id", "node_id").agg(*[F.max(c).alias(c) for c in ("end_id", "parent_id", "mask")], *[F.bit_or(c).alias(c) for c in ("by_child", "by_any")])
 
     def across(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -138,8 +140,11 @@ def matches(nodes: DataFrame, path: list[Step], bind: int | None = None, span: i
         sat, _ = _satisfied(flat, nodes_, {}, {r[0]: list(r[4:]) for r in rows}, (float("-inf"), float("inf")))
         return [(key[0], r[0], sat[r[0]]) for r in nodes_]
 
-    decided = settled(blocks.walked(found.select("doc_id", "node_id", "end_id", "parent_id", "mask", "by_child", "by_any"), ["doc_id"], across, out("node_id", "sat")))
-    met = dealt.join(decided.select(F.col("doc_id").alias("d_"), F.col("node_id").alias("n_"), "sat"), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("node_id") == F.col("n_")), "left").drop("d_", "n_")
+    if whole:
+        met = dealt.withColumn("sat", F.lit(None).cast("long"))
+    else:
+        decided = settled(blocks.walked(found.select("doc_id", "node_id", "end_id", "parent_id", "mask", "by_child", "by_any"), ["doc_id"], across, out("node_id", "sat")))
+        met = dealt.join(decided.select(F.col("doc_id").alias("d_"), F.col("node_id").alias("n_"), "sat"), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("node_id") == F.col("n_")), "left").drop("d_", "n_")
 
     def second(key: tuple, found: list[tuple]) -> list[tuple]:
         doc, block = key
