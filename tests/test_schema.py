@@ -152,3 +152,12 @@ def test_registers_and_specs(spark):
     assert [r.ident for r in specs.select_modules(rows, take).collect()] == ["a"]
     local = spark.createDataFrame([("a", "z", "replace"), ("b", None, "delete"), ("n", "y", "add")], "ident string, module string, mode string")
     assert sorted((r.ident, r.module) for r in specs.overlay(rows, local).collect()) == [("a", "z"), ("c", "k"), ("n", "y")]
+
+
+def test_populated_classes_that_nothing_names_go():
+    text = """<x><classSpec ident="model.a"/><classSpec ident="model.b"/><classSpec ident="model.c"><classes><memberOf key="model.b"/></classes></classSpec><classSpec ident="model.none"/>
+    <classSpec ident="att.x"><classes><memberOf key="att.y"/></classes></classSpec><classSpec ident="att.y"/><classSpec ident="att.z"/><classSpec ident="att.named"/>
+    <elementSpec ident="p"><classes><memberOf key="model.a"/><memberOf key="att.x"/></classes><attList><attRef class="att.named"/></attList></elementSpec>
+    <elementSpec ident="q"><classes><memberOf key="model.c"/></classes><content><classRef key="model.b"/><classRef key="model.none"/></content></elementSpec></x>"""
+    kept = schema.pruned(schema.collect([nodes.read(text)]))
+    assert {i for k, i in kept if k == "class"} == {"model.b", "model.c", "att.x", "att.y", "att.named"} and ("element", "p") in kept
