@@ -139,7 +139,7 @@ def holding(context: DataFrame, nodes: DataFrame, axis: str, span: int = SPAN) -
     empty = to_arrow_schema(schema).empty_table()
 
     def run(below: pa.Table, above: pa.Table) -> pa.Table:
-        if not below.num_rows or not above.num_rows:  # an empty side comes without columns
+        if not below.num_rows or not above.num_rows:
             return empty
         a, b = _stacked(below, above)
         source, taken, other, met = (above, b, below, a) if keep == "upper" else (below, a, above, b)
