@@ -19,7 +19,7 @@ from quillspark.plans.rules import RuleSet
 from quillspark.tree import nodes, packages, pages, passages, xpath
 from quillspark.tree.behaviours import param_text
 from quillspark.tree.nodes import Node
-from quillspark.tree.process import Process, flat_records, record_text
+from quillspark.tree.process import Process, flat_records
 
 _TEXT, _INT, _MAP = T.StringType(), T.IntegerType(), T.MapType(T.StringType(), T.StringType())
 #: Bytes of register documents that are sent to the tasks at most.
@@ -106,15 +106,19 @@ def recorded(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup
 
         def make(key, value):
             found = process.transform([nodes.read(value, setup.kind)])
-            texts = []
+            texts: list[str] = []
 
-            def collect(items):
-                for r in items:
-                    if isinstance(r, dict):
-                        texts.append(record_text(r))
-                        collect(r.get("children", []))
+            def collect(r: dict) -> str:
+                """A record's text, and those of all below it, each worked out once."""
+                at = len(texts)
+                texts.append("")
+                inner = [c if isinstance(c, str) else (collect(c), c.get("suppressed")) for c in r.get("children", [])]
+                texts[at] = " ".join(" ".join(c if isinstance(c, str) else c[0] for c in inner if isinstance(c, str) or not c[1]).split())
+                return texts[at]
 
-            collect(found)
+            for r in found:
+                if isinstance(r, dict):
+                    collect(r)
             return [{"record_no": r["record_no"], "parent_no": r["parent_no"], "node_id": r["node_id"], "element": r.get("element"), "behaviour": r["behaviour"], "model": r.get("model"), "xml_id": r.get("id"), "xpath": r.get("xpath"), "params": [(k, xpath.text_of(v)) for k, v in sorted(r.get("params", {}).items())], "suppressed": bool(r.get("suppressed")), "own_text": r["own_text"], "text": t} for r, t in zip(flat_records(found), texts, strict=True)]
         return make
 
@@ -157,13 +161,15 @@ def rendered(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup
     return mapped(docs, start, _schema(output=_TEXT, error=_TEXT, metadata=_MAP), **names)
 
 
-def paged(docs: DataFrame, rules: RuleSet, settings: pages.PageSettings, channel: str = "web", setup: Setup | None = None, **names: str) -> DataFrame:
-    """Pages of each document with navigation, output and fragments; links between them are rewritten.
+def paged(docs: DataFrame, rules: RuleSet, settings: pages.PageSettings, channel: str = "web", setup: Setup | None = None, columns: list[str] | None = None, **names: str) -> DataFrame:
+    """Pages of each document with navigation, output and fragments; links between them are rewritten. Of the costly columns
+    (``title, output, fragments, anchors, images``) those that ``columns`` leaves out are null and cost nothing.
 
     A page is an output unit of its own: footnotes are numbered in it. Fragments are expressions with their own channel
     and parameters (project parameters, then the fragment's), evaluated once a document or once a page.
     """
     setup = setup or Setup()
+    made = {"title", "output", "fragments", "anchors", "images"} & set(columns if columns is not None else PAGES.names)
 
     def start():
         process = Process(rules, channel, setup.env(rules.prefixes), setup.order, setup.webcomponents, setup.css)
@@ -177,22 +183,30 @@ def paged(docs: DataFrame, rules: RuleSet, settings: pages.PageSettings, channel
             tree = nodes.read(value, setup.kind)
             found = pages.select(tree, settings, process.env)
             rows = pages.metadata(found, settings, str(key))
-            held = pages.anchors(found, [r["file"] for r in rows])
+            ids = [list(dict.fromkeys(x for n in page.walk() if n.kind == "e" and (x := n.id))) for page in found] if made & {"output", "anchors"} else []
+            held: dict[str, str] = {}
+            for r, own in zip(rows, ids, strict=False):
+                for x in own:
+                    held.setdefault(x, r["file"])
 
             def fragment(name: str, base: Node) -> str:
                 p = kept[name]
                 picked = [x for x in xpath.select_all(base, settings.fragments[name]["xpath"], p.env) if isinstance(x, Node)]
                 return p.out.finish(p.pieces(picked))
 
-            whole = {n: fragment(n, tree) for n, f in settings.fragments.items() if f.get("scope", "document") == "document"}
-            for r, page in zip(rows, found, strict=True):
-                pieces = process.pieces([page])
-                pictures = packages.images(pieces)
-                r["output"] = process.out.finish(pages.rewrite(pieces, r["file"], held, settings.link_pattern))
-                r["title"] = packages.chapter_title(pieces, page)
-                r["fragments"] = [(n, whole[n] if n in whole else fragment(n, page)) for n in settings.fragments]
-                r["anchors"] = list(dict.fromkeys(n.id for n in page.walk() if n.kind == "e" and n.id))
-                r["images"] = pictures
+            whole = {n: fragment(n, tree) for n, f in settings.fragments.items() if f.get("scope", "document") == "document"} if "fragments" in made else {}
+            for k, (r, page) in enumerate(zip(rows, found, strict=True)):
+                pieces = process.pieces([page]) if made & {"title", "output", "images"} else []
+                if "images" in made:
+                    r["images"] = packages.images(pieces)
+                if "output" in made:
+                    r["output"] = process.out.finish(pages.rewrite(pieces, r["file"], held, settings.link_pattern))
+                if "title" in made:
+                    r["title"] = packages.chapter_title(pieces, page)
+                if "fragments" in made:
+                    r["fragments"] = [(n, whole[n] if n in whole else fragment(n, page)) for n in settings.fragments]
+                if "anchors" in made:
+                    r["anchors"] = ids[k]
             return rows
         return make
 

@@ -36,9 +36,13 @@ def or_self(rows: DataFrame, found: DataFrame, key: str, value: str, own: Column
 
 def targets(nodes: DataFrame, attribute: str = "target") -> DataFrame:
     """``doc_id, node_id, target_id``: elements that point to another one of their document, by an id behind ``#``."""
-    points = nodes.where("kind = 'e'").select("doc_id", "node_id", F.regexp_replace(F.try_element_at("attrs", F.lit(attribute)), "^#", "").alias("xml_id")).where("xml_id is not null")
-    named = nodes.where("xml_id is not null").groupBy("doc_id", "xml_id").agg(F.min("node_id").alias("target_id"))
-    return points.join(named, ["doc_id", "xml_id"])
+    point = F.when(F.col("kind") == "e", F.regexp_replace(F.try_element_at("attrs", F.lit(attribute)), "^#", ""))
+    none = F.lit(None).cast(nodes.schema["node_id"].dataType)
+    # Nodes come from parsing, so they are read once: pointers and ids meet in one table.
+    both = F.array(F.struct(point.alias("xml_id"), F.col("node_id"), none.alias("own_")), F.struct(F.col("xml_id"), none.alias("node_id"), F.col("node_id").alias("own_")))
+    rows = nodes.select("doc_id", F.inline(both)).where("xml_id is not null")
+    met = rows.withColumn("target_id", F.min("own_").over(Window.partitionBy("doc_id", "xml_id")))
+    return met.where("node_id is not null and target_id is not null").select("doc_id", "xml_id", "node_id", "target_id")
 
 
 def pointing_note(anchors: DataFrame, notes: DataFrame) -> DataFrame:

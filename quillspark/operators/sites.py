@@ -19,11 +19,14 @@ def settled_table(df: DataFrame, name: str) -> DataFrame:
 
 def manifest(pages: DataFrame) -> DataFrame:
     """``doc_id, pages, anchors``: what a run made of each document, pages in order, and the file of each id (first page wins)."""
-    entry = F.struct("page_no", "page_id", "file", "xml_id", "xpath", "prev", "next", "title")
-    found = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("pages"))
-    held = pages.select("doc_id", "page_no", "file", F.explode("anchors").alias("anchor")).groupBy("doc_id", "anchor").agg(F.min_by("file", "page_no").alias("file"))
-    anchors = held.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("anchor", "file")))).alias("anchors"))
-    return found.join(anchors, "doc_id", "left")
+    names = ["page_no", "page_id", "file", "xml_id", "xpath", "prev", "next", "title"]
+    # Pages are rendered where they are read, so they are read once: the anchors travel with their page.
+    found = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names, F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors")))).alias("all_"))
+    held = F.flatten(F.transform("all_", lambda p: F.transform(p["anchors"], lambda a: F.struct(a.alias("anchor"), p["page_no"].alias("page_no"), p["file"].alias("file")))))
+    found = found.select("doc_id", F.transform("all_", lambda p: F.struct(*[p[n].alias(n) for n in names])).alias("pages"), F.array_sort(held).alias("held_"))
+    first = F.filter("held_", lambda h, k: (k == 0) | (h["anchor"] != F.get("held_", k - 1)["anchor"]))
+    anchors = F.map_from_entries(F.transform(first, lambda h: F.struct(h["anchor"].alias("anchor"), h["file"].alias("file"))))
+    return found.select("doc_id", "pages", F.when(F.size("held_") > 0, anchors).alias("anchors"))
 
 
 def merged_pages(runs: list[DataFrame]) -> DataFrame:
@@ -62,13 +65,19 @@ def parts(pages: DataFrame) -> DataFrame:
 
     ``content`` is JSON with the output and the ids of the neighbouring parts.
     """
-    key = part_key(F.create_map(F.lit("id"), F.col("xml_id"), F.lit("view"), F.lit("page")))
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    body = lambda c, ids: F.to_json(F.struct(c.alias("content"), *ids))
-    whole = pages.select("doc_id", key.alias("key"), F.concat(stem(F.col("file")), F.lit(".json")).alias("file"), body(F.col("output"), [F.col("prev").alias("previousId"), F.col("next").alias("nextId")]).alias("content"))
-    rows = pages.select("doc_id", "xml_id", "file", F.explode("fragments").alias("name", "value"))
-    fragments = rows.select("doc_id", part_key(F.create_map(F.lit("id"), F.col("xml_id"), F.lit("part"), F.col("name"))).alias("key"), F.concat(stem(F.col("file")), F.lit("-"), text.file_stem(F.col("name")), F.lit(".json")).alias("file"), body(F.col("value"), []).alias("content"))
-    return whole.unionByName(fragments)
+    # Pages are rendered where they are read, so they are read once: a page gives its own part, without a name, and its fragments.
+    part = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    own = F.array(part(F.lit(None).cast("string"), F.col("output")))
+    made = F.when(F.col("fragments").isNull(), own).otherwise(F.concat(own, F.transform(F.map_entries("fragments"), lambda e: part(e["key"], e["value"]))))
+    rows = pages.select("doc_id", "xml_id", "file", "prev", "next", F.inline(made))
+    whole = F.col("name").isNull()
+    key = lambda what, value: part_key(F.create_map(F.lit("id"), F.col("xml_id"), F.lit(what), value))
+    return rows.select(
+        "doc_id", F.when(whole, key("view", F.lit("page"))).otherwise(key("part", F.col("name"))).alias("key"),
+        F.concat(stem(F.col("file")), F.when(whole, "").otherwise(F.concat(F.lit("-"), text.file_stem(F.col("name")))), F.lit(".json")).alias("file"),
+        F.to_json(F.struct(F.col("value").alias("content"), F.when(whole, F.col("prev")).alias("previousId"), F.when(whole, F.col("next")).alias("nextId"))).alias("content"),
+    )
 
 
 def write_files(rows: DataFrame, folder: str) -> int:

@@ -212,14 +212,14 @@ _DEEP = f"""{_ORDERS}, p AS (
 @query(f"""WITH {_DEEP} SELECT CAST(c AS VARCHAR) AS doc_id, CAST(page_no AS INTEGER) AS page_no, 'chunk-' || lpad(CAST(page_no AS VARCHAR), 3, '0') AS page_id, id || '.html' AS file, id AS xml_id, prev, next, title FROM q""")
 def page_split_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divisions to depth 2: a division with parts gives its introduction and then the parts."""
-    return documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), pages.PageSettings("divisions", 2)).select("doc_id", "page_no", "page_id", "file", "xml_id", "prev", "next", "title")
+    return documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), pages.PageSettings("divisions", 2), columns=["title"]).select("doc_id", "page_no", "page_id", "file", "xml_id", "prev", "next", "title")
 
 
 @query(f"""WITH {_DEEP}, f AS (SELECT c, min(id) FILTER (page_no = 1) AS first FROM q GROUP BY 1)
     SELECT CAST(q.c AS VARCHAR) AS doc_id, q.id || '.html' AS file, 'o' || q.k || '.html' AS here, '#c1' AS other FROM q WHERE h = 0""")
 def page_split_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages: to the own page by its anchor, to what no page holds unchanged."""
-    made = documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), pages.PageSettings("divisions", 2, "{xml_id}.html"))
+    made = documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), pages.PageSettings("divisions", 2, "{xml_id}.html"), columns=["output"])
     hrefs = F.regexp_extract_all("output", F.lit('href="([^"]*)"'), F.lit(1))
     here = F.when(hrefs[0] == F.concat(F.lit("#"), "xml_id"), F.col("file")).otherwise(hrefs[0])
     return made.where(F.size(hrefs) > 0).select("doc_id", "file", here.alias("here"), hrefs[1].alias("other"))
@@ -232,17 +232,9 @@ def page_split_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_split_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages from break to break, carved across divisions: no text is lost but what stands before the first break, none doubled."""
     rules = RuleSet.parse(CUSTOMER_RULES)
-    made = documents.paged(_customers(spark, sf_dir), rules, pages.PageSettings("pages"), "plain")
-    single = F.count("*").over(_by("doc_id")) == 1
+    made = documents.paged(_customers(spark, sf_dir), rules, pages.PageSettings("pages"), "plain", columns=["output"])
     text = F.trim(F.regexp_replace("output", r"\s+", " "))
-    # A document of one break is carved from its whole text, as are the others' pages from what their breaks share.
-    return made.withColumn("single", single).select("doc_id", "page_no", "xml_id", text.alias("text"))
-
-
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
+    return made.select("doc_id", "page_no", "xml_id", text.alias("text"))
 
 
 @query(f"""WITH {_ORDERS}, u AS (
@@ -272,7 +264,7 @@ def unit_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments beside a page: one of the document, one of the page."""
     settings = pages.PageSettings("divisions", 2, fragments={"title": {"xpath": "//titleStmt/title", "channel": "plain"}, "own": {"xpath": "p/name", "scope": "page", "channel": "plain"}})
-    made = documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), settings)
+    made = documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), settings, columns=["fragments"])
     return made.select("doc_id", F.col("xml_id").alias("id"), F.col("fragments")["title"].alias("title"), F.col("fragments")["own"].alias("own"))
 
 

@@ -62,7 +62,7 @@ def note_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DEEP} SELECT CAST(c AS VARCHAR) AS doc_id, 'o' || k AS target, count(*) AS n FROM q WHERE h = 0 GROUP BY 1, 2 UNION ALL SELECT '1', 'c1', count(*) FROM d WHERE c = 1 HAVING count(*) > 0""")
 def idref_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of shredded documents that point to another element of theirs."""
-    found = shred(_customers(spark, sf_dir))
+    found = shred(_customers(spark, sf_dir), columns=["doc_id", "node_id", "kind", "attrs", "xml_id"])
     met = registers.targets(found)
     return met.groupBy("doc_id", F.col("xml_id").alias("target")).agg(F.count("*").alias("n"))
 
@@ -77,27 +77,27 @@ def picture_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sites
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     settings = pages.PageSettings("divisions", 2, fragments={"own": {"xpath": "p/name", "scope": "page", "channel": "plain"}})
-    return documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), settings)
+    return documents.paged(_customers(spark, sf_dir), RuleSet.parse(CUSTOMER_RULES), settings, columns=list(columns))
 
 
 @query(f"""WITH {_DEEP} SELECT CAST(c AS VARCHAR) AS doc_id, arg_min(title, page_no) AS title, c || '/' || arg_min(id, page_no) || '.html' AS href, CAST(count(*) AS INTEGER) AS n_pages FROM q GROUP BY c""")
 def site_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collection's index, from the manifests of documents."""
-    return sites.collection_index(sites.manifest(_pages(spark, sf_dir)))
+    return sites.collection_index(sites.manifest(_pages(spark, sf_dir, "title")))
 
 
 @query(f"""WITH {_DEEP} SELECT CAST(c AS VARCHAR) AS doc_id, id AS anchor, id || '.html' AS file FROM q""")
 def site_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of ids, from the manifests."""
-    return sites.manifest(_pages(spark, sf_dir)).select("doc_id", F.explode("anchors").alias("anchor", "file"))
+    return sites.manifest(_pages(spark, sf_dir, "anchors")).select("doc_id", F.explode("anchors").alias("anchor", "file"))
 
 
 @query(f"""WITH {_DEEP} SELECT CAST(c AS VARCHAR) AS doc_id, 'id=' || id || '&view=page' AS key, id || '.json' AS file FROM q UNION ALL SELECT CAST(c AS VARCHAR), 'id=' || id || '&part=own', id || '-own.json' FROM q""")
 def site_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of pages with their keys."""
-    return sites.parts(_pages(spark, sf_dir)).select("doc_id", "key", "file")
+    return sites.parts(_pages(spark, sf_dir, "output", "fragments")).select("doc_id", "key", "file")
 
 
 @query("""WITH r AS (SELECT 0 AS run, o_custkey AS doc_id, 'a' || o_orderkey % 4 AS anchor, 'f' || min(o_orderkey) AS file FROM orders WHERE o_orderstatus = 'F' GROUP BY 2, 3 UNION ALL SELECT 1, o_custkey, 'a' || o_orderkey % 4, 'f' || min(o_orderkey) FROM orders WHERE o_orderstatus <> 'F' GROUP BY 2, 3)

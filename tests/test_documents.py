@@ -138,3 +138,31 @@ def test_fragment_and_images():
     assert packages.fragment(["a ", nodes.Node("e", "b")]) == "<div>a <b></b></div>" and packages.fragment([nodes.Node("e", "p")]) == "<p></p>"
     pics = [nodes.Node("e", "img", attrs={"src": s}) for s in ("a.png", "http://x/b.png", "../c.png", "/d.png", "a.png")]
     assert packages.images(pics) == ["a.png"]
+
+
+def test_pages_are_read_once_and_made_by_columns(spark):
+    """Parts, manifests and targets of pointers take their input, which is parsed where it is read, only once."""
+    from quillspark.operators import documents, registers, sites
+    from quillspark.plans.rules import RuleSet
+    from quillspark.sources.markup import shred
+    from quillspark.tree import pages
+
+    raw = "<TEI><text><body>" + "".join(f'<div xml:id="d{k}"><head>H{k}</head><p xml:id="x">t <name>n{k}</name></p><ref target="#d0">r</ref></div>' for k in range(3)) + "</body></text></TEI>"
+    docs = spark.createDataFrame([("a", raw), ("b", "<TEI><text><body/></text></TEI>")], "doc_id string, raw string")
+    rules = RuleSet.parse('<schemaSpec ns=""><elementSpec ident="div"><model behaviour="section"/></elementSpec><elementSpec ident="head"><model behaviour="heading"/></elementSpec></schemaSpec>')
+    settings = pages.PageSettings("divisions", 1, fragments={"own": {"xpath": "p/name", "scope": "page", "channel": "plain"}})
+    whole = documents.paged(docs, rules, settings)
+    once = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    parts, manifest, met = sites.parts(whole), sites.manifest(whole), registers.targets(shred(docs))
+    assert once(parts) and once(manifest) and once(met)
+    assert sorted((r.key, r.file) for r in parts.collect())[:2] == [("id=d0&part=own", "d0-own.json"), ("id=d0&view=page", "d0.json")]
+    assert {r.content for r in parts.where("key like '%part=own'").collect()} == {f'{{"content":"n{k}"}}' for k in range(3)}
+    (row,) = manifest.collect()
+    assert row.anchors == {"d0": "d0.html", "d1": "d1.html", "d2": "d2.html", "x": "d0.html"} and [p.title for p in row.pages] == ["H0", "H1", "H2"]
+    assert sorted(r.node_id > r.target_id for r in met.collect()) == [True] * 3
+    full = {r.xml_id: r for r in whole.collect()}
+    for columns in (["title"], ["output"], ["fragments"], ["anchors", "images"], []):
+        for r in documents.paged(docs, rules, settings, columns=columns).collect():
+            for c in ("title", "output", "fragments", "anchors", "images"):
+                assert r[c] == (full[r.xml_id][c] if c in columns else None)
+            assert (r.file, r.prev, r.next, r.xpath) == (full[r.xml_id].file, full[r.xml_id].prev, full[r.xml_id].next, full[r.xml_id].xpath)
