@@ -46,26 +46,39 @@ def below(tag: str | None = None, where: str | None = None) -> Step:
 
 @dataclass
 class _Flat:
-    """A twig's steps in one list: the path first to last, branches behind. ``need`` has each one's branches."""
+    """The steps of twigs in one list: each one's path first to last, its branches behind. ``need`` has each step's branches,
+    ``paths`` the places of each twig's path."""
 
-    steps: list[Step]
-    parent: list[int]
-    need: list[int]
-    path: int
+    steps: list[Step] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    need: list[int] = field(default_factory=list)
+    paths: list[list[int]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, path: list[Step]) -> _Flat:
-        flat = cls(list(path), [k - 1 for k in range(len(path))], [0] * len(path), len(path))
-        todo = [(k, b) for k, s in enumerate(path) for b in s.branches]
-        while todo:
-            k, step = todo.pop()
-            flat.need[k] |= 1 << len(flat.steps)
-            todo += [(len(flat.steps), b) for b in step.branches]
-            flat.steps.append(step)
-            flat.parent.append(k)
-            flat.need.append(0)
+    def of(cls, *paths: list[Step]) -> _Flat:
+        flat = cls()
+        for path in paths:
+            own = list(range(len(flat.steps), len(flat.steps) + len(path)))
+            flat.paths.append(own)
+            flat.steps += path
+            flat.parent += [-1, *own[:-1]]
+            flat.need += [0] * len(path)
+            todo = [(k, b) for k, s in zip(own, path, strict=True) for b in s.branches]
+            while todo:
+                k, step = todo.pop()
+                flat.need[k] |= 1 << len(flat.steps)
+                todo += [(len(flat.steps), b) for b in step.branches]
+                flat.steps.append(step)
+                flat.parent.append(k)
+                flat.need.append(0)
+        if len(flat.steps) > 63:
+            raise ValueError(f"{len(flat.steps)} steps are too many for one walk")
         return flat
 
+    def branches(self) -> int:
+        """The steps on no path, as bits."""
+        return ~sum(1 << k for own in self.paths for k in own)
+
     def children(self) -> int:
         """The steps that hang on their parents as children, as bits."""
         return sum(1 << k for k, s in enumerate(self.steps) if s.axis == "child")
@@ -79,7 +92,7 @@ def _satisfied(flat: _Flat, rows: list[tuple], known: dict[int, int], got: dict[
     decided here; those that reach over an edge have more below them.
     """
     direct, sat, stack = flat.children(), {}, []
-    branches = ~((1 << flat.path) - 1)
+    branches = flat.branches()
 
     def close() -> None:
         node, end, parent, mask = stack.pop()
@@ -112,7 +125,13 @@ def matches(nodes: DataFrame, path: list[Step], bind: int | None = None, span: i
     ``nodes`` is a node table (``doc_id, node_id, end_id, parent_id, kind, tag`` and what conditions ask for), read twice. A
     first step that is a child is a root. Steps name elements; a node without a match gives no row.
     """
-    flat = _Flat.of(path)
+    return several(nodes, [(path, bind)], span).select("doc_id", "node_id", *([] if bind is None else ["context_id"]))
+
+
+def several(nodes: DataFrame, twigs: list[tuple[list[Step], int | None]], span: int = blocks.SPAN) -> DataFrame:
+    """``doc_id, node_id, twig, context_id``: what ``matches`` gives for each of several paths with their ``bind``, by number,
+    from one walk. ``context_id`` is null where nothing is bound."""
+    flat = _Flat.of(*[path for path, _ in twigs])
     mask = F.lit(0).cast("long")
     for k, step in enumerate(flat.steps):
         mask = mask.bitwiseOR(F.when(step.test(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -150,42 +169,44 @@ def matches(nodes: DataFrame, path: list[Step], bind: int | None = None, span: i
         doc, block = key
         rows, known = sorted(r[:4] for r in found), {r[0]: r[4] for r in found if r[4] is not None}
         sat, _ = _satisfied(flat, rows, known, {}, numbers(block))
-        last, made = flat.path - 1, []
+        made = []
         stack: list[tuple[int, int, int, int, dict[int, list[int]]]] = []  # node, end, steps reached, those of ancestors too, contexts
         for node, end, parent, _ in rows:
             while stack and stack[-1][1] < node:
                 stack.pop()
             top = stack[-1] if stack else None
-            reached, ways = 0, {}
-            for k in range(flat.path):
-                if not sat.get(node, 0) >> k & 1:
-                    continue
-                up = flat.parent[k]
-                if up < 0:
-                    if flat.steps[k].axis == "child" and parent is not None:
+            reached, ways, own = 0, {}, sat.get(node, 0)
+            for twig, (path, (_, bind)) in enumerate(zip(flat.paths, twigs, strict=True)):
+                for at, k in enumerate(path):
+                    if not own >> k & 1:
+                        continue
+                    up = flat.parent[k]
+                    if up < 0:
+                        if flat.steps[k].axis == "child" and parent is not None:
+                            continue
+                    elif top is None or not (top[2] >> up & 1 and top[0] == parent if flat.steps[k].axis == "child" else top[3] >> up & 1):
                         continue
-                elif top is None or not (top[2] >> up & 1 and top[0] == parent if flat.steps[k].axis == "child" else top[3] >> up & 1):
-                    continue
-                reached |= 1 << k
-                if bind is not None and k >= bind:
-                    if k == bind:
-                        ways[k] = [node]
-                    elif flat.steps[k].axis == "child":
-                        ways[k] = top[4].get(up, [])
-                    else:
-                        ways[k] = sorted({c for entry in stack for c in entry[4].get(up, [])})
-            if reached >> last & 1 and node // span == block:
-                made += [(doc, node)] if bind is None else [(doc, node, c) for c in ways[last]]
+                    reached |= 1 << k
+                    if bind is not None and at >= bind:
+                        if at == bind:
+                            ways[k] = [node]
+                        elif flat.steps[k].axis == "child":
+                            ways[k] = top[4].get(up, [])
+                        else:
+                            ways[k] = sorted({c for entry in stack for c in entry[4].get(up, [])})
+                if reached >> path[-1] & 1 and node // span == block:
+                    made += [(doc, node, twig, None)] if bind is None else [(doc, node, twig, c) for c in ways[path[-1]]]
             stack.append((node, end, reached, reached | (top[3] if top else 0), ways))
         return made
 
-    return blocks.walked(met.select("doc_id", "block", "node_id", "end_id", "parent_id", "mask", "sat"), ["doc_id", "block"], second, out("node_id", *([] if bind is None else ["context_id"])))
+    return blocks.walked(met.select("doc_id", "block", "node_id", "end_id", "parent_id", "mask", "sat"), ["doc_id", "block"], second, out("node_id", "twig", "context_id"))
 
 
 def picked(found: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    """Matches with columns of their nodes."""
+    """Matches with columns of their nodes. Both sides grow with the nodes, so neither is ever sent to all tasks: by its
+    compressed bytes Spark would take a table of some hundred MB for a small one."""
     own = nodes.select(F.col("doc_id").alias("d_"), F.col("node_id").cast("long").alias("n_"), *columns)
-    return found.join(own, (F.col("doc_id") == F.col("d_")) & (F.col("node_id") == F.col("n_"))).drop("d_", "n_")
+    return found.hint("merge").join(own, (F.col("doc_id") == F.col("d_")) & (F.col("node_id") == F.col("n_"))).drop("d_", "n_")
 
 
 def placed(found: DataFrame) -> DataFrame:

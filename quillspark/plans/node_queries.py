@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import passages
-from quillspark.operators.twigs import below, child, matches, picked, placed
+from quillspark.operators.twigs import below, child, matches, picked, placed, several
 from quillspark.plans import corpus_queries, document_queries
 from quillspark.plans.catalogue import _SQL, query
 from quillspark.session import settled
@@ -23,51 +23,44 @@ def _numbered(found: DataFrame, name: str, value: Column) -> DataFrame:
     return found.where(value.isNotNull()).select("doc_id", F.lit(name).alias("name"), place.alias("item_no"), value.alias("value"))
 
 
-def _joined(found: DataFrame, value: Column, mark: str) -> DataFrame:
-    """``doc_id, value``: the items' texts in document order in one."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("at"), value.alias("v"))))
-    return found.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["v"]), mark).alias("value"))
+#: The paths of ``xml_xpath``'s expressions, with the step whose node is wanted beside the match.
+_TWIGS = {
+    "root": ([child()], None), "item": ([below("item")], None), "q": ([below("item"), child("q")], 0), "ref": ([below("ref")], None), "plain": ([below("note", "try_element_at(attrs, 'n') is null")], None),
+    "head": ([below("head")], None), "returned": ([below("item").having(child("q", "try_element_at(attrs, 'unit') = 'R'"))], None),
+}
 
 
 @query(_SQL["xml_xpath"])
 def node_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps, branches, positions, siblings, ids and aggregates over the orders' node table."""
+    """Steps, branches, positions, siblings, ids and aggregates over the orders' node table: all paths in one walk, all values
+    of a document in one aggregation. No side of a join is sent to all tasks."""
     table = settled(shred(document_queries._orders(spark, sf_dir)).where("kind = 'e'").select("doc_id", "node_id", "end_id", "parent_id", "kind", "tag", "attrs", "string_value", "xml_id"))
-    docs = table.where("parent_id is null").select("doc_id")
-    items = settled(placed(picked(matches(table, [below("item")]), table, "parent_id", "attrs")))
-    amounts = settled(picked(matches(table, [below("item"), child("q")], bind=0), table, "attrs", "string_value"))
-    refs = picked(matches(table, [below("ref")]), table, "attrs")
-    plain = picked(matches(table, [below("note", "try_element_at(attrs, 'n') is null")]), table, "string_value")
-    heads = picked(matches(table, [below("head")]), table, "string_value")
-    returned = picked(matches(table, [below("item").having(child("q", "try_element_at(attrs, 'unit') = 'R'"))]), table, "parent_id")
+    rows = settled(picked(several(table, list(_TWIGS.values())), table, "parent_id", "attrs", "string_value"))
+    is_ = lambda twig: F.col("twig") == list(_TWIGS).index(twig)
+    of = lambda twig: rows.where(is_(twig))
+    first = F.min(F.when(is_("returned"), F.col("node_id"))).over(Window.partitionBy("doc_id", "parent_id"))
+    items = settled(placed(rows.where(is_("item") | is_("returned")).withColumn("first", first).where(is_("item"))).select("doc_id", "node_id", "pos", "size", "first", _attribute("n").alias("n")))
+    pairs = of("q").select("doc_id", F.col("context_id").alias("node_id"), "string_value").hint("merge").join(items.where("pos <= 2").select("doc_id", "node_id", "n"), ["doc_id", "node_id"])
+    facets = passages.ordered_facets(of("q").withColumn("unit", _attribute("unit")), "doc_id", "unit", "node_id", "units")
+    heads = of("head").select("doc_id", F.concat(F.lit("o"), F.substring_index("string_value", " ", -1)).alias("xml_id"))
+    named = heads.hint("merge").join(table.where("xml_id is not null").select("doc_id", "xml_id", F.col("tag").alias("value")), ["doc_id", "xml_id"])
 
-    def one(name: str, found: DataFrame, empty: str | None = None) -> DataFrame:
-        rows = found if empty is None else docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("value", F.lit(empty)).alias("value"))
-        return rows.select("doc_id", F.lit(name).alias("name"), F.lit(1).alias("item_no"), F.col("value").cast("string").alias("value"))
+    def part(found: DataFrame, what: str, value: Column, at: str = "node_id") -> DataFrame:
+        return found.select("doc_id", F.lit(what).alias("what"), F.col(at).cast("long").alias("at"), value.cast("string").alias("value"))
 
-    number = F.col("string_value").cast("long")
-    first = returned.groupBy("doc_id", "parent_id").agg(F.min("node_id").alias("first"))
-    after = items.join(first, ["doc_id", "parent_id"]).where("node_id > first").groupBy("doc_id").agg(F.count("*").alias("value"))
-    named = heads.select("doc_id", F.concat(F.lit("o"), F.substring_index("string_value", " ", -1)).alias("xml_id")).join(table.select("doc_id", "xml_id", F.col("tag").alias("value")), ["doc_id", "xml_id"])
-    pairs = amounts.select("doc_id", F.col("context_id").alias("node_id"), "string_value").join(items.where("pos <= 2").select("doc_id", "node_id", "attrs"), ["doc_id", "node_id"])
-    facets = passages.ordered_facets(amounts.withColumn("unit", _attribute("unit")), "doc_id", "unit", "node_id", "units")
-    found = [
-        one("lines", items.groupBy("doc_id").agg(F.count("*").cast("string").alias("value")), "0"),
-        _numbered(items.where("pos = size"), "last", _attribute("n")),
-        one("sum", amounts.groupBy("doc_id").agg(F.sum(number).cast("string").alias("value")), "0"),
-        one("most", amounts.groupBy("doc_id").agg(F.max(number).alias("value"))),
-        one("refs", _joined(refs, _attribute("target"), " "), ""),
-        one("flags", facets.select("doc_id", F.array_join("units", "|").alias("value")), ""),
-        _numbered(plain, "notes", F.col("string_value")),
-        one("after", after.select("doc_id", F.col("value").cast("string").alias("value")), "0"),
-        one("id", named),
-        one("big", amounts.groupBy("doc_id").agg(F.when(F.max(number) > 49, "yes").alias("value")), "no"),
-        one("loop", _joined(pairs, F.concat(_attribute("n"), F.lit(":"), F.col("string_value")), ";"), ""),
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    parts = part(of("root"), "root", F.lit(None)).unionByName(part(items, "item", F.when(F.col("node_id") > F.col("first"), "after"))).unionByName(part(of("q"), "q", F.col("string_value"))).unionByName(part(of("ref"), "ref", _attribute("target")))
+    parts = parts.unionByName(part(pairs, "pair", F.concat("n", F.lit(":"), "string_value"))).unionByName(part(facets.withColumn("node_id", F.lit(0)), "flags", F.array_join("units", "|")))
+    some = lambda what, value: F.when(F.col("what") == what, value)
+    joined = lambda what, mark: F.array_join(F.transform(F.array_sort(F.collect_list(some(what, F.struct("at", "value")))), lambda s: s["value"]), mark)
+    number = some("q", F.col("value")).cast("long")
+    values = {
+        "lines": F.count(some("item", F.lit(1))), "sum": F.coalesce(F.sum(number), F.lit(0)), "most": F.max(number), "refs": joined("ref", " "), "flags": F.coalesce(F.max(some("flags", F.col("value"))), F.lit("")),
+        "after": F.count(some("item", F.col("value"))), "big": F.when(F.max(number) > 49, "yes").otherwise("no"), "loop": joined("pair", ";"),
+    }
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(1).alias("item_no"), F.col(name).cast("string").alias("value")) for name in values])
+    whole = parts.groupBy("doc_id").agg(*[value.alias(name) for name, value in values.items()]).select("doc_id", F.inline(each)).where("value is not null")
+    ids = named.select("doc_id", F.lit("id").alias("name"), F.lit(1).alias("item_no"), "value")
+    return whole.unionByName(_numbered(items.where("pos = size"), "last", F.col("n"))).unionByName(_numbered(of("plain"), "notes", F.col("string_value"))).unionByName(ids)
 
 
 @query(_SQL["page_links"])

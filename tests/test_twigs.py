@@ -1,12 +1,16 @@
 """Twigs against nested loops over parsed documents, with blocks far smaller than these."""
 
+import os
 import random
 
 import pytest
 
-from quillspark.operators.twigs import below, child, matches, placed
+from quillspark.operators.twigs import below, child, matches, picked, placed, several
+from quillspark.plans import catalogue
 from quillspark.sources.markup import shred
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def table(spark):
@@ -63,3 +67,28 @@ def test_places_count_under_one_parent(table):
     for r in rows:
         mine = sorted(x.node_id for x in rows if (x.doc_id, x.parent_id) == (r.doc_id, r.parent_id))
         assert got[r.doc_id, r.node_id] == (mine.index(r.node_id) + 1, len(mine))
+
+
+@pytest.mark.parametrize("span", [5, 1 << 14])
+def test_several_twigs_in_one_walk_are_those_of_single_walks(table, span):
+    rows = [r.asDict() for r in table.collect()]
+    twigs = [(path, 0 if k in (2, 3, 7) else None) for k, path in enumerate(PATHS)]
+    got = [tuple(r) for r in several(table, twigs, span).select("twig", "doc_id", "node_id", "context_id").collect()]
+    want = {(k, *found) for k, (path, bind) in enumerate(twigs) for found in walk(rows, path, bind)}
+    assert len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(ValueError):
+        several(table, [(path, None) for path in PATHS] * 5)
+
+
+def test_columns_of_matches_are_not_broadcast(table):
+    found = picked(matches(table, [below("a")]), table, "tag")
+    assert {r.tag for r in found.collect()} == {"a"}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_node_tables_give_what_trees_give(spark):
+    found = catalogue.queries()["node_xpath"](spark, DATA)
+    got = sorted((r.doc_id, r.name, r.item_no, r.value) for r in found.collect())
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted((r.doc_id, r.name, r.item_no, r.value) for r in catalogue.queries()["xml_xpath"](spark, DATA).collect())
