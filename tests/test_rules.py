@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from quillspark.engine import Config, Engine
@@ -7,6 +9,7 @@ from quillspark.plans.rules import RuleSet
 from quillspark.tree.pages import PageSettings
 from quillspark.tree.passages import Field, Options
 
+DATA = "/root/testdata/sf0.001"
 RULES = """<schemaSpec ns="">
 <elementSpec ident="doc"><model behaviour="document"/></elementSpec>
 <elementSpec ident="div"><model behaviour="section"/></elementSpec>
@@ -112,3 +115,13 @@ def test_epub(engine, docs):
 def test_expressions(spark, expression, want):
     row = spark.createDataFrame([("p", {"a": "x"}, ["doc", "div"], ["p", "p"], [], [], "hello")], "tag string, attrs map<string,string>, anc_tags array<string>, child_tags array<string>, before_tags array<string>, after_tags array<string>, string_value string")
     assert row.select(compile_test(expression)[0].alias("t")).first().t is want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_unused_rules_meet_fired_ones_once(spark):
+    """Rows that a rule won are not brought together by its key: each task hands on the key alone."""
+    from quillspark.plans import catalogue
+
+    found = catalogue.queries()["rule_unused"](spark, DATA)
+    assert sorted(r.rule_key for r in found.collect()) == ["tei-A1", "tei-A2"]
+    assert "Aggregate [rule_key" in found._jdf.queryExecution().optimizedPlan().toString()
