@@ -280,7 +280,7 @@ def rule_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()  # a register of 20 entries
     register = "<list>" + "".join(f'<nation xml:id="n{r["n_nationkey"]}"><name>{r["n_name"]}</name></nation>' for r in rows) + "</list>"
     docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _joined('<c key="n', "{c_nationkey}", '">', "{c_custkey}", "</c>").alias("raw"))
-    return documents.rendered(docs, RuleSet.parse(REGISTER_RULES), "web", documents.Setup(registers={"nations": register})).select("doc_id", "output")
+    return documents.rendered(documents.dealt(docs), RuleSet.parse(REGISTER_RULES), "web", documents.Setup(registers={"nations": register})).select("doc_id", "output")
 
 
 # ---------------------------------------------------------------- one document for each supplier: the other behaviours
@@ -320,7 +320,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"/><lb/><cb n="2"/>en<g ref="char:EOLhyphen"/> \n  ', 'd<m>hit</m><src lang="xml">a  <i/></src><kbd>x</kbd><part size="', "{s_suppkey}", '">w</part><pass>in</pass><t>text</t><b rend="big">', "{s_name}", "</b><hid>no</hid><gloss><label>L</label><entry>E</entry></gloss>",
         '<side>aside</side><anchor xml:id="a1" n="a"/>word<note target="#a1" n="a">range</note></doc>',
     )
-    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw"))
+    return documents.dealt(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), raw.alias("raw")))
 
 
 def _supplier_output(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:

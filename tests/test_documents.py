@@ -166,3 +166,13 @@ def test_pages_are_read_once_and_made_by_columns(spark):
             for c in ("title", "output", "fragments", "anchors", "images"):
                 assert r[c] == (full[r.xml_id][c] if c in columns else None)
             assert (r.file, r.prev, r.next, r.xpath) == (full[r.xml_id].file, full[r.xml_id].prev, full[r.xml_id].next, full[r.xml_id].xpath)
+
+
+@pytest.mark.parametrize("name", ["rule_template", "xml_behaviours_html"])
+def test_documents_from_narrow_tables_are_dealt_out(spark, name, tmp_path):
+    from quillspark.plans import catalogue
+
+    for k in ("customer", "supplier", "nation"):
+        spark.range(40).selectExpr("id AS c_custkey", "id % 20 AS c_nationkey", "id AS s_suppkey", "concat('Supplier#', id) AS s_name", "id AS n_nationkey", "concat('N', id) AS n_name").coalesce(1).write.parquet(str(tmp_path / f"{k}.parquet"))
+    found = catalogue.queries()[name](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 40
