@@ -6,6 +6,7 @@ document's tree must fit in one task; register documents are sent to all tasks,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import registry
 from quillspark.plans.rules import RuleSet
-from quillspark.tree import nodes, packages, pages, passages, xpath
+from quillspark.tree import nodes, packages, pages, passages, shapes, xpath
 from quillspark.tree.behaviours import param_text
 from quillspark.tree.nodes import Node
 from quillspark.tree.process import Process, flat_records
@@ -83,6 +84,12 @@ def dealt(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return docs.repartition(partitions or 2 * docs.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread(table: DataFrame) -> int:
+    """Partitions for a shuffle of a table, at least twice the cores, else in proportion to the table. Spark joins the partitions of a shuffle by
+    their packed bytes; narrow rows pack so well that a task would get ever more of them. It keeps a number that is given."""
+    return max(2 * table.sparkSession.sparkContext.defaultParallelism, 8 * table.rdd.getNumPartitions())
+
+
 def evaluated(docs: DataFrame, expressions: dict[str, str], setup: Setup | None = None, **names: str) -> DataFrame:
     """``doc_id, name, item_no, value`` of the items that expressions give in each document; an error gives none."""
     setup = setup or Setup()
@@ -147,17 +154,21 @@ def record_trees(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: S
 
 
 def rendered(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup | None = None, **names: str) -> DataFrame:
-    """``doc_id, output, error, metadata``: each document in a channel."""
-    setup = setup or Setup()
+    """``doc_id, output, error, metadata``: each document in a channel. A shape that comes again is rendered once (``shapes``)."""
+    setup, job = setup or Setup(), uuid.uuid4().hex
 
     def start():
         process = Process(rules, channel, setup.env(rules.prefixes), setup.order, setup.webcomponents, setup.css)
 
-        def make(key, value):
+        def render(value) -> dict:
             tree = nodes.read(value, setup.kind)
             output = process.transform([tree])
-            return [{"output": output, "error": nodes.error_of(tree), "metadata": [(k, "; ".join(v)) for k, v in process.run.metadata.items()]}]
-        return make
+            return {"output": output, "error": nodes.error_of(tree), "metadata": [(k, "; ".join(v)) for k, v in process.run.metadata.items()]}
+
+        if setup.kind != "xml":
+            return lambda key, value: [render(value)]
+        made = shapes.of_job(job, lambda: shapes.Shapes(process, render))
+        return lambda key, value: [made(value)]
 
     return mapped(docs, start, _schema(output=_TEXT, error=_TEXT, metadata=_MAP), **names)
 

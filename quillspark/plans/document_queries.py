@@ -46,11 +46,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, raw``: an order with its lines."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("int").alias("qty")).alias("l"))
     items = F.transform(F.array_sort(F.collect_list("l")), lambda l: F.concat(F.lit('<item n="'), l["l_linenumber"].cast("string"), F.lit('"><ref target="#p'), l["part"].cast("string"), F.lit('">part '), l["part"].cast("string"), F.lit('</ref> <q unit="'), l["flag"], F.lit('">'), l["qty"].cast("string"), F.lit("</q></item>")))
-    grouped = lines.groupBy("l_orderkey").agg(F.array_join(items, "").alias("items"))
+    # Narrow rows are dealt out by order, and documents are written where they are processed: their text is not shuffled.
+    n = documents.spread(lines)
+    grouped = lines.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(items, "").alias("items"))
     note = F.when(F.col("o_orderstatus") == "F", "<note>done</note>").when(F.col("o_orderstatus") == "O", '<note n="a">open</note> and<note>more</note>').otherwise("")
-    rows = _table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").repartition(n, "o_orderkey")
+    rows = orders.join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     raw = _joined('<order xml:id="o', "{o_orderkey}", '"><meta>', "{o_totalprice}", '</meta><head>Order <hi rend="bold">', "{o_orderkey}", "</hi></head><p>Status ", "{o_orderstatus}", note, ' <choice><orig>olde</orig><reg>old</reg></choice>.</p><list type="ordered">', "{items}", "</list></order>")
-    return documents.dealt(rows.select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw")))
+    return rows.select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw"))
 
 
 _LINES = """l AS (SELECT *, place = count(*) OVER (PARTITION BY k) AS final FROM (
