@@ -128,11 +128,13 @@ def write_pages(pages: DataFrame, folder: str, template: str | None = None) -> i
     return write_files(files.unionByName(index), folder)
 
 
-def page_links(records: DataFrame, anchors: DataFrame) -> DataFrame:
+def page_links(records: DataFrame, anchors: DataFrame, partitions: int | None = None) -> DataFrame:
     """``href`` of index records ``doc_id, xml_id, entry, file``: the page that holds their id, else that of the id they were
-    entered by, else their own page."""
-    by = lambda name: anchors.select("doc_id", F.col("anchor").alias(name), F.col("file").alias(f"{name}_file"))
-    met = records.join(by("xml_id"), ["doc_id", "xml_id"], "left").join(by("entry"), ["doc_id", "entry"], "left")
+    entered by, else their own page. ``partitions`` (``documents.spread``) holds for each shuffle, so that what a task sorts does not grow."""
+    dealt = lambda df, name: df if partitions is None else df.repartition(partitions, "doc_id", name)
+    by = lambda name: dealt(anchors, "anchor").select("doc_id", F.col("anchor").alias(name), F.col("file").alias(f"{name}_file"))
+    met = dealt(records, "xml_id").join(by("xml_id"), ["doc_id", "xml_id"], "left")
+    met = dealt(met, "entry").join(by("entry"), ["doc_id", "entry"], "left")
     link = lambda name: F.concat(f"{name}_file", F.lit("#"), name)
     return met.withColumn("href", F.coalesce(link("xml_id"), link("entry"), "file")).drop("xml_id_file", "entry_file")
 

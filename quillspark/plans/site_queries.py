@@ -127,8 +127,9 @@ def index_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = lambda c, n: F.concat(F.lit("p"), (F.col(c) % n).cast("string"))
     number = F.col("l_linenumber").cast("string")
     records = lines.select(F.col("l_orderkey").alias("doc_id"), mark("l_partkey", 7).alias("xml_id"), mark("l_suppkey", 5).alias("entry"), F.concat(F.lit("own"), number, F.lit(".html")).alias("file"))
-    anchors = lines.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p"), number).alias("anchor"), F.concat(F.lit("x"), number, F.lit(".html")).alias("file")).distinct()
-    return sites.page_links(records, anchors).groupBy("doc_id", "xml_id", "entry", "href").agg(F.count("*").alias("n"))
+    anchors = lines.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p"), number).alias("anchor"), F.concat(F.lit("x"), number, F.lit(".html")).alias("file"))
+    n = documents.spread(lines)
+    return sites.page_links(records, anchors.repartition(n, "doc_id", "anchor").distinct(), n).groupBy("doc_id", "xml_id", "entry", "href").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- schemas
