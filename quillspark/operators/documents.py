@@ -7,7 +7,7 @@ document's tree must fit in one task; register documents are sent to all tasks,
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -77,6 +77,31 @@ def mapped(docs: DataFrame, rows_of: Callable[[], Callable[[str, object], list[d
     return docs.select(F.col(id_).cast("string"), F.col(raw)).mapInArrow(run, whole)
 
 
+def filled(docs: DataFrame, start: Callable[[], Callable[[object, list[list]], int]], schema: T.StructType, id_: str = "doc_id", raw: str = "raw") -> DataFrame:
+    """``mapped`` for functions that add a document's rows to columns (``shapes.Filled``)."""
+    whole = T.StructType([T.StructField("doc_id", T.StringType()), *schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, add = to_arrow_schema(whole), start()
+        keys, columns = [], [[] for _ in schema]
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([keys, *columns], arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys += [key] * add(value, columns)
+                if len(keys) >= 10_000:
+                    yield packed()
+                    keys, columns = [], [[] for _ in schema]
+        if keys:
+            yield packed()
+
+    return docs.select(F.col(id_).cast("string"), F.col(raw)).mapInArrow(run, whole)
+
+
 def dealt(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """``docs`` dealt out to all cores. Spark sizes the partitions behind a join or an aggregation by bytes, but documents
     cost processor time: a table of some MB would be one task. For tables that a shuffle made, and for documents written from
@@ -91,29 +116,41 @@ def spread(table: DataFrame) -> int:
 
 
 def evaluated(docs: DataFrame, expressions: dict[str, str], setup: Setup | None = None, **names: str) -> DataFrame:
-    """``doc_id, name, item_no, value`` of the items that expressions give in each document; an error gives none."""
-    setup = setup or Setup()
+    """``doc_id, name, item_no, value`` of the items that expressions give in each document; an error gives none. For documents
+    of a known shape (``shapes``) expressions that look into no number are not evaluated, and the others on the shape's tree."""
+    setup, job = setup or Setup(), uuid.uuid4().hex
 
     def start():
         env = setup.env()
+        known = {n: s for n, s in expressions.items() if shapes.blind(s) is not None}
+        others = {n: s for n, s in expressions.items() if n not in known}
 
-        def make(key, value):
-            tree = nodes.read(value, setup.kind)
-            return [{"name": n, "item_no": k, "value": xpath.text_of(x)} for n, source in expressions.items() for k, x in enumerate(xpath.select_all(tree, source, env), 1)]
-        return make
+        def items(sources: dict[str, str], tree: Node) -> list[tuple]:
+            return [(n, k, xpath.text_of(x)) for n, source in sources.items() for k, x in enumerate(xpath.select_all(tree, source, env), 1)]
 
-    return mapped(docs, start, _schema(name=_TEXT, item_no=_INT, value=_TEXT), **names)
+        if setup.kind != "xml":
+            def make(value, out):
+                found = items(expressions, nodes.read(value, setup.kind))
+                for column, values in zip(out, zip(*found, strict=True), strict=False):
+                    column += values
+                return len(found)
+            return make
+        return shapes.of_job(job, lambda: shapes.Filled(lambda raw, tree: items(known, tree), 3, shapes.free(env), lambda tree: items(others, tree)))
 
+    return filled(docs, start, _schema(name=_TEXT, item_no=_INT, value=_TEXT), **names)
 
-def recorded(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup | None = None, **names: str) -> DataFrame:
-    """Decision records of a channel, in document order: behaviour, rule, parameters, own text, parent."""
-    setup = setup or Setup()
+
+def recorded(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup | None = None, columns: list[str] | None = None, **names: str) -> DataFrame:
+    """Decision records of a channel, in document order: behaviour, rule, parameters, own text, parent. ``columns`` are made alone,
+    where not all are asked for. A shape that comes again is worked out once (``shapes``)."""
+    setup, job = setup or Setup(), uuid.uuid4().hex
+    table = RECORDS if columns is None else T.StructType([RECORDS[c] for c in columns])
 
     def start():
         process = Process(rules, "json" if channel == "web" else f"json-{channel}", setup.env(rules.prefixes))
 
-        def make(key, value):
-            found = process.transform([nodes.read(value, setup.kind)])
+        def make(tree: Node) -> list[tuple]:
+            found = process.transform([tree])
             texts: list[str] = []
 
             def collect(r: dict) -> str:
@@ -124,13 +161,26 @@ def recorded(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup
                 texts[at] = " ".join(" ".join(c if isinstance(c, str) else c[0] for c in inner if isinstance(c, str) or not c[1]).split())
                 return texts[at]
 
-            for r in found:
-                if isinstance(r, dict):
-                    collect(r)
-            return [{"record_no": r["record_no"], "parent_no": r["parent_no"], "node_id": r["node_id"], "element": r.get("element"), "behaviour": r["behaviour"], "model": r.get("model"), "xml_id": r.get("id"), "xpath": r.get("xpath"), "params": [(k, xpath.text_of(v)) for k, v in sorted(r.get("params", {}).items())], "suppressed": bool(r.get("suppressed")), "own_text": r["own_text"], "text": t} for r, t in zip(flat_records(found), texts, strict=True)]
-        return make
+            flat = flat_records(found)
+            if "text" in table.names:
+                for r in found:
+                    if isinstance(r, dict):
+                        collect(r)
+            else:
+                texts = [""] * len(flat)
+            rows = [{"record_no": r["record_no"], "parent_no": r["parent_no"], "node_id": r["node_id"], "element": r.get("element"), "behaviour": r["behaviour"], "model": r.get("model"), "xml_id": r.get("id"), "xpath": r.get("xpath"), "params": [(k, xpath.text_of(v)) for k, v in sorted(r.get("params", {}).items())], "suppressed": bool(r.get("suppressed")), "own_text": r["own_text"], "text": t} for r, t in zip(flat, texts, strict=True)]
+            return [tuple(r[c] for c in table.names) for r in rows]
 
-    return mapped(docs, start, RECORDS, **names)
+        if setup.kind != "xml":
+            def add(value, out):
+                found = make(nodes.read(value, setup.kind))
+                for column, values in zip(out, zip(*found, strict=True), strict=False):
+                    column += values
+                return len(found)
+            return add
+        return shapes.of_job(job, lambda: shapes.Filled(lambda raw, tree: make(tree), len(table), shapes.blind_rules(process, True)))
+
+    return filled(docs, start, table, **names)
 
 
 def record_trees(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup | None = None, **names: str) -> DataFrame:
@@ -256,48 +306,88 @@ def facts(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup |
     setup = setup or Setup()
 
     def start():
-        env = setup.env(rules.prefixes)
-        process = Process(rules, "json" if channel == "web" else f"json-{channel}", env)
-
-        def make(key, value):
-            tree = nodes.read(value, setup.kind)
-            env.errors.clear()
-            found = flat_records(process.transform([tree]))
-            out: dict[tuple, list] = {}
-
-            def add(fact: str, name: str, detail: str | None = None, first: str | None = None, at: int = 0) -> None:
-                entry = out.setdefault((fact, name, detail), [0, first, at])
-                entry[0] += 1
-
-            shown = {r["node_id"] for r in found}
-            closed = {r["node_id"] for r in found if r.get("suppressed")}
-            for r in found:
-                add("records", "all")
-                if r.get("suppressed"):
-                    add("records", "suppressed")
-                add("behaviour", r["behaviour"] or "unmatched")
-                if r.get("model"):
-                    add("model", r["model"])
-                if r["behaviour"] is None:
-                    add("unmatched", r["element"], None, r["xpath"], r["node_id"])
-
-            def walk(n: Node, hidden: bool) -> None:
-                for c in n.elements():
-                    add("element", c.tag, None, c.xpath, c.node_id)
-                    lost = c.node_id not in shown
-                    if lost and not hidden:
-                        add("dropped", c.tag, None, c.xpath, c.node_id)
-                    walk(c, hidden or lost or c.node_id in closed)
-
-            walk(tree, False)
-            for e in xpath.error_log(env):
-                out["error", e["expression"], e["reason"]] = [e["n"], e["first"], 0]
-            return [{"fact": f, "key": k, "detail": d, "n": n, "first": first, "at": at} for (f, k, d), (n, first, at) in out.items()]
-        return make
+        _, of = _facts_of(rules, channel, setup)
+        return lambda key, value: of(nodes.read(value, setup.kind))
 
     return mapped(docs, start, FACTS, **names)
 
 
+def counted(docs: DataFrame, rules: RuleSet, channel: str = "web", setup: Setup | None = None, **names: str) -> DataFrame:
+    """``fact, key, detail, n``: the numbers that ``totals`` gives of facts. Each task adds up its own documents', and a shape that
+    comes again (``shapes``) is worked out once."""
+    setup, job = setup or Setup(), uuid.uuid4().hex
+
+    def shaped() -> shapes.Filled:
+        process, of = _facts_of(rules, channel, setup)
+        return shapes.Filled(lambda raw, tree: [(r["fact"], r["key"], r["detail"], r["n"]) for r in of(tree)], 4, setup.kind == "xml" and shapes.blind_rules(process, True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shapes.of_job(job, shaped)
+        times: dict[shapes.Rows, int] = {}
+        sums: dict[tuple, int] = {}
+
+        def add(found: Iterable[tuple], n: int) -> None:
+            for *key, own in found:
+                sums[tuple(key)] = sums.get(tuple(key), 0) + n * own
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                shape, _ = known.shape(raw)
+                if shape is not None and not shape.cells:
+                    times[shape] = times.get(shape, 0) + 1
+                else:
+                    add(known.rows(raw, nodes.read(raw, setup.kind)), 1)
+        for shape, n in times.items():
+            add(zip(*shape.columns, strict=True), n)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*sums, strict=True), list(sums.values())], (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["fact", "key", "detail", "n"])
+
+    own = docs.select(F.col(names.get("raw", "raw"))).mapInArrow(run, "fact string, key string, detail string, n long")
+    return own.groupBy("fact", "key", "detail").agg(F.sum("n").alias("n"))
+
+
+def _facts_of(rules: RuleSet, channel: str, setup: Setup) -> tuple[Process, Callable[[Node], list[dict]]]:
+    """What ``facts`` makes of a tree, and the process that it is made by."""
+    env = setup.env(rules.prefixes)
+    process = Process(rules, "json" if channel == "web" else f"json-{channel}", env)
+
+    def make(tree: Node) -> list[dict]:
+        env.errors.clear()
+        found = flat_records(process.transform([tree]))
+        out: dict[tuple, list] = {}
+
+        def add(fact: str, name: str, detail: str | None = None, first: str | None = None, at: int = 0) -> None:
+            entry = out.setdefault((fact, name, detail), [0, first, at])
+            entry[0] += 1
+
+        shown = {r["node_id"] for r in found}
+        closed = {r["node_id"] for r in found if r.get("suppressed")}
+        for r in found:
+            add("records", "all")
+            if r.get("suppressed"):
+                add("records", "suppressed")
+            add("behaviour", r["behaviour"] or "unmatched")
+            if r.get("model"):
+                add("model", r["model"])
+            if r["behaviour"] is None:
+                add("unmatched", r["element"], None, r["xpath"], r["node_id"])
+
+        def walk(n: Node, hidden: bool) -> None:
+            for c in n.elements():
+                add("element", c.tag, None, c.xpath, c.node_id)
+                lost = c.node_id not in shown
+                if lost and not hidden:
+                    add("dropped", c.tag, None, c.xpath, c.node_id)
+                walk(c, hidden or lost or c.node_id in closed)
+
+        walk(tree, False)
+        for e in xpath.error_log(env):
+            out["error", e["expression"], e["reason"]] = [e["n"], e["first"], 0]
+        return [{"fact": f, "key": k, "detail": d, "n": n, "first": first, "at": at} for (f, k, d), (n, first, at) in out.items()]
+
+    return process, make
+
+
 def totals(found: DataFrame) -> DataFrame:
     """Facts over all documents: ``fact, key, detail, n, documents, first``, the first place in the first document."""
     return found.groupBy("fact", "key", "detail").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("documents"), F.min_by(F.struct("doc_id", F.col("first").alias("xpath")), F.struct("doc_id", "at")).alias("first"))

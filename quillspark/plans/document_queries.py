@@ -138,7 +138,7 @@ def xml_typst(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(k AS VARCHAR) AS doc_id, element, behaviour, model, suppressed = 1 AS suppressed, own_text, params FROM r WHERE k IN (SELECT o_orderkey FROM orders)""")
 def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision records: first match, unmatched elements, suppression, parameters, alternates by their default."""
-    found = documents.recorded(_orders(spark, sf_dir), RuleSet.parse(ORDER_RULES))
+    found = documents.recorded(_orders(spark, sf_dir), RuleSet.parse(ORDER_RULES), columns=["element", "behaviour", "model", "params", "suppressed", "own_text"])
     shown = F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return found.select("doc_id", "element", "behaviour", "model", "suppressed", "own_text", shown.alias("params"))
 
@@ -174,7 +174,7 @@ def xml_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT fact, key, CAST(n AS BIGINT) AS n FROM r WHERE n > 0""")
 def xml_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A coverage report's counts: records, suppressed ones, rule hits, elements, unmatched and dropped ones."""
-    found = documents.totals(documents.facts(_orders(spark, sf_dir), RuleSet.parse(ORDER_RULES)))
+    found = documents.counted(_orders(spark, sf_dir), RuleSet.parse(ORDER_RULES))
     return found.where("fact <> 'behaviour'").select("fact", "key", "n")
 
 

@@ -76,3 +76,49 @@ def test_documents_of_their_own_are_left_alone(monkeypatch):
     shapes, render, _ = rendering(ORDER_RULES, "web")
     docs = [DOC.replace("Text", "x" * k) for k in range(40)]
     assert [shapes(d) for d in docs] == [render(d) for d in docs] and not shapes.on and not shapes.known
+
+
+def test_rows_of_a_known_shape_are_those_of_each_document():
+    from quillspark.plans.document_queries import _EXPRESSIONS
+    from quillspark.tree import xpath
+    from quillspark.tree.shapes import Filled, free
+
+    assert blind("//item[last()]/@n") and blind("string-join(//ref/@target, ' ')") and not blind("//item[last()]/@n > 1") and not blind("sum(//q)")
+    lines = list(itertools.product((1, 20, 300), "RAN", (0, 7, 50)))
+    docs = [order(n, *lines[n % 27 : n % 27 + n % 4], status="FOP"[n % 3]) for n in range(600)] + ["", "<a>1", "<order>5&#53;</order>"] * 4
+    env = xpath.Env()
+    items = lambda sources, tree: [(n, k, xpath.text_of(x)) for n, s in sources.items() for k, x in enumerate(xpath.select_all(tree, s, env), 1)]
+    known, others, made = {n: s for n, s in _EXPRESSIONS.items() if blind(s)}, {n: s for n, s in _EXPRESSIONS.items() if not blind(s)}, []
+    filled = Filled(lambda raw, tree: made.append(raw) or items(known, tree), 3, free(env), lambda tree: items(others, tree))
+    for raw in docs:
+        out = [[], [], []]
+        assert filled(raw, out) == len(out[0]) and sorted(zip(*out, strict=True)) == sorted(items(_EXPRESSIONS, nodes.read(raw)))
+    assert len(made) < len(docs) * 3 // 4 and filled.met > len(docs) // 2  # before, each document was evaluated by itself
+    assert any(rows is not None and rows.tree is not None for rows in filled.known.values())
+
+
+@pytest.mark.parametrize("columns", [None, ["own_text", "params", "suppressed"]])
+def test_records_of_a_known_shape(spark, columns, monkeypatch):
+    from quillspark.operators import documents
+
+    docs = [(n, order(n, (n, "RAN"[n % 3], n + 1), status="FO"[n % 2])) for n in range(60)] + [(99, None)]
+    table, rules = spark.createDataFrame(docs, "doc_id int, raw string").coalesce(1), RuleSet.parse(ORDER_RULES)
+    found = documents.recorded(table, rules, columns=columns)
+    assert columns is None or found.columns == ["doc_id", *columns]
+    process, want = Process(rules, "json"), []
+    for n, raw in docs:
+        from quillspark.tree.process import flat_records
+        want += [(str(n), r["own_text"], bool(r.get("suppressed"))) for r in flat_records(process.transform([nodes.read(raw)]))]
+    assert sorted((r.doc_id, r.own_text, r.suppressed) for r in found.collect()) == sorted(want)
+    assert blind_rules(process, True) and not blind_rules(process)
+
+
+def test_counts_are_those_of_all_facts(spark):
+    from quillspark.operators import documents
+
+    docs = [(n, order(n, (n, "RAN"[n % 3], n + 1), status="FO"[n % 2])) for n in range(60)] + [(98, "<order>1<b>"), (99, None), (100, "")]
+    table, rules = spark.createDataFrame(docs, "doc_id int, raw string").coalesce(1), RuleSet.parse(ORDER_RULES)
+    want = {(r.fact, r.key, r.detail, r.n) for r in documents.totals(documents.facts(table, rules)).collect()}
+    assert {tuple(r) for r in documents.counted(table, rules).collect()} == want
+    part = documents.counted(table, rules)
+    assert "MapInArrow" in part._jdf.queryExecution().executedPlan().toString() and part.columns == ["fact", "key", "detail", "n"]
