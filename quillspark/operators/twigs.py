@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 from quillspark.operators import blocks
 from quillspark.session import settled
 
+#: Rows of blocks and matches that a task keeps, for blocks with equal rows.
+KEPT_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Step:
@@ -165,9 +168,24 @@ def several(nodes: DataFrame, twigs: list[tuple[list[Step], int | None]], span:
         decided = settled(blocks.walked(found.select("doc_id", "node_id", "end_id", "parent_id", "mask", "by_child", "by_any"), ["doc_id"], across, out("node_id", "sat")))
         met = dealt.join(decided.select(F.col("doc_id").alias("d_"), F.col("node_id").alias("n_"), "sat"), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("node_id") == F.col("n_")), "left").drop("d_", "n_")
 
+    kept: dict[tuple, list[tuple]] = {}
+    held = [0]
+
     def second(key: tuple, found: list[tuple]) -> list[tuple]:
+        """The matches of a block. They follow from its rows, so blocks with equal rows (documents of one shape) are walked once."""
         doc, block = key
-        rows, known = sorted(r[:4] for r in found), {r[0]: r[4] for r in found if r[4] is not None}
+        found.sort()
+        mark = (block, *found)
+        made = kept.get(mark)
+        if made is None:
+            made = walk(block, found)
+            if held[0] < KEPT_ROWS:
+                held[0] += len(found) + len(made)
+                kept[mark] = made
+        return [(doc, *m) for m in made]
+
+    def walk(block: int, found: list[tuple]) -> list[tuple]:
+        rows, known = [r[:4] for r in found], {r[0]: r[4] for r in found if r[4] is not None}
         sat, _ = _satisfied(flat, rows, known, {}, numbers(block))
         made = []
         stack: list[tuple[int, int, int, int, dict[int, list[int]]]] = []  # node, end, steps reached, those of ancestors too, contexts
@@ -195,7 +213,7 @@ def several(nodes: DataFrame, twigs: list[tuple[list[Step], int | None]], span:
                         else:
                             ways[k] = sorted({c for entry in stack for c in entry[4].get(up, [])})
                 if reached >> path[-1] & 1 and node // span == block:
-                    made += [(doc, node, twig, None)] if bind is None else [(doc, node, twig, c) for c in ways[path[-1]]]
+                    made += [(node, twig, None)] if bind is None else [(node, twig, c) for c in ways[path[-1]]]
             stack.append((node, end, reached, reached | (top[3] if top else 0), ways))
         return made
 

@@ -34,7 +34,7 @@ _TWIGS = {
 def node_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps, branches, positions, siblings, ids and aggregates over the orders' node table: all paths in one walk, all values
     of a document in one aggregation. No side of a join is sent to all tasks."""
-    table = settled(shred(document_queries._orders(spark, sf_dir)).where("kind = 'e'").select("doc_id", "node_id", "end_id", "parent_id", "kind", "tag", "attrs", "string_value", "xml_id"))
+    table = settled(shred(document_queries._orders(spark, sf_dir), columns=["doc_id", "node_id", "end_id", "parent_id", "kind", "tag", "attrs", "string_value", "xml_id"], kinds="e"))
     rows = settled(picked(several(table, list(_TWIGS.values())), table, "parent_id", "attrs", "string_value"))
     is_ = lambda twig: F.col("twig") == list(_TWIGS).index(twig)
     of = lambda twig: rows.where(is_(twig))

@@ -189,10 +189,11 @@ class Rows:
 
 class Filled:
     """What ``rows`` makes of documents, as columns; for a shape that comes again from its numbers alone. ``on`` tells whether
-    ``rows`` copies numbers at most. ``more`` makes further rows of a tree, by looking into numbers: the shape's tree is kept."""
+    ``rows`` copies numbers at most. ``more`` makes further rows of a tree, by looking into numbers: the shape's tree is kept.
+    ``rows`` get no ``trees`` where they need none."""
 
-    def __init__(self, rows: Callable[[str, nodes.Node | None], list[tuple]], width: int, on: bool = True, more: Callable[[nodes.Node], list[tuple]] | None = None) -> None:
-        self.rows, self.width, self.on, self.more = rows, width, on, more
+    def __init__(self, rows: Callable[[str, nodes.Node | None], list[tuple]], width: int, on: bool = True, more: Callable[[nodes.Node], list[tuple]] | None = None, trees: bool = True) -> None:
+        self.rows, self.width, self.on, self.more, self.trees = rows, width, on, more, trees
         self.known: dict[tuple, Rows | None] = {}
         self.once: set[int] = set()
         self.room, self.tried, self.met = SHAPE_CHARS, 0, 0
@@ -229,7 +230,7 @@ class Filled:
         made = Rows(self.rows(*marked), self.width)
         if self.more is not None:
             made.hold(marked[1])
-        own, got = self.rows(raw, nodes.read(raw)), [[] for _ in range(self.width)]
+        own, got = self.rows(raw, nodes.read(raw) if self.trees else None), [[] for _ in range(self.width)]
         made.fill(parts, got)
         return made if [list(c) for c in zip(*own, strict=True)] == got or not own and not got[0] else None
 
@@ -244,7 +245,7 @@ class Filled:
                 tree.index = None
             made = []
         else:
-            tree = nodes.read(raw)
+            tree = nodes.read(raw) if self.trees else None
             made = self.rows(raw, tree)
         if self.more is not None:
             made = [*made, *self.more(tree)]

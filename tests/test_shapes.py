@@ -122,3 +122,32 @@ def test_counts_are_those_of_all_facts(spark):
     assert {tuple(r) for r in documents.counted(table, rules).collect()} == want
     part = documents.counted(table, rules)
     assert "MapInArrow" in part._jdf.queryExecution().executedPlan().toString() and part.columns == ["fact", "key", "detail", "n"]
+
+
+@pytest.mark.parametrize("kinds", [None, "e"])
+def test_nodes_of_a_known_shape(spark, kinds):
+    from quillspark.sources.markup import shred
+
+    docs = [(n, order(n, (n, "RAN"[n % 3], n + 1), status="FO"[n % 2])) for n in range(60)] + [(97, "<a>1<b x='2'>"), (98, "<a>3<b x='4'>"), (99, None), (100, ""), (101, "<!-- 1 --><a>&#49;</a>")] + [(n, f'<a n{n % 2}="{n}"><?p {n}?>{n}</a>') for n in range(200, 212)]
+    table = spark.createDataFrame(docs, "doc_id int, raw string").coalesce(1)
+    columns = ["doc_id", "node_id", "end_id", "parent_id", "kind", "tag", "attrs", "text", "string_value", "xml_id", "xpath", "parent_attrs"]
+    whole = shred(table).select(*columns)  # lines are asked for, so each document is parsed
+    want = [str(r) for r in (whole if kinds is None else whole.where(f"instr('{kinds}', kind) > 0")).collect()]
+    assert [str(r) for r in shred(table, columns=columns, kinds=kinds).collect()] == want
+
+
+def test_equal_blocks_are_walked_once(spark, monkeypatch):
+    from quillspark.operators import blocks, twigs
+    from quillspark.sources.markup import shred
+
+    docs = [(n, order(n, *[(n, "R", n)] * (n % 3))) for n in range(90)]
+    table = shred(spark.createDataFrame(docs, "doc_id int, raw string"), columns=["doc_id", "node_id", "end_id", "parent_id", "kind", "tag", "attrs"], kinds="e")
+    seen = {}
+    real = blocks.walked
+    monkeypatch.setattr(blocks, "walked", lambda rows, keys, each, schema: seen.update(each=each) or real(rows, keys, each, schema))
+    got = twigs.several(table, [([twigs.below("item")], None), ([twigs.below("item"), twigs.child("q")], 0)])
+    assert got.count() == 180
+    rows = [(0, 9, None, 1, None), (1, 1, 0, 1, None)]
+    once, walks = seen["each"], []
+    monkeypatch.setattr(twigs, "_satisfied", lambda *a: walks.append(1) or ({}, {}))
+    assert once(("a", 0), list(rows)) == once(("b", 0), rows[::-1]) == [] and len(walks) == 1  # before, each block was walked
