@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import registry
 from quillspark.plans.rules import RuleSet
-from quillspark.tree import nodes, packages, pages, passages, shapes, xpath
+from quillspark.tree import nodes, packages, pages, passages, segments, shapes, xpath
 from quillspark.tree.behaviours import param_text
 from quillspark.tree.nodes import Node
 from quillspark.tree.process import Process, flat_records
@@ -228,12 +228,22 @@ def paged(docs: DataFrame, rules: RuleSet, settings: pages.PageSettings, channel
     (``title, output, fragments, anchors, images``) those that ``columns`` leaves out are null and cost nothing.
 
     A page is an output unit of its own: footnotes are numbered in it. Fragments are expressions with their own channel
-    and parameters (project parameters, then the fragment's), evaluated once a document or once a page.
+    and parameters (project parameters, then the fragment's), evaluated once a document or once a page. Divisions of a shape that
+    comes again are made once (``segments``).
     """
-    setup = setup or Setup()
+    setup, job = setup or Setup(), uuid.uuid4().hex
     made = {"title", "output", "fragments", "anchors", "images"} & set(columns if columns is not None else PAGES.names)
 
     def start():
+        if setup.kind != "xml":
+            _, whole, _ = prepared()
+            return lambda key, value: whole(key, nodes.read(value, setup.kind))
+        return shapes.of_job(job, lambda: divided(*prepared()))
+
+    def divided(process: Process, whole: Callable, single: Callable) -> segments.Divided:
+        return segments.Divided(process, settings, whole, single, made)
+
+    def prepared():
         process = Process(rules, channel, setup.env(rules.prefixes), setup.order, setup.webcomponents, setup.css)
         kept: dict[str, Process] = {}
         for name, f in settings.fragments.items():
@@ -241,21 +251,31 @@ def paged(docs: DataFrame, rules: RuleSet, settings: pages.PageSettings, channel
             env.variables["parameters"] = dict(setup.variables.get("parameters", {})) | f.get("parameters", {})
             kept[name] = Process(rules, f.get("channel", channel), env, setup.order, setup.webcomponents)
 
-        def make(key, value):
-            tree = nodes.read(value, setup.kind)
+        def fragment(name: str, base: Node) -> str:
+            p = kept[name]
+            picked = [x for x in xpath.select_all(base, settings.fragments[name]["xpath"], p.env) if isinstance(x, Node)]
+            return p.out.finish(p.pieces(picked))
+
+        def ids_of(page: Node) -> list[str]:
+            return list(dict.fromkeys(x for n in page.walk() if n.kind == "e" and (x := n.id))) if made & {"output", "anchors"} else []
+
+        def single(tree: Node) -> list[tuple]:
+            out = []
+            for page in pages.select(tree, settings, process.env):
+                pieces = process.pieces([page]) if made & {"title", "output"} else None
+                title = packages.chapter_title(pieces, page) if "title" in made else None
+                out.append((page, title, pieces, ids_of(page), [fragment(n, page) for n in settings.fragments] if "fragments" in made else []))
+            return out
+
+        def make(key, tree):
             found = pages.select(tree, settings, process.env)
             rows = pages.metadata(found, settings, str(key))
-            ids = [list(dict.fromkeys(x for n in page.walk() if n.kind == "e" and (x := n.id))) for page in found] if made & {"output", "anchors"} else []
+            ids = [ids_of(page) for page in found]
             held: dict[str, str] = {}
             for r, own in zip(rows, ids, strict=False):
                 for x in own:
                     held.setdefault(x, r["file"])
 
-            def fragment(name: str, base: Node) -> str:
-                p = kept[name]
-                picked = [x for x in xpath.select_all(base, settings.fragments[name]["xpath"], p.env) if isinstance(x, Node)]
-                return p.out.finish(p.pieces(picked))
-
             whole = {n: fragment(n, tree) for n, f in settings.fragments.items() if f.get("scope", "document") == "document"} if "fragments" in made else {}
             for k, (r, page) in enumerate(zip(rows, found, strict=True)):
                 pieces = process.pieces([page]) if made & {"title", "output", "images"} else []
@@ -270,7 +290,7 @@ def paged(docs: DataFrame, rules: RuleSet, settings: pages.PageSettings, channel
                 if "anchors" in made:
                     r["anchors"] = ids[k]
             return rows
-        return make
+        return process, make, single
 
     return mapped(docs, start, PAGES, **names)
 
